@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import bpe
+from claimloom.llm import bpe, decontaminate, repetition, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_bpe_rank_queue": bpe.op9_bpe_rank_queue}
+    return {
+        "op5_token_transducer": token_counts.op5_token_transducer,
+        "op6_suffix_array_repetition": repetition.op6_suffix_array_repetition,
+        "op9_bpe_rank_queue": bpe.op9_bpe_rank_queue,
+        "op10_suffix_automaton": decontaminate.op10_suffix_automaton,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -98,7 +98,7 @@ class State(dict):
 
 class Transducer:
     #: Compiled transitions a worker keeps; beyond them it starts afresh, between two texts.
-    MOST = 1_500_000
+    MOST = 900_000
     #: Characters of a chunk.
     CHUNK = 1 << 16
 
