@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import bpe, decontaminate, repetition, token_counts
+from claimloom.llm import bpe, decontaminate, repetition, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_host_reputation": url_filter.op3_host_reputation,
         "op5_token_transducer": token_counts.op5_token_transducer,
         "op6_suffix_array_repetition": repetition.op6_suffix_array_repetition,
         "op9_bpe_rank_queue": bpe.op9_bpe_rank_queue,
@@ -19,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_host_reputation": url_filter.ORACLE_SQL}
