@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import bpe, decontaminate, repetition, token_counts, url_filter
+from claimloom.llm import bpe, decontaminate, repetition, token_counts, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_host_reputation": url_filter.op3_host_reputation,
         "op5_token_transducer": token_counts.op5_token_transducer,
         "op6_suffix_array_repetition": repetition.op6_suffix_array_repetition,
+        "op7_warc_shards": warc.op7_warc_shards,
         "op9_bpe_rank_queue": bpe.op9_bpe_rank_queue,
         "op10_suffix_automaton": decontaminate.op10_suffix_automaton,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_host_reputation": url_filter.ORACLE_SQL}
+    return {"op3_host_reputation": url_filter.ORACLE_SQL, "op7_warc_shards": warc.ORACLE_SQL}
