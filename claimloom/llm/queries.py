@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import bpe, decontaminate, repetition, token_counts, url_filter, warc
+from claimloom.llm import bpe, decontaminate, repetition, token_counts, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_transducer": token_counts.op5_token_transducer,
         "op6_suffix_array_repetition": repetition.op6_suffix_array_repetition,
         "op7_warc_shards": warc.op7_warc_shards,
+        "op8_levenshtein_lexicon": toxicity.op8_levenshtein_lexicon,
         "op9_bpe_rank_queue": bpe.op9_bpe_rank_queue,
         "op10_suffix_automaton": decontaminate.op10_suffix_automaton,
     }
