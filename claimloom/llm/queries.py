@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import bpe, decontaminate, repetition, token_counts, toxicity, url_filter, warc
+from claimloom.llm import bpe, decontaminate, near_dedup, repetition, token_counts, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_host_reputation": url_filter.op3_host_reputation,
+        "op4_fast_similarity_sketch": near_dedup.op4_fast_similarity_sketch,
         "op5_token_transducer": token_counts.op5_token_transducer,
         "op6_suffix_array_repetition": repetition.op6_suffix_array_repetition,
         "op7_warc_shards": warc.op7_warc_shards,
