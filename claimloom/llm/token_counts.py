@@ -99,8 +99,8 @@ class State(dict):
 class Transducer:
     #: Compiled transitions a worker keeps; beyond them it starts afresh, between two texts.
     MOST = 900_000
-    #: Characters of a chunk.
-    CHUNK = 1 << 16
+    #: Characters of a chunk; words whose maps a worker remembers, and the longest of them.
+    CHUNK, WORDS, WORD_CHARS = 1 << 16, 300_000, 40
 
     def __init__(self, path: str) -> None:
         self.merges = Merges(path)
@@ -112,6 +112,7 @@ class Transducer:
         self.inner: dict[tuple, Inner] = {}
         self.empty = self.inner_state(b"", ((None, 0),))
         self.start = self.state("fresh", ())
+        self.words: dict[str, tuple[State, int]] = {}
 
     def state(self, kind: str, data: tuple) -> State:
         key = (kind, *map(id, data[:2]), *data[2:]) if kind == "blank" else (kind, *(id(x) if isinstance(x, Inner) else x for x in data))
@@ -195,13 +196,32 @@ class Transducer:
             return self.state(kind, (at,)), more
         return self.fresh(ch)
 
-    def run(self, state: State, text: str) -> tuple[State, int]:
+    def steps(self, state: State, text: str) -> tuple[State, int]:
         total = 0
         for ch in text:
             state, n = state[ch]
             total += n
         return state, total
 
+    def run(self, state: State, text: str) -> tuple[State, int]:
+        """Read a text. A space after a non-blank leads to the same state always, so the maps of a space and a word are remembered."""
+        first, *rest = text.split(" ")
+        state, total = self.steps(state, first)
+        words = self.words
+        for word in rest:
+            if state.kind == "blank":
+                state, n = self.steps(state, " " + word)
+            elif (found := words.get(word)) is not None:
+                state, n = found
+            else:
+                state, n = found = self.steps(state, " " + word)
+                if len(words) >= self.WORDS:
+                    words.clear()
+                if len(word) <= self.WORD_CHARS:
+                    words[word] = found
+            total += n
+        return state, total
+
     def chunk_map(self, text: str) -> tuple[str, State | None, int]:
         """(head, end state, count after the head); without an end state all of the text is head."""
         for i in range(1, len(text)):
@@ -213,7 +233,7 @@ class Transducer:
         if one[1] is None:
             return one[0] + two[0], two[1], two[2]
         state, n = self.run(one[1], two[0])
-        return one[0], two[1] or state, one[2] + n + two[2]
+        return one[0], state if two[1] is None else two[1], one[2] + n + two[2]
 
     def scan(self, maps: list[tuple]) -> list[tuple]:
         """Inclusive prefix scan: pairs are composed, the half as many are scanned, and each odd place gets one more step."""
