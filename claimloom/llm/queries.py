@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import bpe, decontaminate, near_dedup, repetition, resample, token_counts, toxicity, url_filter, warc
+from claimloom.llm import bpe, decontaminate, language_model, near_dedup, repetition, resample, token_counts, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_importance_resampling": resample.op1_importance_resampling,
+        "op2_context_mixing": language_model.op2_context_mixing,
         "op3_host_reputation": url_filter.op3_host_reputation,
         "op4_fast_similarity_sketch": near_dedup.op4_fast_similarity_sketch,
         "op5_token_transducer": token_counts.op5_token_transducer,
