@@ -11,6 +11,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from claimloom.functions import textnorm
 
@@ -41,13 +42,13 @@ def _parsed(text: str | None) -> dict:
     return (json.loads(text) if text else None) or {}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_qualifiers(s: pd.Series) -> pd.Series:
     """Sorted keys, cleaned texts, no null members; {} for null."""
     return s.map(lambda x: dumps(_walk(_parsed(x), _tidy, True)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(s: pd.Series) -> pd.Series:
     return s.map(lambda x: dumps(_walk(_walk(_parsed(x), _tidy, True), str.casefold, False)))
 
@@ -57,7 +58,7 @@ def qualifiers_hash(c: Column) -> Column:
     return F.sha2(_folded(c), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _payload(subject: pd.Series, predicate: pd.Series, object_: pd.Series, qualifiers: pd.Series, evidence: pd.Series, negated: pd.Series, speculative: pd.Series) -> pd.Series:
     rows = zip(subject, predicate, object_, qualifiers, evidence, negated, speculative)
     names = ("subject", "predicate", "object", "qualifiers", "evidence", "negated", "speculative")
@@ -95,7 +96,7 @@ def _first_object(text: str | None) -> str:
     return text[start:].strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _first_objects(s: pd.Series) -> pd.Series:
     return s.map(_first_object)
 
@@ -157,6 +158,6 @@ CLAIM = (
 )
 
 
-@F.udf(f"array<{CLAIM}>", useArrow=True)
-def claims_of(text: str) -> list[dict] | None:
-    return validated_bundle(text)
+def claims_of(c: Column) -> Column:
+    """The validated claims of a bundle's JSON; null where it is invalid."""
+    return F.udf(validated_bundle, f"array<{CLAIM}>", useArrow=True)(c)

@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from claimloom.schemas import ENTITY_TYPES
 
@@ -20,12 +21,12 @@ DASHES = "‐‑‒–—−"
 ALIAS_ENDS = r"[ \t\r\n\"'`.,;:]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x.lower() if x.isascii() else x.casefold())
 

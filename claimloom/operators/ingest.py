@@ -46,7 +46,7 @@ def register_documents(documents: DataFrame, uploads: DataFrame, force: bool = F
     """The documents after uploads (position, filename, sha256, source_path), with inserted and queued flags.
 
     A known content takes the newest name. It is queued if it is new, has failed before or, with force, is done.
-    New ids follow the highest one in the order of first upload.
+    A new id is the highest one before plus one and the place of the first upload, so that nothing has to be numbered in one task.
     """
     incoming = uploads.where("sha256 is not null").groupBy("sha256").agg(
         F.max_by("filename", "position").alias("new_name"), F.max_by("source_path", "position").alias("new_path"), F.min("position").alias("first")
@@ -55,14 +55,9 @@ def register_documents(documents: DataFrame, uploads: DataFrame, force: bool = F
     inserted, touched = F.col("id").isNull(), F.col("first").isNotNull()
     again = F.col("status").isin("uploaded", "failed", "partial") | (F.lit(force) & (F.col("status") == "done"))
     queued = touched & (inserted | F.coalesce(again, F.lit(False)))
-    from pyspark.sql import Window
-
-    # new documents only: one batch of at most a few hundred files
     highest = documents.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    fresh = known.where("id is null").select("sha256", (F.row_number().over(Window.orderBy("first")) + F.lit(highest)).cast("long").alias("new_id"))
-    rows = known.join(fresh, "sha256", "left")
-    return rows.select(
-        F.coalesce("id", "new_id").alias("id"), "sha256", F.coalesce("new_name", "filename").alias("filename"), F.coalesce("new_path", "source_path").alias("source_path"),
+    return known.select(
+        F.coalesce("id", F.col("first").cast("long") + (highest + 1)).alias("id"), "sha256", F.coalesce("new_name", "filename").alias("filename"), F.coalesce("new_path", "source_path").alias("source_path"),
         F.when(queued, "queued").otherwise(F.col("status")).alias("status"), F.when(~queued, F.col("error")).alias("error"), (inserted & touched).alias("inserted"), queued.alias("queued"),
     )
 
