@@ -145,7 +145,7 @@ def document_claims(spark: SparkSession, folder: str) -> DataFrame:
       cast((select count(distinct relation_id) from m_evidence e join m_members m using (document_id) where m.knowledge_base_id = r_regionkey) as integer) as relation_count
     from region""")
 def kb_list(spark: SparkSession, folder: str) -> DataFrame:
-    return browse.knowledge_bases(starschema.tables(spark, folder)).drop("created_at")
+    return browse.knowledge_bases(starschema.tables(spark, folder)).drop("created_at", "description")
 
 
 @query(MODEL + f"""
@@ -154,7 +154,7 @@ def kb_list(spark: SparkSession, folder: str) -> DataFrame:
       cast((select count(*) from m_claims {_IN_KB}) as integer) as claim_count, cast((select count(distinct relation_id) from m_evidence {_IN_KB}) as integer) as relation_count
     from region where r_regionkey = {KB}""")
 def kb_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return browse.knowledge_base_stats(starschema.tables(spark, folder), KB).drop("created_at")
+    return browse.knowledge_base_stats(starschema.tables(spark, folder), KB).drop("created_at", "description")
 
 
 _COUNTED = """

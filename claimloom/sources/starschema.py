@@ -91,7 +91,7 @@ def tables(spark: SparkSession, folder: str, with_brand: bool = False) -> Tables
         "id", (F.col("id") % 5).alias("knowledge_base_id"), F.concat(F.lit("batch "), F.col("id").cast("string")).alias("name"), F.timestamp_seconds(1_700_000_000 + F.col("id") % 991 * 60).alias("created_at")
     )
     r = table(spark, folder, "region")
-    kbs = r.select(F.col("r_regionkey").cast("long").alias("id"), F.concat(F.lit("kb-"), F.lower("r_name")).alias("slug"), F.col("r_name").alias("name"), F.timestamp_seconds(1_700_000_000 + F.col("r_regionkey")).alias("created_at"))
+    kbs = r.select(F.col("r_regionkey").cast("long").alias("id"), F.concat(F.lit("kb-"), F.lower("r_name")).alias("slug"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("description"), F.timestamp_seconds(1_700_000_000 + F.col("r_regionkey")).alias("created_at"))
     return Tables(docs, parts, kbs, members, batches, items, found, aliases(found), facts, relations, evidence)
 
 
