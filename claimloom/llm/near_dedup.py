@@ -12,8 +12,8 @@ aggregate; only representatives go on. Each has a key per band of ROWS coordinat
 at the limit of 0.85 shares no key once in two million times. Documents that share a key are a bucket. In
 a bucket all members are compared with its hub, the member with the largest buckets, so that a bucket costs as
 many comparisons as it has members; members whose component then differs from the hub's are compared with
-all members of other components of the bucket. So every pair of a bucket is compared or already linked: nothing is
-capped. Comparisons are exact, on full sets, and components come from rounds of large-star and small-star.
+all members of other components of the bucket, save where their sizes and the numbers of shingles that they alone
+have already rule the limit out. So every pair of a bucket is compared, already linked, or proven to be apart: nothing is capped. Comparisons are exact, on full sets, and components come from rounds of large-star and small-star.
 
 Defined results: a document without words has an empty set, is its own component and kept; one with fewer
 than five words has the whole sequence as its one shingle; repeated rows and equal texts are linked. Rows that
@@ -134,6 +134,12 @@ def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("i", inter).where(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select("a", "b")
 
 
+def lone_shingles(full: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, u: how many of its shingles no other document of ids has (documents without any are left out)."""
+    each = full.join(ids, "id", "left_semi").select("id", F.explode("s").alias("s"))
+    return each.groupBy("s").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("u"))
+
+
 def connected(links: DataFrame) -> DataFrame:
     """id, component (smallest id reachable) of all ids in links (a, b)."""
     edges = common.cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
@@ -170,11 +176,15 @@ def components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     links = common.cut(verified(pairs, full, percent))
     first = connected(links)
     # members that the hub's component does not hold, against the other components of the bucket
-    own = rows.join(first, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    own = common.cut(own)
+    own = common.cut(rows.join(first, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c")))
     of_hub = hubs.join(first, F.col("hub") == F.col("id"), "left").select("key", F.coalesce("component", "hub").alias("hub_c"))
-    outside = own.join(of_hub, "key").where("c != hub_c").select("key", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("c").alias("b_c"))
-    rest = own.join(outside, "key").where((F.col("c") != F.col("b_c")) & similar("n", "b_n", percent))
+    own = own.join(of_hub, "key").withColumn("out", F.col("c") != F.col("hub_c"))
+    own = own.join(own.where("out").select("key").distinct(), "key", "left_semi")
+    own = common.cut(own.join(lone_shingles(full, own.select("id").distinct()), "id", "left").select("key", "id", "n", "c", "out", F.coalesce("u", F.lit(0)).alias("u")))
+    outside = own.where("out").select("key", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("c").alias("b_c"), F.col("u").alias("b_u"))
+    # what only one of two sets can hold is not in their intersection, and is in their union
+    both, either = F.least(F.col("n") - F.col("u"), F.col("b_n") - F.col("b_u")), F.greatest(F.col("n") + F.col("b_u"), F.col("b_n") + F.col("u"))
+    rest = own.join(outside, "key").where((F.col("c") != F.col("b_c")) & (both * 100 >= either * percent))
     rest = rest.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
     links = links.unionByName(common.cut(verified(rest, full, percent)))
     linked = connected(links)
