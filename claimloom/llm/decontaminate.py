@@ -18,6 +18,7 @@ passed through by keep_documents and ignored by score.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -218,6 +219,39 @@ def keep_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, cove
     return common.keep_rows(docs, clean, id_col, text_col)
 
 
+def without_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the spans (first, last) of its words; what stands between words stays."""
+    places = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(common.ALNUM_TABLE))]
+    for first, last in reversed(spans):
+        text = text[: places[first][0]] + text[places[last][1] :]
+    return text
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage_parts: int = 20, span_words: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that are not contaminated, with all their columns, their texts without united spans of span_words or more words.
+
+    Words that a cut brings together are searched again, so that no such span is left."""
+    import pyarrow as pa
+
+    bench = Benchmark(items, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches, text_col):
+            texts = common.utf8(b.column(text_col))
+            found = bench.search(texts)
+            keep = [not contaminated(n, sum(y - x + 1 for x, y in s), coverage_parts) for n, s, _ in found]
+            at = {i: s for i, (_, s, _) in enumerate(found) if keep[i]}
+            while at := {i: long for i, s in at.items() if (long := [x for x in s if x[1] - x[0] + 1 >= span_words])}:
+                for i, long in at.items():
+                    texts[i] = without_words(texts[i], long)
+                at = {i: s for i, (_, s, _) in zip(at, bench.search([texts[i] for i in at]))}
+            k = b.schema.get_field_index(text_col)
+            columns = [pa.array(texts, pa.binary()).cast(c.type) if i == k else c for i, c in enumerate(b.columns)]
+            yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

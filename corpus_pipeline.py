@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from claimloom.llm import bpe, common, decontaminate, near_dedup, repetition, resample
 
@@ -29,8 +30,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover less than a twentieth."""
-    return decontaminate.keep_documents(docs, common.table(spark, sf_dir, "benchmark"))
+    """Documents of which benchmark windows cover less than a twentieth, without the spans of 13 or more words."""
+    cleaned = decontaminate.clean_documents(docs, common.table(spark, sf_dir, "benchmark"))
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
