@@ -252,6 +252,14 @@ def document_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.stored_contents(_files(spark, folder), 3000).select("sha256", F.length("content").cast("long").alias("n_bytes"))
 
 
+def _registered(validated: DataFrame) -> DataFrame:
+    ok = validated.where("error is null")
+    known = ok.where("position % 4 = 0").groupBy("sha256").agg(F.min("position").alias("id"))
+    state = F.when(F.col("id") % 3 == 0, "done").when(F.col("id") % 3 == 1, "failed").otherwise("extracting")
+    known = known.select("id", "sha256", F.lit("old.pdf").alias("filename"), F.lit("old").alias("source_path"), state.alias("status"), F.lit(None).cast("string").alias("error"))
+    return ingest.register_documents(known, ok.where("position % 4 <> 0")).drop("source_path", "error")
+
+
 @query(_FILES + """
     , ok as (select *, sha256(content) as sha256 from v where error is null),
     known as (select sha256, min(position) as id, case when min(position) % 3 = 0 then 'done' when min(position) % 3 = 1 then 'failed' else 'extracting' end as status from ok where position % 4 = 0 group by sha256),
@@ -260,11 +268,31 @@ def document_dedup(spark: SparkSession, folder: str) -> DataFrame:
       case when i.sha256 is not null and (k.sha256 is null or k.status = 'failed') then 'queued' else k.status end as status, k.sha256 is null as inserted, i.sha256 is not null and (k.sha256 is null or k.status = 'failed') as queued
     from known k full join incoming i using (sha256)""")
 def register_documents(spark: SparkSession, folder: str) -> DataFrame:
-    ok = ingest.validate_uploads(_files(spark, folder), 3000).where("error is null")
-    known = ok.where("position % 4 = 0").groupBy("sha256").agg(F.min("position").alias("id"))
-    state = F.when(F.col("id") % 3 == 0, "done").when(F.col("id") % 3 == 1, "failed").otherwise("extracting")
-    known = known.select("id", "sha256", F.lit("old.pdf").alias("filename"), F.lit("old").alias("source_path"), state.alias("status"), F.lit(None).cast("string").alias("error"))
-    return ingest.register_documents(known, ok.where("position % 4 <> 0")).drop("source_path", "error")
+    return _registered(ingest.validate_uploads(_files(spark, folder), 3000))
+
+
+def _all_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a PDF of an accepted name."""
+    k = F.col("document_id") % 3
+    name = F.when(k == 0, F.lit("C:\\docs\\a b.pdf")).when(k == 1, F.lit(" ../../x/Paper.PDF ")).otherwise(F.lit("in/"))
+    return _texts(spark, folder).select(F.col("document_id").alias("position"), name.alias("filename"), F.encode(F.concat(F.lit("%PDF-"), F.col("text")), "UTF-8").alias("content"))
+
+
+_ALL_FILES = """
+    with f as (select doc_id as position, case doc_id % 3 when 0 then 'a b.pdf' when 1 then 'Paper.PDF' else 'document.pdf' end as filename, '%PDF-' || text as content from documents where text is not null),
+    v as (select *, case when octet_length(encode(content)) > 104857600 then 'File exceeds the 104857600 byte limit' end as error from f)"""
+
+
+@query(_ALL_FILES + SQL["document_dedup"].removeprefix(_FILES))
+def document_dedup_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As document_dedup, over every document and with the default limit."""
+    return ingest.stored_contents(_all_files(spark, folder)).select("sha256", F.length("content").cast("long").alias("n_bytes"))
+
+
+@query(_ALL_FILES + SQL["register_documents"].removeprefix(_FILES))
+def register_documents_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As register_documents, over every document and with the default limit."""
+    return _registered(ingest.validate_uploads(_all_files(spark, folder)))
 
 
 @query(r"""
