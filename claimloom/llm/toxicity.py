@@ -10,12 +10,15 @@ set of trie places reachable with the fewest edits, and transitions are made whe
 Each term has a weight for exact and one for misspelled hits, its log odds in the sample, so a term
 whose neighbours by edits are ordinary words loses them. A hit in quotation marks, or shortly after a
 verb of reporting, counts by a factor that the sample gives, low where it shows no such hits. A
-document's evidence, the sums of its distinct words' weights, the largest one and the length, goes into
-a logistic regression fitted on the sample, held near plain addition where the sample says little.
+document's evidence, the bounded sums of its distinct words' weights for exact and for misspelled hits, goes into
+a logistic regression fitted on the sample, held near plain addition where the sample says little; its
+slopes are never negative, so that more evidence never lowers a score.
 
 Defined results: null, empty and wordless texts get the score of a document without hits; null labels
 train nothing; without training rows there are no terms and all scores are the same, below 0.5.
-Repeated rows are scored alike. A document's id, language, source and labels are not inputs.
+Repeated rows are scored alike, and repeated labels of an id count once, by the largest; of rows that share a
+labelled id one, the least text, is learned from. Terms of equal counts are all kept, so ties need no order. A very
+long text is read as any other, and its sums are bounded. A document's id, language, source and labels are not inputs.
 """
 
 from __future__ import annotations
@@ -30,11 +33,11 @@ from pyspark.sql import functions as F
 
 from claimloom.llm import common
 
-#: Bounds of what is learned: labelled training rows, terms.
-SAMPLE, TERMS = 20_000, 5_000
+#: Bound of what is learned from: labelled training rows. All their terms that pass the limits below are kept.
+SAMPLE = 20_000
 STEMS = (3, 4, 5, 6, 7, 8)  # lengths of prefixes that may be terms
 LEAST_VARIETY, LEAST_LIFT = 10, 6.0  # of contexts; of the share of toxic documents over that of others
-EXACT_MOST, FUZZY_MOST = 7.0, 5.5
+EXACT_MOST, FUZZY_MOST, SUM_MOST = 7.0, 5.5, 20.0
 WINDOW = 4  # words before a hit that are its context
 _STRIP = " \t\r\n\x0b\x0c!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”„«»‘’¡¿…"
 _QUOTES = frozenset("\"“”„«»")
@@ -148,8 +151,8 @@ def quoted(words: list[str], i: int) -> bool:
     return sum(c in _QUOTES for w in near for c in w) % 2 == 1 or any(bare(w) in _REPORTS for w in near)
 
 
-def hits(lexicon: Lexicon, texts: list[bytes | None]) -> tuple[list[int], list[dict[tuple[str, str], tuple[bool, dict[str, int]]]]]:
-    """Per text: its number of words, and (bare word, is it quoted) -> terms with edits. Distinct words of the slice are matched once."""
+def hits(lexicon: Lexicon, texts: list[bytes | None]) -> list[dict[tuple[str, bool], dict[str, int]]]:
+    """Per text: (bare word, is it quoted) -> terms with edits. Distinct words of the slice are matched once."""
     docs = [tokens(t) for t in texts]
     flagged = {}
     for token in set().union(*docs):
@@ -163,47 +166,55 @@ def hits(lexicon: Lexicon, texts: list[bytes | None]) -> tuple[list[int], list[d
                 if token in flagged:
                     found[bare(token), quoted(words, i)] = flagged[token]
         out.append(found)
-    return [len(w) for w in docs], out
+    return out
 
 
 def _odds(yes: float, no: float, n_yes: int, n_no: int) -> float:
     return float(np.log((yes + 1) / (n_yes + 2)) - np.log((no + 0.5) / (n_no + 2)))
 
 
-def evidence(model: dict, n_words: int, found: dict) -> list[float]:
-    """1, sum of exact weights, sum of misspelled weights, largest weight, log length."""
-    sums, most, weights = [0.0, 0.0], 0.0, model["weights"]
+def evidence(model: dict, found: dict) -> list[float]:
+    """1, and the sums of exact and of misspelled weights, each at most SUM_MOST."""
+    sums, weights = [0.0, 0.0], model["weights"]
     for (_, said), terms in found.items():
         # a word counts by its strongest term
         w, exact = max((weights[t, e == 0], e == 0) for t, e in terms.items())
-        w *= model["quoted"] if said else 1.0
-        sums[not exact] += w
-        most = max(most, w)
-    return [1.0, sums[0], sums[1], most, float(np.log1p(n_words / 50))]
+        sums[not exact] += w * (model["quoted"] if said else 1.0)
+    return [1.0, min(SUM_MOST, sums[0]), min(SUM_MOST, sums[1])]
 
 
 def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps, drawn to prior."""
-    beta = prior.copy()
-    for _ in range(25):
+    """Logistic regression drawn to prior, by Newton steps that are halved until the loss falls; slopes stay at or above zero."""
+
+    def loss(beta: np.ndarray) -> float:
+        z = x @ beta
+        return float(np.logaddexp(0, z).sum() - y @ z + (ridge * (beta - prior) ** 2).sum() / 2)
+
+    beta, now = prior.copy(), loss(prior)
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        gradient = x.T @ (p - y) + ridge * (beta - prior)
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(ridge), gradient)
-        beta -= np.clip(step, -1, 1)
-        if np.abs(step).max() < 1e-6:
-            break
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(ridge), x.T @ (p - y) + ridge * (beta - prior))
+        for k in range(30):
+            to = beta - step / 2**k
+            to[1:] = np.maximum(to[1:], 0)
+            if (then := loss(to)) < now - 1e-9:
+                break
+        else:
+            return beta
+        beta, now = to, then
     return beta
 
 
-PRIOR, RIDGE = np.array([-4.0, 0.8, 0.9, 0.3, 0.0]), np.array([0.1, 10.0, 10.0, 10.0, 10.0])
+PRIOR, RIDGE = np.array([-4.0, 0.8, 0.9]), np.array([0.1, 10.0, 10.0])
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
-    """Terms, weights, context factor and regression from at most `sample` labelled rows (the first by hash of id) and `terms` terms."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
+    """Terms, weights, context factor and regression from at most `sample` labelled rows (the first by hash of id)."""
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = common.cut(slim.join(F.broadcast(chosen), "id").select("y", "text"))  # a document to each of at most `sample` ids
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    # one document to each of at most `sample` ids, however often an id repeats
+    rows = common.cut(slim.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text"))
     n = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     n0, n1 = n.get(0, 0), sum(c for y, c in n.items() if y)
 
@@ -240,7 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     found = common.map_text(rows, spread, "name string, other long, toxic long, contexts long", "y")
     found = found.groupBy("name").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"), F.bit_or("contexts").alias("contexts"))
     found = found.where((F.bit_count("contexts") >= LEAST_VARIETY) & (F.col("toxic") >= LEAST_VARIETY) & (lift >= LEAST_LIFT) & (F.length("name") > 2))
-    counted = {r.name: r.toxic for r in found.orderBy(F.desc("toxic"), "name").limit(terms).collect()}
+    counted = {r.name: r.toxic for r in found.collect()}
     stems = {m: c for m, c in counted.items() if m.endswith("*")}
     # of nested stems with nearly the same documents, the longest
     names = {m for m, c in counted.items() if m not in stems or not any(len(o) > len(m) and o.startswith(m[:-1]) and 10 * d >= 9 * c for o, d in stems.items())}
@@ -250,7 +261,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     def tally(parts: Iterator) -> Iterator[dict[str, list]]:
         lexicon, total = Lexicon(entries), defaultdict(lambda: [0, 0])
         for sides, texts in parts:
-            for side, doc in zip(sides, hits(lexicon, texts)[1]):
+            for side, doc in zip(sides, hits(lexicon, texts)):
                 for key in {(t, "exact" if e == 0 else "fuzzy") for m in doc.values() for t, e in m.items()} | {("", "quoted" if said else "plain") for (_, said), m in doc.items() if 0 in m.values()}:
                     total[key][side > 0] += 1
         yield {"term": [k[0] for k in total], "kind": [k[1] for k in total], "other": [v[0] for v in total.values()], "toxic": [v[1] for v in total.values()]}
@@ -275,7 +286,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     def features(parts: Iterator) -> Iterator[dict[str, list]]:
         lexicon = Lexicon(entries)
         for sides, texts in parts:
-            yield {"y": sides, "x": [evidence(model, k, doc) for k, doc in zip(*hits(lexicon, texts))]}
+            yield {"y": sides, "x": [evidence(model, doc) for doc in hits(lexicon, texts)]}
 
     if n0 and n1:
         data = common.map_text(rows, features, "y int, x array<double>", "y").collect()  # at most `sample` rows
@@ -291,8 +302,8 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     def rows(parts: Iterator) -> Iterator[dict[str, list]]:
         lexicon = Lexicon(model["terms"])
         for keys, texts in parts:
-            sizes, found = hits(lexicon, texts)
-            x = np.array([evidence(model, n, f) for n, f in zip(sizes, found)]).reshape(-1, len(PRIOR))
+            found = hits(lexicon, texts)
+            x = np.array([evidence(model, f) for f in found]).reshape(-1, len(PRIOR))
             scores = 1 / (1 + np.exp(-np.clip(x @ model["beta"], -30, 30)))
             yield {id_col: keys, "score": scores, "predicted": (scores >= 0.5).astype(int), "n_hits": [len(f) for f in found], "terms": [sorted({t for m in f.values() for t in m}) for f in found]}
 
