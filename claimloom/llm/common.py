@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -81,33 +83,57 @@ def map_text(
     return slim.mapInArrow(run, schema)
 
 
-def keep_rows(docs: DataFrame, mask: Callable[[list, list[bytes | None]], list[bool]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, for which mask(ids, texts) holds; no shuffle."""
+def text_slices(column: pa.Array, max_bytes: int) -> Iterator[pa.Array]:
+    """Cut a text column so that a slice holds at most max_bytes, or one row."""
+    yield from (b.column(0) for b in slices([pa.RecordBatch.from_arrays([column], names=["text"])], "text", max_bytes))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
-            yield b.filter(pa.array(mask(b.column(id_col).to_pylist(), utf8(b.column(text_col))), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+def keep_rows(docs: DataFrame, mask: Callable[[list, list[bytes | None]], list[bool]], id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 2 << 20) -> DataFrame:
+    """The rows of docs, all columns, for which mask(ids, texts) holds. Only the two columns go to Python, only flags come back; no shuffle."""
+
+    @F.arrow_udf("boolean")
+    def kept(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for ids, texts in columns:
+            flags, at = [], 0
+            for part in text_slices(texts, max_bytes):
+                flags += mask(ids.slice(at, len(part)).to_pylist(), utf8(part))
+                at += len(part)
+            yield pa.array(flags, pa.bool_())
+
+    return docs.where(kept(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+
+
+@contextmanager
+def without_gc() -> Iterator[None]:
+    """No cyclic garbage collection: over caches of a million objects every full collection is slow, and the loops inside make no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; a folder of this machine only where it is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir of the session, or the checkpoint folder set on its context. Without one there is no place that outlives an executor."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = sc._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="claimloom-")
+    if not found and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        found = tempfile.mkdtemp(prefix="claimloom-")  # one machine, one process: driver and executors are the same
         sc.setCheckpointDir(found)
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **options: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

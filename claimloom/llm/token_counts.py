@@ -22,7 +22,9 @@ counts as that one token and separates what stands beside it, which is the libra
 
 from __future__ import annotations
 
+import gc
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -33,6 +35,8 @@ from claimloom.llm import common
 #: Unicode white space (fixed values).
 BLANKS = frozenset("\t\n\x0b\x0c\r \x85\xa0                　")
 
+_BLANK_THEN_SPACE = re.compile("[" + "".join(sorted(BLANKS)) + "] ")
+
 
 def byte_letters() -> dict[str, int]:
     """The characters by which byte-level vocabulary files write bytes: printable Latin-1 as itself, the others from U+0100 on."""
@@ -54,22 +58,40 @@ class Merges:
         self.prefixes = {t[:i] for t in self.tokens for i in range(1, len(t))}
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.beside: dict[tuple[bytes, bytes], bool] = {}
+        self.made: dict[bytes, tuple[bytes, bytes, int]] = {}
 
-    def encode(self, data: bytes) -> list[bytes]:
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.rank.get((parts[i], parts[i + 1]), 1 << 40), i) for i in range(len(parts) - 1))
-            if rank == 1 << 40:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+    def parts(self, token: bytes) -> tuple[bytes, bytes, int]:
+        """The two tokens that the last merge of a token's encoding joins, and that merge's rank; for a byte, two empty ones and -1."""
+        found = self.made.get(token)
+        if found is None:
+            parts, last = [token[i : i + 1] for i in range(len(token))], (b"", b"", -1)
+            while len(parts) > 1:
+                rank, at = min((self.rank.get((parts[i], parts[i + 1]), 1 << 40), i) for i in range(len(parts) - 1))
+                last = (parts[at], parts[at + 1], rank)
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            found = self.made[token] = last
+        return found
 
     def fits(self, left: bytes, right: bytes) -> bool:
+        """Is the encoding of both together these two tokens? The merges that made them are undone from the last one on: a merge across
+        the border would have come first if its rank is below that of what is undone (or equal, when that stands to its right)."""
         found = self.beside.get((left, right))
         if found is None:
             if len(self.beside) > 500_000:
                 self.beside.clear()
-            found = self.beside[left, right] = self.encode(left + right) == [left, right]
+            found, at, a, b = True, 1 << 40, left, right
+            while True:
+                if self.rank.get((a, b), 1 << 40) < at:
+                    found = False
+                    break
+                (_, end, of_left), (start, _, of_right) = self.parts(a), self.parts(b)
+                if of_left < 0 and of_right < 0:
+                    break
+                if of_left > of_right:
+                    at, a = of_left, end
+                else:
+                    at, b = of_right + 1, start
+            self.beside[left, right] = found
         return found
 
 
@@ -96,11 +118,35 @@ class State(dict):
         return found
 
 
+class WordCounts(dict):
+    """word -> what a space and the word add to the count after a non-blank. A full young generation becomes the old
+    one; what is asked for again moves back, so frequent words stay."""
+
+    def __init__(self, machine: Transducer) -> None:
+        self.machine, self.old = machine, {}
+
+    def __missing__(self, word: str) -> int:
+        found = self.old.get(word)
+        if found is None:
+            found = self.map_of(word)[1]
+            if len(word) > self.machine.WORD_CHARS:
+                return found
+        if len(self) >= self.machine.WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+    def map_of(self, word: str) -> tuple[State, int]:
+        """Where a space and the word lead after a non-blank, and what they add."""
+        return self.machine.steps(self.machine.start[" "][0], word, self.machine.start[" "][1])
+
+
 class Transducer:
     #: Compiled transitions a worker keeps; beyond them it starts afresh, between two texts.
     MOST = 900_000
-    #: Characters of a chunk; words whose maps a worker remembers, and the longest of them.
-    CHUNK, WORDS, WORD_CHARS = 1 << 16, 300_000, 40
+    #: Characters of a chunk; words whose counts a worker remembers in each of two generations, and the longest of them.
+    CHUNK, WORDS, WORD_CHARS = 1 << 16, 600_000, 40
 
     def __init__(self, path: str) -> None:
         self.merges = Merges(path)
@@ -112,7 +158,7 @@ class Transducer:
         self.inner: dict[tuple, Inner] = {}
         self.empty = self.inner_state(b"", ((None, 0),))
         self.start = self.state("fresh", ())
-        self.words: dict[str, tuple[State, int]] = {}
+        self.words = WordCounts(self)
 
     def state(self, kind: str, data: tuple) -> State:
         key = (kind, *map(id, data[:2]), *data[2:]) if kind == "blank" else (kind, *(id(x) if isinstance(x, Inner) else x for x in data))
@@ -196,29 +242,24 @@ class Transducer:
             return self.state(kind, (at,)), more
         return self.fresh(ch)
 
-    def steps(self, state: State, text: str) -> tuple[State, int]:
-        total = 0
+    def steps(self, state: State, text: str, total: int = 0) -> tuple[State, int]:
         for ch in text:
             state, n = state[ch]
             total += n
         return state, total
 
     def run(self, state: State, text: str) -> tuple[State, int]:
-        """Read a text. A space after a non-blank leads to the same state always, so the maps of a space and a word are remembered."""
+        """Read a text. A space after a non-blank leads to the same state always, so the maps of a space and a word are remembered.
+
+        Where no word is empty or ends in a blank, every word is read after a non-blank, and the count is the sum over the words."""
         first, *rest = text.split(" ")
+        if rest and first and first[-1] not in BLANKS and not _BLANK_THEN_SPACE.search(text):
+            total = self.steps(state, first)[1] + sum(map(self.words.__getitem__, rest[:-1]))
+            state, n = self.words.map_of(rest[-1])
+            return state, total + n
         state, total = self.steps(state, first)
-        words = self.words
         for word in rest:
-            if state.kind == "blank":
-                state, n = self.steps(state, " " + word)
-            elif (found := words.get(word)) is not None:
-                state, n = found
-            else:
-                state, n = found = self.steps(state, " " + word)
-                if len(words) >= self.WORDS:
-                    words.clear()
-                if len(word) <= self.WORD_CHARS:
-                    words[word] = found
+            state, n = self.steps(state, " " + word) if state.kind == "blank" else self.words.map_of(word)
             total += n
         return state, total
 
@@ -245,6 +286,7 @@ class Transducer:
     def count(self, text: str) -> int:
         if self.transitions > self.MOST:
             self.reset()
+            gc.collect()
         total, parts = 0, [text]
         for special in self.merges.special:
             parts = [q for p in parts for q in p.split(special)] if special in text else parts
@@ -270,7 +312,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
             _COMPILED[path] = Transducer(path)
         machine = _COMPILED[path]
         for keys, texts in parts:
-            n = [machine.count(t.decode()) if t else 0 for t in texts]
+            with common.without_gc():
+                n = [machine.count(t.decode()) if t else 0 for t in texts]
             yield {id_col: keys, "n_bytes": [len(t or b"") for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
     return common.map_text(docs, rows, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean", id_col, text_col)
