@@ -11,9 +11,11 @@ Documents with equal sets (a 128-bit sum of hashes) form a class, represented by
 aggregate; only representatives go on. Each has a key per band of ROWS coordinates; with 25 bands of 5 a pair
 at the limit of 0.85 shares no key once in two million times. Documents that share a key are a bucket. In
 a bucket all members are compared with its hub, the member with the largest buckets, so that a bucket costs as
-many comparisons as it has members; members whose component then differs from the hub's are compared with
-all members of other components of the bucket, save where their sizes and the numbers of shingles that they alone
-have already rule the limit out. So every pair of a bucket is compared, already linked, or proven to be apart: nothing is capped. Comparisons are exact, on full sets, and components come from rounds of large-star and small-star.
+many comparisons as it has members. Those comparisons bound all others: two members share at most the smaller of
+their parts in the hub, and of their other shingles at most the smaller number that is not theirs alone. Members
+whose component then differs from the hub's and that could reach the limit with some set of the bucket are compared with the members of other
+components that the bounds leave. So every pair of a bucket is compared, already linked, or proven to be apart: nothing is
+capped. Comparisons are exact, on full sets, and components come from rounds of large-star and small-star.
 
 Defined results: a document without words has an empty set, is its own component and kept; one with fewer
 than five words has the whole sequence as its one shingle; repeated rows and equal texts are linked. Rows that
@@ -126,12 +128,16 @@ def similar(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the limit."""
+def compared(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs (a, b) with i, the size of the intersection of their full sets, and the sizes n and b_n."""
     left, right = full.select(F.col("id").alias("a"), F.col("s").alias("sa")), full.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(right, "b").join(left, "a")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    return both.withColumn("i", inter).where(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select("a", "b")
+    inter = F.size(F.array_intersect("sa", "sb")).cast("long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", inter.alias("i"), F.size("sa").cast("long").alias("n"), F.size("sb").cast("long").alias("b_n"))
+
+
+def reaches(common_size, n, b_n, percent: int):
+    """Is an intersection of this size at least percent of the union?"""
+    return common_size * 100 >= (n + b_n - common_size) * percent
 
 
 def lone_shingles(full: DataFrame, ids: DataFrame) -> DataFrame:
@@ -168,25 +174,34 @@ def components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     rows = common.cut(rows.join(shared, "key"))
     # a bucket's hub: the member whose keys are shared the most
     fame = rows.groupBy("id").agg(F.sum("m").alias("fame"))
-    hubs = rows.join(fame, "id").groupBy("key").agg(F.max(F.struct("fame", -F.col("id"), "n")).alias("top"))
-    hubs = common.cut(hubs.select("key", (-F.col("top.col2")).alias("hub"), F.col("top.n").alias("hub_n")))
+    hubs = rows.join(fame, "id").groupBy("key").agg(F.min(F.struct((-F.col("fame")).alias("fame"), "id", "n")).alias("top"), F.min("n").alias("least_n"))
+    hubs = common.cut(hubs.select("key", F.col("top.id").alias("hub"), F.col("top.n").alias("hub_n"), "least_n"))
     members = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(rows.select("id").distinct(), "id", "left_semi")
     full = common.cut(sets(members.groupBy("id").agg(F.min("text").alias("text"))))
     pairs = rows.join(hubs, "key").where((F.col("id") != F.col("hub")) & similar("n", "hub_n", percent)).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    links = common.cut(verified(pairs, full, percent))
+    with_hub = common.cut(compared(pairs, full))
+    links = with_hub.where(reaches(F.col("i"), F.col("n"), F.col("b_n"), percent)).select("a", "b")
     first = connected(links)
     # members that the hub's component does not hold, against the other components of the bucket
-    own = common.cut(rows.join(first, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c")))
-    of_hub = hubs.join(first, F.col("hub") == F.col("id"), "left").select("key", F.coalesce("component", "hub").alias("hub_c"))
-    own = own.join(of_hub, "key").withColumn("out", F.col("c") != F.col("hub_c"))
-    own = own.join(own.where("out").select("key").distinct(), "key", "left_semi")
-    own = common.cut(own.join(lone_shingles(full, own.select("id").distinct()), "id", "left").select("key", "id", "n", "c", "out", F.coalesce("u", F.lit(0)).alias("u")))
-    outside = own.where("out").select("key", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("c").alias("b_c"), F.col("u").alias("b_u"))
-    # what only one of two sets can hold is not in their intersection, and is in their union
-    both, either = F.least(F.col("n") - F.col("u"), F.col("b_n") - F.col("b_u")), F.greatest(F.col("n") + F.col("b_u"), F.col("b_n") + F.col("u"))
-    rest = own.join(outside, "key").where((F.col("c") != F.col("b_c")) & (both * 100 >= either * percent))
-    rest = rest.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    links = links.unionByName(common.cut(verified(rest, full, percent)))
+    own = rows.join(hubs, "key").join(first, "id", "left").select("key", "id", "n", "hub", "hub_n", "least_n", F.coalesce("component", "id").alias("c"))
+    of_hub = first.select(F.col("id").alias("hub"), F.col("component").alias("hub_c"))
+    own = own.join(of_hub, "hub", "left").withColumn("out", F.col("c") != F.coalesce("hub_c", "hub"))
+    own = common.cut(own.join(own.where("out").select("key").distinct(), "key", "left_semi"))
+    lone = lone_shingles(full, own.select("id").distinct())
+    known = with_hub.select(F.col("a").alias("id"), F.col("b").alias("hub"), "i")
+    own = own.join(lone, "id", "left").join(known, ["id", "hub"], "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    # bounds of what another set can share: shingles of the hub, and others that are not lone; without a comparison either may be all but the lone ones
+    of_the_hub = F.coalesce(F.when(F.col("id") == F.col("hub"), F.col("n")), "i", F.least(F.col("n") - F.col("u"), F.col("hub_n")))
+    others = F.when(F.col("id") == F.col("hub"), F.lit(0)).otherwise(F.col("n") - F.col("u") - F.coalesce("i", F.lit(0)))
+    own = own.select("key", "id", "n", "c", "out", "least_n", (F.col("n") - F.col("u")).alias("most"), of_the_hub.alias("in_hub"), others.alias("beside"))
+    # those that can reach the limit with no set of the bucket are done
+    own = common.cut(own.where(reaches(F.col("most"), F.col("n"), F.greatest("least_n", "most"), percent)))
+    outside = own.where("out").select("key", *[F.col(x).alias(f"b_{x}") for x in ("id", "n", "c", "most", "in_hub", "beside")])
+    shared_most = F.least(F.col("most"), F.col("b_most"), F.least("in_hub", "b_in_hub") + F.least("beside", "b_beside"))
+    rest = own.join(outside, "key").where((F.col("c") != F.col("b_c")) & reaches(shared_most, F.col("n"), F.col("b_n"), percent))
+    rest = common.cut(rest.select(F.least("id", "b_id").alias("a"), F.greatest("id", "b_id").alias("b")).distinct())
+    more = compared(rest, full).where(reaches(F.col("i"), F.col("n"), F.col("b_n"), percent)).select("a", "b")
+    links = links.unionByName(common.cut(more))
     linked = connected(links)
     classes = classes.select("f1", "f2", "id").join(linked, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component"))
     out = found.where("id is not null").select("id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left")
