@@ -22,6 +22,7 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -231,25 +232,29 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, cov
     """The documents that are not contaminated, with all their columns, their texts without united spans of span_words or more words.
 
     Words that a cut brings together are searched again, so that no such span is left."""
-    import pyarrow as pa
-
     bench = Benchmark(items, window)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches, text_col):
-            texts = common.utf8(b.column(text_col))
-            found = bench.search(texts)
-            keep = [not contaminated(n, sum(y - x + 1 for x, y in s), coverage_parts) for n, s, _ in found]
-            at = {i: s for i, (_, s, _) in enumerate(found) if keep[i]}
-            while at := {i: long for i, s in at.items() if (long := [x for x in s if x[1] - x[0] + 1 >= span_words])}:
-                for i, long in at.items():
-                    texts[i] = without_words(texts[i], long)
-                at = {i: s for i, (_, s, _) in zip(at, bench.search([texts[i] for i in at]))}
-            k = b.schema.get_field_index(text_col)
-            columns = [pa.array(texts, pa.binary()).cast(c.type) if i == k else c for i, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    def cleaned(texts: list[bytes | None]) -> Iterator[dict]:
+        """Of each text: is it kept, and its new form if it has one."""
+        found = bench.search(texts)
+        keep = [not contaminated(n, sum(y - x + 1 for x, y in s), coverage_parts) for n, s, _ in found]
+        at, new = {i: s for i, (_, s, _) in enumerate(found) if keep[i]}, {}
+        while at := {i: long for i, s in at.items() if (long := [x for x in s if x[1] - x[0] + 1 >= span_words])}:
+            for i, long in at.items():
+                new[i] = without_words(new.get(i, texts[i]), long)
+            at = {i: s for i, (_, s, _) in zip(at, bench.search([new[i] for i in at]))}
+        return ({"keep": k, "new": new[i].decode() if i in new else None} for i, k in enumerate(keep))
+
+    @F.arrow_udf("struct<keep:boolean,new:string>")
+    def judged(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.struct([("keep", pa.bool_()), ("new", pa.string())])
+        for column in columns:
+            yield pa.array([r for part in common.text_slices(column, 2 << 20) for r in cleaned(common.utf8(part))], kind)
+
+    # nondeterministic for the optimiser, so that it is not run once for the filter and once for the text
+    text, verdict = F.col(f"`{text_col}`"), "__verdict"
+    rows = docs.withColumn(verdict, judged.asNondeterministic()(text)).where(F.col(verdict)["keep"])
+    return rows.withColumn(text_col, F.coalesce(F.col(verdict)["new"], text)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

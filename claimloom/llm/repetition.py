@@ -138,12 +138,12 @@ def score(docs: DataFrame, min_words: int = MIN_WORDS, max_fraction: float = MAX
             yield {id_col: keys, **m, "base_failed": failed, "kept": kept}
 
     schema = ", ".join([f"{id_col} {docs.schema[id_col].dataType.simpleString()}", *(f"{c} long" for c in longs), "base_failed boolean, kept boolean"])
-    return common.map_text(docs, rows, schema, id_col, text_col)
+    return common.map_text(docs, rows, schema, id_col, text_col, 2 << 20)
 
 
 def keep_documents(docs: DataFrame, min_words: int = MIN_WORDS, max_fraction: float = MAX_FRACTION, max_longest: int = MAX_LONGEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    return common.keep_rows(docs, lambda _, texts: list(verdicts(measure(texts, min_words), max_fraction, max_longest)[1]), id_col, text_col)
+    return common.keep_rows(docs, lambda _, texts: verdicts(measure(texts, min_words), max_fraction, max_longest)[1].tolist(), id_col, text_col)
 
 
 def op6_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ class TokenCodes(dict):
             shape = 1 if token.isdigit() else 2 if token.islower() else 3 if token.istitle() else 4 if token.isupper() else 5
             shape = shape * 4 + min(3, len(token) // 4)
         else:
-            shape = 24 + xxhash.xxh32_intdigest(token[:4]) % 232
+            shape = 24 + xxhash.xxh32_intdigest(token) % 232
         found = self[token] = xxhash.xxh32_intdigest(token.lower()) | shape << 32
         return found
 
@@ -181,10 +181,10 @@ def keep_documents(docs: DataFrame, labels: DataFrame, seed: int = SEED, id_col:
     _, ratio, least = selection(docs, labels, seed=seed, id_col=id_col, text_col=text_col, **options)
     if least is None:
         return docs
-    given = docs.sparkSession.sparkContext.broadcast(ratio)
+    given, codes = docs.sparkSession.sparkContext.broadcast(ratio), TokenCodes()
 
     def drawn(keys: list, texts: list[bytes | None]) -> list[bool]:
-        return list(ordered(weigh(keys, texts, given.value, TokenCodes(), seed)[1]) >= least)
+        return (ordered(weigh(keys, texts, given.value, codes, seed)[1]) >= least).tolist()
 
     return common.keep_rows(docs, drawn, id_col, text_col)
 

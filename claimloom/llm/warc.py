@@ -1,11 +1,15 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are sorted by page id and dealt to shards by ranges of ids that depend on the input alone: an
-aggregate over blocks of ids gives each block's bytes, and a running sum over at most BLOCKS blocks
-gives its shard. Within a shard, records in order become gzip members with their headers, dates and
+Records are sorted by (page id, digest) and dealt to shards by ranges of that key. The bounds come from the input alone: of the
+rows whose hash falls under a threshold, about PER_SHARD to a shard, the running sum of sizes is cut at every
+shard_bytes; so an outlying id moves nothing, and rows that repeat an id, or have none, can lie in several shards. Every
+shard is a partition of its own, addressed by its number. Within a shard, records in order become gzip members with their headers, dates and
 digests made anew from id and payload, and a file is closed when its compressed size passes a limit. The
 files' bytes therefore do not depend on the number of executors, on task order or on retries.
 
+A response's block is an HTTP response, so that payload and block digests differ; a revisit's block is that response's head
+alone, and it names the record that it refers to.
+
 Payloads that occur more than once are found on digests alone (a small aggregate and equi-join, in which
 a hot payload is a row or a split of rows), and only payloads of response records are written. The one
 shuffle that moves payloads is the one to shards.
@@ -13,43 +17,55 @@ shuffle that moves payloads is the one to shards.
 Files are written by Spark's text writer, so any store that Spark reaches will do: a row is a gzip member
 without its last byte, and the line end is that byte. It is the zero that ends the member's length field;
 a record of 16 MiB or more, whose length field may end otherwise, is followed by an empty member.
-Output goes to a folder with a temporary name, a manifest (file, records, first and last id, bytes) is
+Output goes to a folder with a temporary name, a manifest (file, bytes) is
 written beside it, and both are renamed, the manifest last: readers take only files that it lists.
 
 Defined results: a null html or URL is empty; rows that repeat a page id are records of their own, and all
-rows with the smallest id of a payload are responses; a null id has no place in the order and its row
-comes first in the first shard; an empty table gives an empty manifest. Other columns are not read.
+rows with the smallest id of a payload are responses; a null id has no place in the order and its rows
+come first; an empty table gives an empty manifest. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import common
 
 LEAST_SHARED = 100  # bytes from which on equal payloads are written once
-FILE_BYTES, SHARD_BYTES, BLOCKS = 64 << 20, 32 << 20, 4096
+FILE_BYTES, SHARD_BYTES = 64 << 20, 32 << 20
+#: Sampled rows to a shard; bytes of a record beside its payload; bytes that the reader unpacks at a time.
+PER_SHARD, RECORD_BYTES, STEP = 64, 600, 8 << 10
+#: Stands for a null id in the order of records.
+NO_ID = -(1 << 63)
 _EMPTY_MEMBER = bytes.fromhex("1f8b08000000000002ff0300") + bytes(8)
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record(page_id: int | None, url: str, digest: str, payload: bytes, refers_to: int | None) -> bytes:
-    """A WARC/1.1 record, with all headers made from its contents."""
+def record_id(page_id: int | None, kind: str, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {kind} {digest}')}>"
+
+
+def record(page_id: int | None, url: str, digest: str, size: int, payload: bytes, refers_to: int | None) -> bytes:
+    """A WARC/1.1 record, with all headers made from its contents; size is that of the full payload."""
     kind = "response" if refers_to is None else "revisit"
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + payload
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {kind} {digest}')}>",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, kind, digest)}",
         "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Page-ID: {'' if page_id is None else page_id}", "WARC-Target-URI: " + " ".join(url.split()),
-        f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(payload).hexdigest()}", "Content-Type: text/html",
+        f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/http; msgtype=response",
     ]
     if refers_to is not None:
-        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To-Page-ID: {refers_to}"]
-    return "\r\n".join([*lines, f"Content-Length: {len(payload)}", "", ""]).encode() + payload + b"\r\n\r\n"
+        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, 'response', digest)}", f"WARC-Refers-To-Page-ID: {refers_to}"]
+    return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
 def member(data: bytes) -> bytes:
@@ -60,16 +76,50 @@ def member(data: bytes) -> bytes:
 
 
 def records_of(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of every record of an archive file."""
-    data = archive
-    while data:
-        unpack = zlib.decompressobj(31)
-        text = unpack.decompress(data) + unpack.flush()
-        data = unpack.unused_data
-        if text:
+    """Headers and payload (what follows the HTTP head) of every record of an archive file, in time linear in its size."""
+    view, at = memoryview(archive), 0
+    while at < len(view):
+        unpack, parts = zlib.decompressobj(31), []
+        while not unpack.eof:
+            if at >= len(view):
+                raise ValueError("the archive ends within a record")
+            block = view[at : at + STEP]
+            parts.append(unpack.decompress(block))
+            at += len(block) - len(unpack.unused_data)
+        if text := b"".join(parts):
             head, _, rest = text.partition(b"\r\n\r\n")
             headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-            yield headers, rest[: int(headers["Content-Length"])]
+            yield headers, rest[: int(headers["Content-Length"])].partition(b"\r\n\r\n")[2]
+
+
+def shard_bounds(small: DataFrame, shard_bytes: int) -> list[tuple[int, str]]:
+    """The least key (id, digest) of every shard but the first, from a sample that the rows' hashes choose."""
+    total = small.agg(F.count("*").alias("rows"), F.sum(F.col("size") + RECORD_BYTES).alias("bytes")).first()
+    shards = (total.bytes or 0) // shard_bytes + 1
+    share = max(1, total.rows // (shards * PER_SHARD))
+    sample = small.where(F.pmod(F.xxhash64("page_id", "digest"), F.lit(share)) == 0)  # about PER_SHARD rows to a shard
+    bounds, held = [], 0
+    for r in sorted((r.page_id, r.digest, r.size) for r in sample.select("page_id", "digest", "size").collect()):
+        if held * share >= shard_bytes and (not bounds or bounds[-1] < r[:2]):
+            bounds.append(r[:2])
+            held = 0
+        held += r[2] + RECORD_BYTES
+    return bounds
+
+
+def shard_of(bounds: list[tuple[int, str]]):
+    """A column function: the shard of (id, digest)."""
+    ids = np.array([b[0] for b in bounds], np.int64)
+
+    @F.arrow_udf("int")
+    def place(page_id: pa.Array, digest: pa.Array) -> pa.Array:
+        keys = page_id.to_numpy(zero_copy_only=False)
+        out, last = np.searchsorted(ids, keys, "left"), np.searchsorted(ids, keys, "right")
+        for i in np.flatnonzero(out != last):  # the id is a bound's
+            out[i] = bisect.bisect_right(bounds, (int(keys[i]), digest[int(i)].as_py()), int(out[i]), int(last[i]))
+        return pa.array(out.astype(np.int32))
+
+    return place
 
 
 def _files(spark: SparkSession, path: str):
@@ -82,29 +132,20 @@ def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, shard_bytes
     """Write pages (page_id, url, html) as archives under path, with a manifest."""
     spark = pages.sparkSession
     base = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"),
+        F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"),
     )
     # digests once, for all that need no payload
     small = common.cut(base.select("page_id", F.sha2("payload", 256).alias("digest"), F.length("payload").cast("long").alias("size")))
-    firsts = small.where(F.col("size") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
+    firsts = small.where((F.col("size") >= LEAST_SHARED) & (F.col("page_id") != NO_ID)).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
     revisits = small.where(F.col("size") >= LEAST_SHARED).join(firsts, "digest").where("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
-    # shards: ranges of ids
-    ends = small.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
-    low, width = ends.low or 0, max(1, -(-((ends.high or 0) - (ends.low or 0) + 1) // BLOCKS))
-    block = F.floor((F.coalesce("page_id", F.lit(low)) - low) / width).cast("long")
-    sizes = small.groupBy(block.alias("block")).agg((F.sum("size") + F.count("*") * 400).alias("bytes"))
-    in_order = Window.orderBy("block")  # at most BLOCKS rows
-    shards = sizes.select("block", F.floor((F.sum("bytes").over(in_order) - F.col("bytes")) / shard_bytes).cast("int").alias("shard"))
+    bounds = shard_bounds(small, shard_bytes)
     # one row a revisit beside the payload rows; the writer, which gets them next to one another, joins them
     rows = base.withColumns({"digest": F.sha2("payload", 256), "refers_to": F.lit(None).cast("long")})
     marks = revisits.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to")
-    dealt = rows.unionByName(marks).withColumn("block", block).join(F.broadcast(shards), "block")
-    n = max(1, (small.agg(F.sum(F.col("size") + 400)).first()[0] or 0) // shard_bytes + 1)
-    dealt = dealt.repartition(int(n), "shard").sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").desc_nulls_last(), "url")
+    dealt = rows.unionByName(marks).withColumn("shard", shard_of(bounds)("page_id", "digest") if bounds else F.lit(0))
+    dealt = dealt.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").desc_nulls_last(), "url")
 
     def pack(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         shard = file = filled = seq = 0
         mark: tuple | None = None
         now = None
@@ -118,7 +159,8 @@ def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, shard_bytes
                     if now != row["shard"]:
                         now, shard, file, filled, seq = row["shard"], row["shard"], 0, 0, 0
                     refers = mark[2] if mark and mark[:2] == (row["page_id"], row["digest"]) else None
-                    data = member(record(row["page_id"], row["url"], row["digest"], b"" if refers is not None else row["payload"], refers))
+                    known_id = None if row["page_id"] == NO_ID else row["page_id"]
+                    data = member(record(known_id, row["url"], row["digest"], len(row["payload"]), b"" if refers is not None else row["payload"], refers))
                     if filled and filled + len(data) > file_bytes:
                         file, filled, seq = file + 1, 0, 0
                     filled += len(data)
@@ -159,8 +201,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
     def unpack(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "header_digest", "payload_bytes", "payload"]
 
