@@ -131,10 +131,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, **options: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+    """Write df as Parquet into the shared folder and read it back: lineage ends there, and a lost executor loses nothing. discard() removes it."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that cut() wrote, once all that reads them has been written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def held_out(id_col: str, modulus: int, remainder: int):
