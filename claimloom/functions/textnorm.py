@@ -17,6 +17,7 @@ from claimloom.schemas import ENTITY_TYPES
 
 #: White space as Python has it, in Java's notation; dashes that become a hyphen; what an alias loses at its ends (fixed values).
 BLANK = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+BLANK_CHARS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 DASHES = "‐‑‒–—−"
 ALIAS_ENDS = r"[ \t\r\n\"'`.,;:]"
 

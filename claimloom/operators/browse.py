@@ -21,6 +21,12 @@ def one(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+def of_knowledge_base(t: Tables, knowledge_base_id: int) -> DataFrame:
+    """Claims of a knowledge base that exists."""
+    one(t.knowledge_bases.where(F.col("id") == knowledge_base_id), "knowledge base")
+    return scoped_claims(t, knowledge_base_id)
+
+
 def _page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
     return df.orderBy(*order).offset(bounded("offset", offset)).limit(limit)
 
@@ -28,7 +34,8 @@ def _page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
 def entity_search(t: Tables, knowledge_base_id: int, query: str | None = None, entity_type: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
     """Entities of a knowledge base by name, identifier or any alias, with all aliases and counts in scope."""
     bounded("limit", limit, "page")
-    claims = scoped_claims(t, knowledge_base_id).select("id", "document_id", "subject_entity_id", "object_entity_id")
+    bounded("query", len(query or ""))
+    claims = of_knowledge_base(t, knowledge_base_id).select("id", "document_id", "subject_entity_id", "object_entity_id")
     roles = claims.select("id", "document_id", F.explode(F.array_distinct(F.array("subject_entity_id", "object_entity_id"))).alias("entity_id")).where("entity_id is not null")
     counts = roles.groupBy("entity_id").agg(F.countDistinct("document_id").cast("int").alias("document_count"), F.count("*").cast("int").alias("evidence_count"))
     aliases = t.aliases.groupBy("entity_id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
@@ -57,7 +64,7 @@ def knowledge_base_claims(t: Tables, knowledge_base_id: int, limit: int = 100, o
     if entity_type:
         kind = entity_type_literal(entity_type)
         kept.append((F.col("subject_type") == kind) | (F.col("object_type") == kind))
-    page = _page(scoped_claims(t, knowledge_base_id).where(all_of(kept)).select(*_CLAIM), ["id"], limit, offset)
+    page = _page(of_knowledge_base(t, knowledge_base_id).where(all_of(kept)).select(*_CLAIM), ["id"], limit, offset)
     files = t.documents.select(F.col("id").alias("document_id"), "filename")
     sections = t.chunks.select(F.col("id").alias("chunk_id"), "section_title")
     return page.join(files, "document_id").join(sections, "chunk_id", "left").orderBy("id")
@@ -102,6 +109,7 @@ def _document_counts(t: Tables, documents: DataFrame) -> DataFrame:
 def knowledge_base_documents(t: Tables, knowledge_base_id: int, limit: int = 100, offset: int = 0) -> DataFrame:
     """Documents of a knowledge base, newest first, with counts."""
     bounded("limit", limit, "page")
+    one(t.knowledge_bases.where(F.col("id") == knowledge_base_id), "knowledge base")
     members = t.memberships.where(F.col("knowledge_base_id") == knowledge_base_id).select(F.col("document_id").alias("id"), "added_via_batch_id")
     # the page first: only its documents are counted
     page = _page(t.documents.select("id", "filename", "status", "error", "created_at").join(members, "id"), [F.desc("created_at"), F.desc("id")], limit, offset)
@@ -125,14 +133,18 @@ def document_detail(t: Tables, document_id: int) -> tuple[DataFrame, DataFrame,
 
 def knowledge_base_batches(t: Tables, knowledge_base_id: int, limit: int = 50) -> DataFrame:
     bounded("limit", limit, "document_page")
+    one(t.knowledge_bases.where(F.col("id") == knowledge_base_id), "knowledge base")
     return _page(t.batches.where(F.col("knowledge_base_id") == knowledge_base_id), [F.desc("created_at"), F.desc("id")], limit)
 
 
-def batch_detail(t: Tables, batch_id: int) -> tuple[DataFrame, DataFrame]:
-    """(batch with the knowledge base's name, items by position with their documents' state)."""
+def batch_detail(t: Tables, batch_id: int, item_metadata: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(batch with the knowledge base's name, items by position with their documents' state); item_metadata, if given, is joined on position."""
     header = one(t.batches.where(F.col("id") == batch_id), "batch").join(t.knowledge_bases.select(F.col("id").alias("knowledge_base_id"), F.col("name").alias("knowledge_base_name")), "knowledge_base_id")
     docs = t.documents.select(F.col("id").alias("document_id"), F.col("status").alias("document_status"), "title")
-    return header, t.batch_items.where(F.col("batch_id") == batch_id).join(docs, "document_id", "left").orderBy("position")
+    items = t.batch_items.where(F.col("batch_id") == batch_id).join(docs, "document_id", "left")
+    if item_metadata is not None:
+        items = items.join(item_metadata, "position", "left")
+    return header, items.orderBy("position")
 
 
 def finished_share(items: DataFrame) -> DataFrame:
@@ -140,6 +152,12 @@ def finished_share(items: DataFrame) -> DataFrame:
     return items.groupBy("batch_id").agg(F.avg(F.col("status").isin("done", "partial", "failed", "rejected").cast("int")).alias("finished"))
 
 
+def removed_counts(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """One row: how many relations and entities pruning removes."""
+    k = F.lit(1).alias("k")
+    return relations.agg(F.count("*").alias("removed_relations")).select(k, "removed_relations").join(entities.agg(F.count("*").alias("removed_entities")).select(k, "removed_entities"), "k").drop("k")
+
+
 def orphans(t: Tables) -> tuple[DataFrame, DataFrame]:
     """(relations without evidence, entities in none of the other relations): what pruning removes."""
     lone = t.relations.join(t.relation_evidence.select(F.col("relation_id").alias("id")), "id", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions.textnorm import BLANK
+from claimloom.functions.textnorm import BLANK_CHARS
 
 MOST_CHARS, OVERLAP = 12_000, 800
 
@@ -16,7 +16,7 @@ def split_into_chunks(sections: DataFrame, key: str = "document_id", most_chars:
     A stripped text of at most most_chars is one chunk; a longer one gives windows that advance by most_chars - overlap
     until one reaches the end; windows are stripped and blank ones dropped.
     """
-    strip = lambda c: F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    strip = lambda c: F.btrim(c, F.lit(BLANK_CHARS))
     rows = sections.withColumn("text", strip(F.col("text")))
     n = F.length("text")
     last = F.greatest(n - overlap - 1, F.lit(0))

@@ -11,21 +11,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions import claimjson
+from claimloom.schemas import ENTITY_TYPES
 
 #: prompt -> answer; a call of a language model, or the rules below
 Extractor = Callable[[str], str]
+#: What validated_bundle accepts, as a JSON schema.
+_TERM = {"type": "object", "required": ["text"], "properties": {"text": {"type": "string"}, "type": {"type": ["string", "null"]}, "normalized_id": {"type": ["string", "null"]}}}
+_EVIDENCE = {"type": "object", "required": ["sentence"], "properties": {"sentence": {"type": "string"}, "section": {"type": ["string", "null"]}, "page": {"type": ["integer", "null"]}, "table_or_figure": {"type": ["string", "null"]}}}
+_CLAIM = {
+    "type": "object", "required": ["subject", "predicate", "object", "evidence", "confidence"],
+    "properties": {
+        "subject": _TERM, "predicate": {"type": "string"}, "object": _TERM, "qualifiers": {"type": "object"}, "evidence": _EVIDENCE,
+        "confidence": {"type": "number", "minimum": 0, "maximum": 1}, "negated": {"type": "boolean"}, "speculative": {"type": "boolean"},
+    },
+}
+SCHEMA = json.dumps({"type": "object", "required": ["claims"], "properties": {"claims": {"type": "array", "items": _CLAIM}}})
 RULES = (
-    "Use only facts that the passage states.", "Quote the evidence sentence of every claim.", "Set negated for negative results.", "Set speculative for guesses, background and future work.",
-    "Leave out what is uncertain.", "Give normalized_id only where the passage prints a database identifier.", 'Answer with JSON alone, {"claims": []} for none.',
+    "Work from the passage alone; add nothing from elsewhere.", "One claim for one relation between two named things.", "Copy into evidence.sentence the sentence that carries the claim.", "A finding that something has no effect is a claim with negated true.",
+    "Guesses, background and plans are claims with speculative true.", "If it is unclear who acts on what, leave the claim out.", "Put doses, models, assays and other conditions into qualifiers.", "Fill normalized_id only from an identifier printed in the passage.",
+    f"Use these types where one fits: {', '.join(sorted(set(ENTITY_TYPES.values())))}.", "Let confidence say how plainly the sentence states the claim, from 0 to 1.", "Name page, table or figure where the passage does.", 'Answer with JSON of the schema and nothing else; {"claims": []} if there is none.',
 )
+SYSTEM = "You read passages of papers and list relations between compounds, drugs, proteins, genes, pathways and diseases.\n" + "\n".join(f"{i}. {r}" for i, r in enumerate(RULES, 1)) + f"\nSchema: {SCHEMA}"
+REPAIR = "The last answer is not valid JSON of the schema. Answer again with JSON alone.\nLast answer:\n"
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]?")
 _FACT = re.compile(r"\b([A-Z][\w-]+) (?:(does not|may) )?(activates?|inhibits?|binds to|bind to) ([A-Z][\w-]+)")
 
 
+def messages(section: Column, text: Column) -> Column:
+    """[(role, content)]: the rules and the schema, then section and passage."""
+    asked = F.concat(F.lit("Section: "), F.coalesce(section, F.lit("")), F.lit("\nPassage:\n"), F.coalesce(text, F.lit("")))
+    return F.array(F.struct(F.lit("system").alias("role"), F.lit(SYSTEM).alias("content")), F.struct(F.lit("user").alias("role"), asked.alias("content")))
+
+
 def prompt(section: Column, text: Column) -> Column:
-    """One text with rules, section and passage."""
-    rules = "\n".join(f"{i}. {r}" for i, r in enumerate(RULES, 1))
-    return F.concat(F.lit(f"Extract relations between compounds, drugs, proteins, genes and diseases.\n{rules}\nSection: "), F.coalesce(section, F.lit("")), F.lit("\nPassage:\n"), F.coalesce(text, F.lit("")))
+    """The messages as one text, for services that take one."""
+    return F.array_join(F.transform(messages(section, text), lambda m: m["content"]), "\n")
 
 
 def rule_extractor(asked: str) -> str:
@@ -40,9 +60,8 @@ def rule_extractor(asked: str) -> str:
     return json.dumps({"claims": claims})
 
 
-def extract(chunks: DataFrame, extractor: Extractor = rule_extractor, repair: Extractor | None = None) -> DataFrame:
-    """chunks (id, document_id, section_title, text) -> chunk_id, document_id, position, claim. A chunk whose answer stays
-    invalid after one repair has no claims. Repartition chunks first to bound the number of calls at a time."""
+def answers(chunks: DataFrame, extractor: Extractor = rule_extractor, repair: Extractor | None = None) -> DataFrame:
+    """chunk_id, document_id, answer (the JSON in it), valid: one row for a chunk. An invalid answer goes to repair once, with what was wrong about it."""
 
     def asked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -51,12 +70,26 @@ def extract(chunks: DataFrame, extractor: Extractor = rule_extractor, repair: Ex
 
     def repaired(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            part["answer"] = [a if claimjson.validated_bundle(a) is not None or repair is None else repair(a) for a in part["answer"]]
-            yield part[["chunk_id", "document_id", "answer"]]
+            part["answer"] = [a if claimjson.validated_bundle(a) is not None else repair(REPAIR + (a or "")) for a in part["answer"]]
+            yield part
 
     schema = "chunk_id long, document_id long, answer string"
     rows = chunks.select(F.col("id").alias("chunk_id"), "document_id", prompt(F.col("section_title"), F.col("text")).alias("prompt")).mapInPandas(asked, schema)
     rows = rows.withColumn("answer", claimjson.first_json_object(F.col("answer")))
     if repair is not None:
         rows = rows.mapInPandas(repaired, schema).withColumn("answer", claimjson.first_json_object(F.col("answer")))
+    return rows.withColumn("valid", claimjson.claims_of(F.col("answer")).isNotNull())
+
+
+def chunk_states(answered: DataFrame) -> DataFrame:
+    """id, document_id, status, error of chunks that were asked about: done where the answer is valid, else failed."""
+    error = F.when(~F.col("valid"), F.lit("The answer is not valid JSON of the schema"))
+    return answered.select(F.col("chunk_id").alias("id"), "document_id", F.when(F.col("valid"), "done").otherwise("failed").alias("status"), error.alias("error"))
+
+
+def extract(chunks: DataFrame, extractor: Extractor = rule_extractor, repair: Extractor | None = None) -> DataFrame:
+    """chunks (id, document_id, section_title, text) -> chunk_id, document_id, position, claim. A chunk whose answer stays
+    invalid after one repair has no claims. Repartition chunks first to bound the number of calls at a time."""
+
+    rows = answers(chunks, extractor, repair)
     return rows.select("chunk_id", "document_id", F.posexplode(F.coalesce(claimjson.claims_of(F.col("answer")), F.array())).alias("position", "claim"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.textnorm import entity_type_literal, predicate_literal
+from claimloom.plans.lineage import cut
 from claimloom.schemas import Tables, bounded
 
 
@@ -49,9 +50,9 @@ def edges(
     bounded("min_document_count", min_document_count)
     evidence = distinct_evidence(t, knowledge_base_id, document_id) if evidence is None else evidence
     kept = []
-    if predicate is not None:
+    if predicate:
         kept.append(F.col("predicate") == predicate_literal(predicate))
-    if entity_type is not None:
+    if entity_type:
         kind = entity_type_literal(entity_type)
         kept.append((F.col("subject_type") == kind) | (F.col("object_type") == kind))
     if not include_negated:
@@ -112,8 +113,8 @@ def evidence_samples(t: Tables, top: DataFrame, evidence: DataFrame, evidence_li
 
 
 def graph(t: Tables, knowledge_base_id: int | None = None, document_id: int | None = None, *, evidence_limit: int = 3, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges with samples, summary). The deduplicated evidence is used three times and cached."""
-    evidence = distinct_evidence(t, knowledge_base_id, document_id).persist()
+    """(nodes, edges with samples, summary). The deduplicated evidence is used three times and written."""
+    evidence = cut(distinct_evidence(t, knowledge_base_id, document_id))
     top = edges(t, knowledge_base_id, document_id, evidence=evidence, **options)
     samples = evidence_samples(t, top, evidence, evidence_limit).groupBy(F.col("relation_id").alias("id")).agg(
         F.sort_array(F.collect_list(F.struct("rank", "claim_id", "document_id", "filename", "section", "sentence", "confidence"))).alias("evidence_samples")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.textnorm import BLANK
 from claimloom.operators.project import replace_rows
+from claimloom.plans.lineage import cut
+from claimloom.schemas import BOUNDS, Tables
 
 MOST_BYTES = 100 * 1024 * 1024
 
@@ -28,7 +30,8 @@ def reject_reason(filename: Column, size: Column, header: Column, most_bytes: in
 
 
 def validate_uploads(files: DataFrame, most_bytes: int = MOST_BYTES, folder: str = "uploads") -> DataFrame:
-    """files (position, filename, content) with their safe name, size, reject reason, and for accepted ones hash and path."""
+    """files (position, filename, content; null counts as empty) with their safe name, size, reject reason, and for accepted ones hash and path."""
+    files = files.withColumn("content", F.coalesce("content", F.lit(b"")))  # what was not sent is empty
     name, size = safe_filename(F.col("filename")), F.length("content").cast("long")
     reason = reject_reason(name, size, F.substring("content", 1, 1024), most_bytes)
     sha = F.when(reason.isNull(), F.sha2("content", 256))
@@ -96,3 +99,45 @@ def create_knowledge_base(bases: DataFrame, name: str, description: str | None =
 def replace_chunks(chunks: DataFrame, fresh: DataFrame) -> DataFrame:
     """A document that was parsed again has its new chunks only."""
     return replace_rows(chunks, fresh, "document_id")
+
+
+def create_batch(batches: DataFrame, knowledge_base_id: int, name: str | None = None) -> tuple[DataFrame, int]:
+    """batches with one more, and its id; a name is trimmed and cut to 200 characters, and null if blank."""
+    id_ = batches.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
+    name = (name or "").strip()[:200] or None
+    row = batches.sparkSession.range(1).select(F.lit(id_).cast("long").alias("id"), F.lit(knowledge_base_id).cast("long").alias("knowledge_base_id"), F.lit(name).cast("string").alias("name"), F.current_timestamp().alias("created_at"))
+    return batches.unionByName(row, allowMissingColumns=True), id_
+
+
+def ingest_batch(t: Tables, files: DataFrame, knowledge_base_id: int, name: str | None = None, force: bool = False, most_bytes: int = MOST_BYTES, most_files: int = BOUNDS["files"][1]) -> tuple[Tables, int, DataFrame]:
+    """(tables, batch id, metadata (position, size_bytes, was_new_document, queued_for_processing)) after files (position, filename, content).
+
+    Every file has an item; a rejected one says why and stops nothing. Accepted ones are registered, become members and are queued once."""
+    if t.knowledge_bases.where(F.col("id") == knowledge_base_id).isEmpty():
+        raise KeyError("knowledge base not found")
+    if not 1 <= (n := files.count()) <= most_files:
+        raise ValueError(f"a batch has from 1 to {most_files} files, not {n}")
+    uploads = cut(validate_uploads(files, most_bytes))
+    batches, batch = create_batch(t.batches, knowledge_base_id, name)
+    registered = cut(register_documents(t.documents, uploads, force))
+    accepted = uploads.where("error is null").select("sha256").distinct()
+    added = registered.join(accepted, "sha256", "left_semi").select(F.lit(knowledge_base_id).cast("long").alias("knowledge_base_id"), F.col("id").alias("document_id"), F.lit(batch).cast("long").alias("added_via_batch_id"))
+    items = batch_items(uploads, registered, batch)
+    flags = uploads.select("position", "size_bytes", "sha256").join(registered.select("sha256", "inserted", "queued"), "sha256", "left")
+    no = F.lit(False)
+    metadata = flags.select("position", "size_bytes", F.coalesce("inserted", no).alias("was_new_document"), F.coalesce("queued", no).alias("queued_for_processing"))
+    now = t.with_(documents=registered, batches=batches, memberships=add_memberships(t.memberships, added), batch_items=t.batch_items.unionByName(items, allowMissingColumns=True))
+    return now, batch, metadata
+
+
+def ingest_document(t: Tables, filename: str, content: bytes, most_bytes: int = MOST_BYTES) -> tuple[Tables, DataFrame]:
+    """(tables, its item) after one file into the default knowledge base, the one with the least id; a rejected file raises."""
+    default = t.knowledge_bases.agg(F.min("id")).first()[0]
+    if default is None:
+        raise KeyError("there is no knowledge base")
+    files = t.knowledge_bases.sparkSession.createDataFrame([(0, filename, bytearray(content or b""))], "position long, filename string, content binary")
+    now, batch, metadata = ingest_batch(t, files, default, most_bytes=most_bytes)
+    item = now.batch_items.where(F.col("batch_id") == batch).join(metadata, "position")
+    if (error := item.first().error) is not None:
+        raise ValueError(error)
+    return now, item

@@ -32,8 +32,8 @@ def project_claims(claims: DataFrame) -> DataFrame:
 def dedup_claims(claims: DataFrame, order: str = "id") -> DataFrame:
     """One row for (chunk_id, claim_fingerprint): the values of the last, the id of the first."""
     keys = ["chunk_id", "claim_fingerprint"]
-    others = [c for c in claims.columns if c not in {*keys, "id"}]
-    rows = claims.groupBy(*keys).agg(F.min("id").alias("id"), F.max_by(F.struct(*others), order).alias("last"))
+    others = [c for c in claims.columns if c not in {*keys, "id"}]  # order decides which claim is first and which last
+    rows = claims.groupBy(*keys).agg(F.min_by("id", order).alias("id"), F.max_by(F.struct(*others), order).alias("last"))
     return rows.select("id", *keys, *[F.col("last")[c].alias(c) for c in others]).select(*claims.columns)
 
 
@@ -57,9 +57,18 @@ def latest_aliases(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("entity_id", "normalized_alias").agg(F.max_by("alias", "seq").alias("alias")).select("entity_id", "alias", "normalized_alias")
 
 
+def _parsed(claim_json):
+    return claimjson.claims_of(F.concat(F.lit('{"claims":['), F.coalesce(claim_json, F.lit("")), F.lit("]}")))
+
+
+def readable(claim_json):
+    """Is this the JSON of one valid claim?"""
+    return F.coalesce(F.size(_parsed(claim_json)) == 1, F.lit(False))
+
+
 def rebuild(claims: DataFrame, knowledge_base_claims: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(projected, failed sample, counts) of a knowledge base's stored claims (id, claim_json): all pages at once, 20 failures to look at."""
-    rows = claims.join(knowledge_base_claims.select("id"), "id", "left_semi").withColumn("parsed", claimjson.claims_of(F.concat(F.lit('{"claims":['), F.coalesce("claim_json", F.lit("")), F.lit("]}"))))
+    rows = claims.join(knowledge_base_claims.select("id"), "id", "left_semi").withColumn("parsed", _parsed(F.col("claim_json")))
     good = F.coalesce(F.size("parsed") == 1, F.lit(False))
     projected = keep_first_claims(project_claims(rows.where(good).withColumn("claim", F.element_at("parsed", 1)).drop("parsed", "predicate", "confidence", "negated", "speculative", "evidence_text", "claim_fingerprint")))
     counts = rows.agg(F.count_if(good).alias("projected"), F.count_if(~good).alias("failed"))

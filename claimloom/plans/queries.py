@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions import claimjson, textnorm
-from claimloom.operators import browse, chunking, extract, graph, ingest, project, resolve, status
-from claimloom.plans.lineage import shared_folder
+from claimloom.operators import assemble, browse, chunking, extract, graph, ingest, project, resolve, status
+from claimloom.plans.lineage import cut, shared_folder
+from claimloom.schemas import TABLES, Tables
 from claimloom.sources import sections, starschema
 from claimloom.sources.tables import table
 from claimloom.streaming import incremental
@@ -225,7 +226,7 @@ def document_status(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), "text").where("text is not null")
+    return table(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), "text")
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -237,7 +238,7 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
 
 _FILES = """
     with f as (select doc_id as position, case doc_id % 5 when 0 then 'a b.pdf' when 1 then 'Paper.PDF' when 2 then 'notes.txt' when 3 then 'fake.pdf' else 'document.pdf' end as filename,
-      case when doc_id % 5 = 3 then text when doc_id % 7 = 0 then '' else '%PDF-' || text end as content from documents where text is not null),
+      coalesce(case when doc_id % 5 = 3 then text when doc_id % 7 = 0 then '' else '%PDF-' || text end, '') as content from documents),
     v as (select *, octet_length(encode(content)) as size_bytes, case when filename = 'notes.txt' then 'Only PDF files are supported' when octet_length(encode(content)) > 3000 then 'File exceeds the 3000 byte limit'
       when content = '' then 'File is empty' when not contains(left(content, 1000), '%PDF-') then 'File is not a valid PDF' end as error from f)"""
 
@@ -275,11 +276,11 @@ def _all_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a PDF of an accepted name."""
     k = F.col("document_id") % 3
     name = F.when(k == 0, F.lit("C:\\docs\\a b.pdf")).when(k == 1, F.lit(" ../../x/Paper.PDF ")).otherwise(F.lit("in/"))
-    return _texts(spark, folder).select(F.col("document_id").alias("position"), name.alias("filename"), F.encode(F.concat(F.lit("%PDF-"), F.col("text")), "UTF-8").alias("content"))
+    return _texts(spark, folder).select(F.col("document_id").alias("position"), name.alias("filename"), F.encode(F.concat(F.lit("%PDF-"), F.coalesce("text", F.lit(""))), "UTF-8").alias("content"))
 
 
 _ALL_FILES = """
-    with f as (select doc_id as position, case doc_id % 3 when 0 then 'a b.pdf' when 1 then 'Paper.PDF' else 'document.pdf' end as filename, '%PDF-' || text as content from documents where text is not null),
+    with f as (select doc_id as position, case doc_id % 3 when 0 then 'a b.pdf' when 1 then 'Paper.PDF' else 'document.pdf' end as filename, '%PDF-' || coalesce(text, '') as content from documents),
     v as (select *, case when octet_length(encode(content)) > 104857600 then 'File exceeds the 104857600 byte limit' end as error from f)"""
 
 
@@ -302,9 +303,9 @@ def register_documents_all(spark: SparkSession, folder: str) -> DataFrame:
     from (select doc_id, start, regexp_replace(substring(text, start + 1, 2000), '^\s+|\s+$', '', 'g') as c from w) where c <> '' or start = 0""")
 def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Windows of 2,000 characters, so that most documents give several."""
-    rows = _texts(spark, folder).withColumns({"section_index": F.lit(0), "section_title": F.lit("Body")})
-    cut = chunking.number_chunks(chunking.split_into_chunks(rows, most_chars=2000, overlap=200))
-    return cut.select("document_id", "chunk_index", F.sha2("text", 256).alias("sha256"), "token_estimate")
+    rows = _texts(spark, folder).where("text is not null").withColumns({"section_index": F.lit(0), "section_title": F.lit("Body")})
+    parts = chunking.number_chunks(chunking.split_into_chunks(rows, most_chars=2000, overlap=200))
+    return parts.select("document_id", "chunk_index", F.sha2("text", 256).alias("sha256"), "token_estimate")
 
 
 def _tei(spark: SparkSession, folder: str) -> DataFrame:
@@ -435,15 +436,19 @@ def orphan_prune(spark: SparkSession, folder: str) -> DataFrame:
 def rebuild_projection(spark: SparkSession, folder: str) -> DataFrame:
     """Claims stored as JSON, one in thirteen of them with a confidence out of range."""
     t = starschema.tables(spark, folder)
+    projected, _, counts = project.rebuild(t.claims.select("id", "chunk_id", _stored().alias("claim_json")), graph.scoped_claims(t, KB))
+    none = lambda kind: F.lit(None).cast(kind)
+    failed = counts.select(none("long").alias("id"), none("long").alias("chunk_id"), none("string").alias("claim_fingerprint"), none("string").alias("predicate"), "failed")
+    return projected.select("id", "chunk_id", "claim_fingerprint", "predicate", none("long").alias("failed")).unionByName(failed)
+
+
+def _stored() -> F.Column:
+    """Claims as JSON; one in thirteen has a confidence out of range."""
     side = lambda role: F.struct(F.col(f"{role}_text").alias("text"), F.lower(f"{role}_type").alias("type"))
-    stored = F.to_json(F.struct(
+    return F.to_json(F.struct(
         side("subject").alias("subject"), F.lower(F.replace("predicate", F.lit("_"), F.lit(" "))).alias("predicate"), side("object").alias("object"), F.struct(F.col("evidence_text").alias("sentence")).alias("evidence"),
         F.when(F.col("id") % 13 == 0, 7.5).otherwise(F.col("confidence")).alias("confidence"), "negated", "speculative",
     ))
-    projected, _, counts = project.rebuild(t.claims.select("id", "chunk_id", stored.alias("claim_json")), graph.scoped_claims(t, KB))
-    none = lambda kind: F.lit(None).cast(kind)
-    failed = counts.select(none("long").alias("id"), none("long").alias("chunk_id"), none("string").alias("claim_fingerprint"), none("string").alias("predicate"), "failed")
-    return projected.select("id", "chunk_id", "claim_fingerprint", "predicate", none("long").alias("failed")).unionByName(failed)
 
 
 @query()
@@ -493,6 +498,66 @@ def incremental_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return incremental.stored_claims(spark, f"{top}/out").select("document_id", "predicate", "subject_key", "evidence_text", "negated", "speculative")
 
 
+@query(MODEL + f"""
+    , i as ({_ITEMS})
+    select i.batch_id, b.r_name as knowledge_base_name, i.position, i.filename, i.document_id, d.status as document_status, d.id is not null as known
+    from i join region b on b.r_regionkey = i.batch_id % 5 left join m_documents d on d.id = i.document_id where i.batch_id = {DOC}""")
+def batch_detail(spark: SparkSession, folder: str) -> DataFrame:
+    """A batch with its items; whether a document is known comes as metadata by position."""
+    t = starschema.tables(spark, folder)
+    known = t.batch_items.where(F.col("batch_id") == DOC).select("position", F.col("document_id").isNotNull().alias("known"))
+    header, items = browse.batch_detail(t, DOC, known)
+    return header.select(F.col("id").alias("batch_id"), "knowledge_base_name").join(items, "batch_id").select("batch_id", "knowledge_base_name", "position", "filename", "document_id", "document_status", "known")
+
+
+@query(MODEL + _ROLLED.format(f"select *, own_status as s from m_items where batch_id in (select batch_id from m_items where document_id = {DOC + 1})"))
+def batches_of_document(spark: SparkSession, folder: str) -> DataFrame:
+    t = starschema.tables(spark, folder)
+    return status.batches_of_document(t.batches, t.batch_items, DOC + 1)
+
+
+@query(_FILES + """
+    , h as (select *, case when error is null then sha256(content) end as sha256 from v),
+    d as (select sha256, arg_max(filename, position) as filename, min(position) as first from h where sha256 is not null group by sha256)
+    select h.position, h.filename, h.size_bytes, h.error, case when h.error is not null then 'rejected' else 'queued' end as status, d.first + 1 as document_id, d.sha256 is not null as was_new_document, d.sha256 is not null as queued_for_processing
+    from h left join d on d.sha256 = h.sha256""")
+def ingest_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as one batch of uploads into an empty model."""
+    empty = lambda name: spark.createDataFrame([], TABLES[name])
+    bases = starschema.tables(spark, folder).knowledge_bases
+    t = Tables(documents=empty("documents"), batches=empty("batches"), memberships=empty("memberships"), batch_items=empty("batch_items"), knowledge_bases=bases)
+    now, batch, metadata = ingest.ingest_batch(t, _files(spark, folder), KB, " uploads ", most_bytes=3000, most_files=1 << 62)
+    items = now.batch_items.where(F.col("batch_id") == batch).withColumn("position", F.col("position").cast("long"))
+    return items.join(metadata, "position").select("position", "filename", "size_bytes", "error", "status", "document_id", "was_new_document", "queued_for_processing")
+
+
+@query(f"""
+    with e as ({_EXTRACTED})
+    select 'other|name:' || lower(subject) as subject_key, upper(replace(predicate, ' ', '_')) as predicate, 'other|name:' || lower(object) as object_key, negated, speculative, count(*) as evidence_count, count(distinct document_id) as document_count
+    from e group by all""")
+def extract_to_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages through extraction, resolution and the upsert of relations and evidence."""
+    claims = project.project_claims(extract.extract(_passages(spark, folder)).withColumn("id", F.col("chunk_id")))  # a passage has one claim
+    made = assemble.claims_to_graph(cut(claims))
+    side = lambda role: made.entities.select(F.col("id").alias(f"{role}_entity_id"), F.col("canonical_key").alias(f"{role}_key"))
+    counts = made.relation_evidence.join(made.claims.select(F.col("id").alias("claim_id"), "document_id"), "claim_id").groupBy(F.col("relation_id").alias("id")).agg(F.count("*").alias("evidence_count"), F.countDistinct("document_id").alias("document_count"))
+    rows = made.relations.join(counts, "id").join(side("subject"), "subject_entity_id").join(side("object"), "object_entity_id")
+    return rows.select("subject_key", "predicate", "object_key", "negated", "speculative", "evidence_count", "document_count")
+
+
+@query(MODEL + f"""
+    , kb as (select * from m_claims {_IN_KB}), p as (select *, {_PRINT} as claim_fingerprint from kb where id % 13 <> 0),
+    gone as (select id from p qualify row_number() over (partition by chunk_id, claim_fingerprint order by id) > 1)
+    select relation_id, count(*) as evidence_count, sum(claim_id) as claims from m_evidence where claim_id not in (select id from gone) group by relation_id""")
+def rebuild_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Relations and evidence after a knowledge base's stored claims are projected and resolved again; every entity and relation is found as it was."""
+    t = starschema.tables(spark, folder)
+    t = t.with_(claims=t.claims.withColumn("claim_json", _stored()), entities=t.entities, aliases=t.aliases)
+    now, _, _ = assemble.rebuild_graph(t, KB)
+    rows = now.relation_evidence.join(now.relations.select(F.col("id").alias("relation_id")), "relation_id")
+    return rows.groupBy("relation_id").agg(F.count("*").alias("evidence_count"), F.sum("claim_id").alias("claims"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -30,7 +30,7 @@ ENTITY_TYPES = {
 #: Parameter -> (least, most) (fixed values).
 BOUNDS = {
     "limit": (1, 2000), "evidence_limit": (1, 20), "min_document_count": (1, 1 << 31), "page": (1, 1000), "document_page": (1, 500),
-    "base_page": (1, 500), "offset": (0, 1 << 62), "files": (1, 200),
+    "base_page": (1, 500), "query": (0, 200), "offset": (0, 1 << 62), "files": (1, 200),
 }
 
 

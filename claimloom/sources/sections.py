@@ -64,9 +64,10 @@ def parse(documents: DataFrame, parser: Parser = tei_sections, fallback: Parser
 
 
 def binary_documents(spark, path: str) -> DataFrame:
-    """position, filename, content of the files under a path."""
+    """position, filename, content of the files under a path. Only paths are numbered in one task; contents are joined to them."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     files = spark.read.format("binaryFile").load(path)
-    return files.select((F.row_number().over(Window.orderBy("path")) - 1).alias("position"), F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+    places = files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("position"))
+    return files.select("path", "content").join(places, "path").select("position", F.element_at(F.split("path", "/"), -1).alias("filename"), "content")

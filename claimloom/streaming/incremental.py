@@ -1,7 +1,8 @@
-"""Arriving documents, batch by batch, through the same functions as a batch run.
+"""Arriving documents, batch by batch, through the same functions as a batch run, up to relations and evidence.
 
-A micro-batch is written as one version of its claims, named by its number: when a batch is delivered again it
-replaces itself, so at-least-once delivery gives each claim once.
+A micro-batch is written as one version of its documents and claims, named by its number: when a batch is delivered again it
+replaces itself, so at-least-once delivery gives each claim once. Documents are written beside claims, so that one that comes
+again counts as in its last batch, even where that has no claims.
 """
 
 from __future__ import annotations
@@ -10,35 +11,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from claimloom.operators.assemble import claims_to_graph
 from claimloom.operators.chunking import number_chunks, split_into_chunks
 from claimloom.operators.extract import Extractor, extract, rule_extractor
 from claimloom.operators.project import dedup_claims, project_claims
+from claimloom.plans.lineage import cut
+from claimloom.schemas import Tables
+from claimloom.sources import sections
+
+ORDER = ["batch", "document_id", "chunk_index", "position"]
+
+
+def sections_of(documents: DataFrame) -> DataFrame:
+    """Sections of documents (document_id, text), or of (document_id, content) through the parsers."""
+    if "content" in documents.columns:
+        return sections.parse(documents).where("error is null").select("document_id", "section_index", "section_title", "text")
+    return documents.select("document_id", F.lit(0).alias("section_index"), F.lit("Body").alias("section_title"), "text").where("text is not null")
 
 
 def claims_of_documents(documents: DataFrame, extractor: Extractor = rule_extractor) -> DataFrame:
-    """documents (document_id, text) -> projected claims, one for a chunk and fingerprint."""
-    sections = documents.select("document_id", F.lit(0).alias("section_index"), F.lit("Body").alias("section_title"), "text").where("text is not null")
-    chunks = number_chunks(split_into_chunks(sections)).withColumn("id", F.col("document_id") * 100_000 + F.col("chunk_index"))
-    found = extract(chunks, extractor).withColumn("id", F.col("chunk_id") * 1_000 + F.col("position"))
+    """documents (document_id, text or content) -> projected claims, one for a chunk and fingerprint. Ids are 64-bit hashes of (document, chunk, place)."""
+    chunks = number_chunks(split_into_chunks(sections_of(documents))).withColumn("id", F.xxhash64("document_id", "chunk_index"))
+    places = chunks.select(F.col("id").alias("chunk_id"), "chunk_index")
+    found = extract(chunks, extractor).join(places, "chunk_id").withColumn("id", F.xxhash64("document_id", "chunk_index", "position"))
     rows = project_claims(found)
     return dedup_claims(rows.select(
-        "id", "document_id", "chunk_id", F.col("subject.canonical_key").alias("subject_key"), "predicate", F.col("object.canonical_key").alias("object_key"), "qualifiers", "qualifiers_hash",
-        "evidence_text", "confidence", "negated", "speculative", "claim_fingerprint",
-    ))
+        "id", "document_id", "chunk_id", "chunk_index", "position", "subject", "object", F.col("subject.canonical_key").alias("subject_key"), "predicate", F.col("object.canonical_key").alias("object_key"), "qualifiers",
+        "qualifiers_hash", "evidence_text", "confidence", "negated", "speculative", "claim_fingerprint",
+    ), "position")
 
 
 def ingest_stream(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, extractor: Extractor = rule_extractor, files_per_batch: int = 100) -> StreamingQuery:
-    """Read Parquet files of documents as they appear under source; the claims of batch n go to sink/batch=n."""
+    """Read Parquet files of documents as they appear under source; those of batch n go to sink/documents/batch=n, their claims to sink/claims/batch=n."""
 
     def write(batch: DataFrame, number: int) -> None:
-        claims_of_documents(batch, extractor).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        claims_of_documents(batch, extractor).write.mode("overwrite").parquet(f"{sink}/claims/batch={number}")
+        batch.select("document_id").distinct().write.mode("overwrite").parquet(f"{sink}/documents/batch={number}")
 
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     return arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current_claims(spark: SparkSession, sink: str) -> DataFrame:
+    """All claims with their batch; a document that came again counts as in its last batch."""
+    last = spark.read.parquet(f"{sink}/documents").groupBy("document_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{sink}/claims").join(last, ["document_id", "batch"])
+
+
 def stored_claims(spark: SparkSession, sink: str) -> DataFrame:
-    """All claims; a document that came again counts as in its last batch."""
-    rows = spark.read.parquet(sink)
-    last = rows.groupBy("document_id").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["document_id", "batch"]).drop("batch")
+    return current_claims(spark, sink).drop("batch", "subject", "object", "chunk_index", "position")
+
+
+def stored_graph(spark: SparkSession, sink: str) -> Tables:
+    """Entities, aliases, claims, relations and evidence of all claims, resolved in order of arrival."""
+    return claims_to_graph(cut(current_claims(spark, sink)), order=ORDER)
