@@ -6,13 +6,14 @@ some item has. A matching length of at least the window (13 words) means that a
 ends there; a shorter item is one window as a whole, and is found on the state's suffix links.
 The spans of all windows are united; a document whose hit words reach the coverage limit is contaminated.
 
-The automata are built from blocks of items of at most BLOCK_WORDS words (a longer item is a block
-of its own), and each block is broadcast by itself: memory is bounded by a block, and documents are
-read once however many blocks there are. No shuffle.
+The automata are built from blocks of items of about BLOCK_WORDS words, dealt by the hash of the item's id, and each block is
+broadcast by itself: the driver and a worker hold one block at a time, and documents are
+read once however many blocks there are. With several blocks a worker builds each automaton once for every 64 MB of text. No shuffle.
 
 Defined results: null texts have no words; items with a null id, a null text or no words are left out;
-repeated items count once by id; a document without words is not contaminated. Extra columns are
-passed through by keep_documents and ignored by score.
+repeated items count once by id; a document without words is not contaminated; ties are kept apart by nothing, as every
+occurrence counts; a very long document is searched whole, and repeated rows are judged alike. Extra columns, whatever their names, are
+passed through by keep_documents and clean_documents and ignored by score; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from claimloom.llm import common
 
-WINDOW, BLOCK_WORDS = 13, 200_000
+WINDOW, BLOCK_WORDS, WORD_BYTES = 13, 200_000, 6
 
 
 class SuffixAutomaton:
@@ -153,17 +154,20 @@ class Benchmark:
         self.key, self.window, self.blocks = uuid.uuid4().hex, window, []
         sc = items.sparkSession.sparkContext
         slim = items.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).cast("binary").alias("t")).where("k is not null and t is not null").distinct()
-        block, held = [], 0
-        for row in slim.toLocalIterator():
-            words = common.alnum_words(bytes(row.t))
-            if words and block and held + len(words) > block_words:
+        # as many blocks as the items' bytes need, dealt by hash; the driver holds the items of one block at a time
+        total = slim.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+        n = max(1, -(-total // (block_words * WORD_BYTES)))
+        slim = slim.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(n)))
+        for k in range(n):
+            own = sorted((r.k, bytes(r.t)) for r in slim.where(F.col("block") == k).select("k", "t").collect())
+            block = [(key, words) for key, text in own if (words := common.alnum_words(text))]
+            if block:
                 self.blocks.append(sc.broadcast(block))
-                block, held = [], 0
-            if words:
-                block.append((row.k, words))
-                held += len(words)
-        if block:
-            self.blocks.append(sc.broadcast(block))
+
+    @property
+    def slice_bytes(self) -> int:
+        """Text to search at a time: with several blocks more, so that each automaton is built less often."""
+        return 2 << 20 if len(self.blocks) < 2 else 64 << 20
 
     def automaton(self, k: int) -> SuffixAutomaton:
         if (self.key, k) not in _BUILT:
@@ -205,9 +209,10 @@ def score(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage_part
                 "contaminated": [contaminated(n, h, coverage_parts) for (n, _, _), h in zip(found, hits)],
                 "item_ids": ids, "spans": [[{"first": a, "last": b} for a, b in s] for _, s, _ in found],
             }
+        _BUILT.clear()  # the worker goes on to other stages
 
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, spans array<struct<first:int,last:int>>"
-    return common.map_text(docs, rows, schema, id_col, text_col)
+    return common.map_text(docs, rows, schema, id_col, text_col, bench.slice_bytes)
 
 
 def keep_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage_parts: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,7 +222,7 @@ def keep_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, cove
     def clean(_: list, texts: list[bytes | None]) -> list[bool]:
         return [not contaminated(n, sum(b - a + 1 for a, b in s), coverage_parts) for n, s, _ in bench.search(texts)]
 
-    return common.keep_rows(docs, clean, id_col, text_col)
+    return common.keep_rows(docs, clean, id_col, text_col, bench.slice_bytes)
 
 
 def without_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -249,7 +254,9 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, cov
     def judged(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.struct([("keep", pa.bool_()), ("new", pa.string())])
         for column in columns:
-            yield pa.array([r for part in common.text_slices(column, 2 << 20) for r in cleaned(common.utf8(part))], kind)
+            yield pa.array([r for part in common.text_slices(column, bench.slice_bytes) for r in cleaned(common.utf8(part))], kind)
+        _BUILT.clear()  # the worker goes on to other stages
+        common.release()
 
     # nondeterministic for the optimiser, so that it is not run once for the filter and once for the text
     text, verdict = F.col(f"`{text_col}`"), "__verdict"
