@@ -11,7 +11,8 @@ Counts leave a task as at most BUCKETS rows; the driver sees BUCKETS sums, the s
 (65,536 rows at most, four times) by which the exact k-th largest key is found among any number.
 
 Defined results: null, empty and featureless texts have weight 0 and compete as such, with one word less than any
-text like the target's; ties with the k-th key are all kept, so repeated rows share their fate; null labels are
+text like the target's; ties with the k-th key are all kept, so repeated rows share their fate; a very long text weighs as the
+sum of its features; of rows that share a labelled id the least weight sets the cut; null labels are
 no labels; without labelled rows of both kinds all documents are kept. Extra columns are passed through by
 keep_documents and ignored by score.
 """
@@ -162,7 +163,8 @@ def selection(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: in
     found = common.cut(weights(docs, ratio, seed, id_col, text_col))
     spark = docs.sparkSession
     known = spark.createDataFrame(list(chosen.items()) or [(None, 0)], docs.select(F.col(id_col), F.lit(0).alias("y")).schema)
-    judged = [(r.log_weight, r.y) for r in found.join(F.broadcast(known), id_col).select("log_weight", "y").collect()]  # at most `sample`
+    labelled = found.join(F.broadcast(known), id_col).groupBy(id_col, "y").agg(F.min("log_weight").alias("w"))  # a row to each of at most `sample` ids
+    judged = sorted((r.w, r.y) for r in labelled.collect())
     least = best_cut(np.array([w for w, _ in judged]), np.array([y > 0 for _, y in judged], bool))
     if least is None:
         return found, ratio, None
