@@ -41,7 +41,7 @@ class ByteBpe:
 
     #: Pre-tokens that a worker remembers in each of two generations, and the longest of them. A full young
     #: generation becomes the old one; what is asked for again moves back, so frequent pre-tokens stay.
-    REMEMBERED, REMEMBERED_CHARS = 400_000, 48
+    REMEMBERED, REMEMBERED_CHARS = 150_000, 48
 
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as lines:
@@ -185,7 +185,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         for keys, texts in parts:
             out: dict[str, list] = {k: [] for k in (id_col, "n_tokens", "ids", "ids_sha256", "decoded_sha256", "round_trip")}
             for key, text in zip(keys, texts):
-                ids = bpe.encode((text or b"").decode())
+                with common.without_gc():
+                    ids = bpe.encode((text or b"").decode())
                 back = bpe.decode(ids)
                 decimals = bpe.decimals
                 out[id_col].append(key)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -79,6 +80,7 @@ def map_text(
 
         for columns in rows(parts()):
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+        release()
 
     return slim.mapInArrow(run, schema)
 
@@ -99,10 +101,18 @@ def keep_rows(docs: DataFrame, mask: Callable[[list, list[bytes | None]], list[b
                 flags += mask(ids.slice(at, len(part)).to_pylist(), utf8(part))
                 at += len(part)
             yield pa.array(flags, pa.bool_())
+        release()
 
     return docs.where(kept(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
 
 
+def release() -> None:
+    """At the end of a task: hand what the worker has freed back to the system, since the worker, its caches apart, lives on for other stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 @contextmanager
 def without_gc() -> Iterator[None]:
     """No cyclic garbage collection: over caches of a million objects every full collection is slow, and the loops inside make no cycles."""
