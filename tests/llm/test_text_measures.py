@@ -168,5 +168,77 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.score(cases.empty(spark), toxicity.learn(cases.empty(spark), labels)).count() == 0
 
 
+def test_toxicity_is_the_sum_over_words_by_edit_distance():
+    """The whole score of texts from a model, with every word held against every term."""
+    terms = [("stupid", False), ("horrible", True), ("abc", False), ("slimy", True)]
+    weights = {(t, e): w for (t, _), w in zip(terms, (6.0, 4.0, 3.0, 2.0)) for e in (True, False)}
+    weights |= {(t, False): w / 2 for (t, e), w in weights.items() if e}
+    model = {"terms": terms, "weights": weights, "quoted": 0.25, "beta": [-4.0, 0.5, 0.75]}
+    texts = [None, "", "Stupid horribly stupid", 'He "stupid" ok', "she said that stupd thing", "abd abc! slimyness", "horrrible " * 50 + "sstupid", "plain words only"]
+    import math
+
+    for text, x in zip(texts, (toxicity.evidence(model, f) for f in toxicity.hits(toxicity.Lexicon(terms), [t.encode() if t is not None else None for t in texts]))):
+        sums, tokens, done = [0.0, 0.0], (text or "").split(), set()
+        for i, token in enumerate(tokens):
+            word = token.strip("!\"").lower()
+            near = tokens[max(0, i - 4) : i]
+            said = '"' in token or sum(w.count('"') for w in near) % 2 == 1 or any(w.lower() in ("said", "wrote") for w in near)
+            if (word, said) in done:
+                continue
+            done.add((word, said))
+            found = []
+            for term, stem in terms:
+                e = min(distance(word[:k], term) for k in (range(len(word) + 1) if stem else [len(word)]))
+                if e <= (0 if len(term) < 5 else 1 if len(term) < 8 else 2):
+                    found.append((weights[term, e == 0], e == 0))
+            if found:
+                w, exact = max(found)
+                sums[not exact] += w * (0.25 if said else 1.0)
+        assert x == [1.0, min(20.0, sums[0]), min(20.0, sums[1])], text
+        assert math.isfinite(sum(a * b for a, b in zip(x, model["beta"])))
+
+
+def test_slopes_are_found_and_never_negative():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.column_stack([np.ones(500), rng.uniform(0, 10, 500), rng.uniform(0, 3, 500)])
+    y = (x[:, 1] > 5).astype(float)
+    beta = toxicity.fit(x, y, toxicity.PRIOR, toxicity.RIDGE)
+    assert (beta[1:] >= 0).all() and ((x @ beta > 0) == (y > 0)).mean() > 0.97
+    assert (toxicity.fit(x, 1 - y, toxicity.PRIOR, toxicity.RIDGE)[1:] >= 0).all()
+
+
+def test_token_counts_of_odd_texts(monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, machine = Tokenizer.from_file(path), token_counts.Transducer(path)
+    r = random.Random(4)
+    pieces = ["a", "b", "the", " ", "  ", "\n", "\t", "'s", "'", "'ll", "é", "日", "1", "23", ".", "!?", "ing", "'re x", "\u3000", "<|endoftext|>"]
+    for _ in range(3000):
+        t = "".join(r.choice(pieces) for _ in range(r.randrange(14)))
+        assert machine.count(t) == len(library.encode(t, add_special_tokens=False).ids), t
+    monkeypatch.setattr(token_counts.Transducer, "WORDS", 20)
+    machine = token_counts.Transducer(path)
+    for t in ("x" * 70_000, "日本語" * 30_000, " ".join(cases.prose(8, 500))):
+        assert machine.count(t) == len(library.encode(t, add_special_tokens=False).ids)
+
+
+def test_a_pre_token_of_a_megabyte(monkeypatch):
+    import random
+
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(2)
+    text = "".join(r.choices("etaoinshrdlu", k=1 << 20))
+    assert bpe.ByteBpe(path, public_tokenizers.PATTERN).encode(text) == library.encode_ordinary(text)
+
+
 if __name__ == "__main__":
     pytest.main([__file__])
