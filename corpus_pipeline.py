@@ -1,6 +1,7 @@
 """A training corpus from raw documents, in five stages; each reads what the one before wrote.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, whatever their
+names, and no stage crashes on, or gives other than no rows for, an empty table.
 """
 
 from __future__ import annotations
@@ -15,28 +16,28 @@ from claimloom.llm import bpe, common, decontaminate, near_dedup, repetition, re
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the suffix-array limits on repeats."""
+    """Documents that pass the base rules and the suffix-array limits on repeats. Null, empty, blank and short texts fail; repeated rows share their fate; very long texts are read whole."""
     return repetition.keep_documents(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by importance resampling towards the good labelled ones."""
+    """Documents drawn by importance resampling towards the good labelled ones. Null and empty texts compete with weight 0; ties with the last one drawn stay; repeated rows share their fate; without labels of both kinds all stay."""
     return resample.keep_documents(docs, common.table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
+    """The document with the smallest id of each group of near copies. Null and empty texts are no copies of anything; all rows of a kept id stay; a null id goes."""
     return near_dedup.keep_documents(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover less than a twentieth, without the spans of 13 or more words."""
+    """Documents of which benchmark windows cover less than a twentieth, without the spans of 13 or more words. Null texts stay null, and texts without words stay."""
     cleaned = decontaminate.clean_documents(docs, common.table(spark, sf_dir, "benchmark"))
     return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of each document."""
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of each row; null and empty texts have no ids."""
     return bpe.encode(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN).drop("round_trip")
 
 
