@@ -259,7 +259,8 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, cov
         common.release()
 
     # nondeterministic for the optimiser, so that it is not run once for the filter and once for the text
-    text, verdict = F.col(f"`{text_col}`"), "__verdict"
+    taken = {c.lower() for c in docs.columns}
+    text, verdict = F.col(f"`{text_col}`"), next(c for k in range(len(taken) + 1) if (c := f"verdict_{k}") not in taken)
     rows = docs.withColumn(verdict, judged.asNondeterministic()(text)).where(F.col(verdict)["keep"])
     return rows.withColumn(text_col, F.coalesce(F.col(verdict)["new"], text)).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -91,7 +91,7 @@ def prior_strength(groups: DataFrame) -> float:
 def reputations(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame:
     """host, n_outcomes, rate, bound, overall of every host of pages; pages (page_id, host), outcomes (page_id, good)."""
     counted = common.cut(
-        outcomes.where("good is not null").join(pages.select("page_id", "host"), "page_id").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").cast("long").alias("good"))
+        outcomes.select("page_id", "good").where("good is not null").join(pages.select("page_id", "host"), "page_id").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").cast("long").alias("good"))
     ).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).first()
     overall = F.lit((total.good + 1) / (total.n + 2))  # between 0 and 1, with no outcome too

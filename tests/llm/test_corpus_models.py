@@ -268,13 +268,13 @@ def test_shards_are_even_whatever_the_ids(spark, tmp_path):
 def test_pipeline_stages_at_the_edges(spark, small):
     import corpus_pipeline as cp
 
-    docs = cases.documents(spark).withColumn("n_chars", cases.documents(spark).n).withColumn("__verdict", cases.documents(spark).h)
-    for docs_ in (docs.drop("__verdict"), docs.limit(0).drop("__verdict")):
+    docs = cases.documents(spark).selectExpr("*", "n as n_chars", "h as verdict_0", "h as Verdict_1")
+    for docs_ in (docs, docs.limit(0)):
         for name, stage in cp.STAGES[:-1]:
             got = stage(spark, docs_, small)
             assert got.columns == docs_.columns and got.count() <= docs_.count(), name
         assert cp.STAGES[-1][1](spark, docs_, small).count() == docs_.count()
-    kept = {name: [r.doc_id for r in stage(spark, docs.drop("__verdict"), small).collect()] for name, stage in cp.STAGES[:-1]}
+    kept = {name: [r.doc_id for r in stage(spark, docs, small).collect()] for name, stage in cp.STAGES[:-1]}
     assert not {1, 2, 3, 4, 15} & set(kept["quality_rules"])  # null, empty, blank and short texts fail the base rule
-    assert kept["near_duplicates"].count(5) == 2 and None not in kept["near_duplicates"] and 7 not in kept["near_duplicates"]
+    assert {1, 2, 3, 4, 6} <= set(kept["near_duplicates"]) and not {5, 7, None} & set(kept["near_duplicates"])  # 5 twice says what 4 says
     assert {1, 2, 3} <= set(kept["decontamination"])
