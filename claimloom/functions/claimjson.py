@@ -4,23 +4,19 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
+from json.encoder import encode_basestring
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from claimloom.functions import textnorm
 
-_DASHES = dict.fromkeys(map(ord, textnorm.DASHES), "-")
-
-
-def _tidy(text: str) -> str:
-    return " ".join(unicodedata.normalize("NFKC", text).translate(_DASHES).split())
-
 
 def _walk(value: Any, on_text: Callable[[str], str], drop_null: bool) -> Any:
     """Rebuild a JSON value with its texts changed; null members of objects go if asked, nulls in lists stay."""
@@ -42,15 +38,25 @@ def _parsed(text: str | None) -> dict:
     return (json.loads(text) if text else None) or {}
 
 
-@F.pandas_udf(StringType())
-def canonical_qualifiers(s: pd.Series) -> pd.Series:
+@lru_cache(1 << 14)
+def _canonical(text: str | None) -> str:
+    return dumps(_walk(_parsed(text), textnorm.tidy, True))
+
+
+@lru_cache(1 << 14)
+def _caseless(text: str | None) -> str:
+    return dumps(_walk(_walk(_parsed(text), textnorm.tidy, True), str.casefold, False))
+
+
+@F.arrow_udf(StringType())
+def canonical_qualifiers(s: pa.Array) -> pa.Array:
     """Sorted keys, cleaned texts, no null members; {} for null."""
-    return s.map(lambda x: dumps(_walk(_parsed(x), _tidy, True)))
+    return pa.array(map(_canonical, s.to_pylist()), pa.string())
 
 
-@F.pandas_udf(StringType())
-def _folded(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: dumps(_walk(_walk(_parsed(x), _tidy, True), str.casefold, False)))
+@F.arrow_udf(StringType())
+def _folded(s: pa.Array) -> pa.Array:
+    return pa.array(map(_caseless, s.to_pylist()), pa.string())
 
 
 def qualifiers_hash(c: Column) -> Column:
@@ -58,19 +64,25 @@ def qualifiers_hash(c: Column) -> Column:
     return F.sha2(_folded(c), 256)
 
 
-@F.pandas_udf(StringType())
-def _payload(subject: pd.Series, predicate: pd.Series, object_: pd.Series, qualifiers: pd.Series, evidence: pd.Series, negated: pd.Series, speculative: pd.Series) -> pd.Series:
-    rows = zip(subject, predicate, object_, qualifiers, evidence, negated, speculative)
-    names = ("subject", "predicate", "object", "qualifiers", "evidence", "negated", "speculative")
-    return pd.Series([dumps(dict(zip(names, (*r[:3], _walk(_parsed(r[3]), _tidy, True), r[4], bool(r[5]), bool(r[6]))))) for r in rows])
+def _claim_text(subject: str | None, predicate: str | None, object_: str | None, qualifiers: str | None, evidence: str | None, negated: bool, speculative: bool) -> str:
+    """A claim as JSON with sorted keys, as dumps would write it."""
+    text = lambda x: "null" if x is None else encode_basestring(x)
+    members = {
+        "evidence": text(textnorm.alias_of(evidence)), "negated": str(negated).lower(), "object": text(object_), "predicate": text(textnorm.predicate_literal(predicate)),
+        "qualifiers": _canonical(qualifiers), "speculative": str(speculative).lower(), "subject": text(subject),
+    }
+    return "{" + ",".join(f'"{k}":{v}' for k, v in members.items()) + "}"
+
+
+@F.arrow_udf(StringType())
+def _payload(subject: pa.Array, predicate: pa.Array, object_: pa.Array, qualifiers: pa.Array, evidence: pa.Array, negated: pa.Array, speculative: pa.Array) -> pa.Array:
+    return pa.array(map(_claim_text, *[c.to_pylist() for c in (subject, predicate, object_, qualifiers, evidence, negated, speculative)]), pa.string())
 
 
 def claim_fingerprint(subject_key: Column, predicate: Column, object_key: Column, qualifiers: Column, evidence: Column, negated: Column, speculative: Column) -> Column:
     """Keeps the case of qualifiers, unlike their hash; evidence counts as an alias does."""
     no = F.lit(False)
-    return F.sha2(
-        _payload(subject_key, textnorm.normalize_predicate(predicate), object_key, qualifiers, textnorm.normalize_alias(evidence), F.coalesce(negated, no), F.coalesce(speculative, no)), 256
-    )
+    return F.sha2(_payload(subject_key, predicate, object_key, qualifiers, evidence, F.coalesce(negated, no), F.coalesce(speculative, no)), 256)
 
 
 def remove_thinking(c: Column) -> Column:
@@ -96,9 +108,9 @@ def _first_object(text: str | None) -> str:
     return text[start:].strip()
 
 
-@F.pandas_udf(StringType())
-def _first_objects(s: pd.Series) -> pd.Series:
-    return s.map(_first_object)
+@F.arrow_udf(StringType())
+def _first_objects(s: pa.Array) -> pa.Array:
+    return pa.array(map(_first_object, s.to_pylist()), pa.string())
 
 
 def first_json_object(c: Column) -> Column:
@@ -106,7 +118,10 @@ def first_json_object(c: Column) -> Column:
 
 
 def _text(value: Any, needed: bool) -> str | None:
-    if isinstance(value, str) or (value is None and not needed):
+    if isinstance(value, str):
+        value.encode()  # raises for half of a surrogate pair, which no column can hold
+        return value
+    if value is None and not needed:
         return value
     raise ValueError("text expected")
 
@@ -133,10 +148,12 @@ def validated_claim(value: dict) -> dict:
     confidence = float(value["confidence"])
     if not 0 <= confidence <= 1:
         raise ValueError("confidence out of range")
-    page = evidence.get("page")
+    page = None if evidence.get("page") is None else int(evidence["page"])
+    if page is not None and not -(1 << 31) <= page < 1 << 31:
+        raise ValueError("page out of range")
     return {
-        "subject": _entity(value["subject"]), "predicate": _text(value["predicate"], True), "object": _entity(value["object"]), "qualifiers": dumps(qualifiers),
-        "evidence": {"section": _text(evidence.get("section"), False), "sentence": _text(evidence["sentence"], True), "page": None if page is None else int(page), "table_or_figure": _text(evidence.get("table_or_figure"), False)},
+        "subject": _entity(value["subject"]), "predicate": _text(value["predicate"], True), "object": _entity(value["object"]), "qualifiers": _text(dumps(qualifiers), True),
+        "evidence": {"section": _text(evidence.get("section"), False), "sentence": _text(evidence["sentence"], True), "page": page, "table_or_figure": _text(evidence.get("table_or_figure"), False)},
         "confidence": confidence, "negated": _boolean(value.get("negated", False)), "speculative": _boolean(value.get("speculative", False)),
     }
 
@@ -147,17 +164,27 @@ def validated_bundle(text: str | None) -> list[dict] | None:
         data = json.loads(text or "")
         claims = data.get("claims", [])
         return [validated_claim(c) for c in claims] if isinstance(claims, list) else None
-    except (ValueError, KeyError, TypeError, AttributeError):
+    except (ValueError, KeyError, TypeError, AttributeError, OverflowError, RecursionError):
         return None
 
 
+def _struct(**fields: DataType) -> StructType:
+    return StructType([StructField(k, v) for k, v in fields.items()])
+
+
+_STRING, _ENTITY = StringType(), _struct(text=StringType(), type=StringType(), normalized_id=StringType())
 #: The type of a validated claim; qualifiers are JSON text, since their values may be of any kind.
-CLAIM = (
-    "struct<subject:struct<text:string,type:string,normalized_id:string>,predicate:string,object:struct<text:string,type:string,normalized_id:string>,qualifiers:string,"
-    "evidence:struct<section:string,sentence:string,page:int,table_or_figure:string>,confidence:double,negated:boolean,speculative:boolean>"
-)
+CLAIM = _struct(
+    subject=_ENTITY, predicate=_STRING, object=_ENTITY, qualifiers=_STRING, evidence=_struct(section=_STRING, sentence=_STRING, page=IntegerType(), table_or_figure=_STRING),
+    confidence=DoubleType(), negated=BooleanType(), speculative=BooleanType(),
+)
+
+
+@F.arrow_udf(ArrayType(CLAIM))
+def _bundles(s: pa.Array) -> pa.Array:
+    return pa.array(map(validated_bundle, s.to_pylist()), to_arrow_type(ArrayType(CLAIM)))
 
 
 def claims_of(c: Column) -> Column:
     """The validated claims of a bundle's JSON; null where it is invalid."""
-    return F.udf(validated_bundle, f"array<{CLAIM}>", useArrow=True)(c)
+    return _bundles(c)

@@ -1,17 +1,21 @@
 """Normalised forms of names, types, predicates and identifiers, as column expressions.
 
-All is JVM-side but for two things Spark has no function for, NFKC and case folding; those are Arrow
-batches through pandas UDFs that leave ASCII as it is.
+Single forms are JVM-side but for two things Spark has no function for, NFKC and case folding; those are Arrow
+batches, and a batch that is all ASCII is handed back or lowered without a loop. An entity's identity is five forms of three
+texts, and its own forms take NFKC and folding one after the other, so it is made in one pass; tests hold it to the single forms.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from claimloom.schemas import ENTITY_TYPES
 
@@ -22,14 +26,22 @@ DASHES = "‐‑‒–—−"
 ALIAS_ENDS = r"[ \t\r\n\"'`.,;:]"
 
 
-@F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+_TO_HYPHEN = dict.fromkeys(map(ord, DASHES), "-")
+_IDENTITY = ("canonical_key", "canonical_name", "entity_type", "normalized_id", "normalized_alias")
 
 
-@F.pandas_udf(StringType())
-def casefold(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else x.lower() if x.isascii() else x.casefold())
+def _all_ascii(s: pa.Array) -> bool:
+    return pc.all(pc.string_is_ascii(s)).as_py() is not False
+
+
+@F.arrow_udf(StringType())
+def nfkc(s: pa.Array) -> pa.Array:
+    return s if _all_ascii(s) else pa.array([x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in s.to_pylist()], pa.string())
+
+
+@F.arrow_udf(StringType())
+def casefold(s: pa.Array) -> pa.Array:
+    return pc.ascii_lower(s) if _all_ascii(s) else pa.array([None if x is None else x.casefold() for x in s.to_pylist()], pa.string())
 
 
 def clean_text(c: Column, fallback: str = "Unknown") -> Column:
@@ -63,26 +75,45 @@ def normalize_predicate(c: Column) -> Column:
     return F.upper(F.when(s == "", F.lit("RELATED_TO")).otherwise(s))
 
 
-def predicate_literal(value: str) -> str:
-    """The same for one parameter, on the driver, so that the filter is a constant and reaches the scan."""
-    s = unicodedata.normalize("NFKC", value or "").translate(dict.fromkeys(map(ord, DASHES), "-")) or "RELATED_TO"
-    words = "".join(ch if ch.isascii() and ch.isalnum() else " " for ch in s).split()
+def tidy(text: str) -> str:
+    """clean_text for one text, without a fallback."""
+    return " ".join(unicodedata.normalize("NFKC", text).translate(_TO_HYPHEN).split())
+
+
+def alias_of(text: str | None) -> str:
+    """normalize_alias for one text."""
+    return (tidy(text or "") or "Unknown").strip(" \t\r\n\"'`.,;:").casefold()
+
+
+@lru_cache(1 << 14)
+def predicate_literal(value: str | None) -> str:
+    """normalize_predicate for one text: on the driver, so that a filter is a constant and reaches the scan, and within fingerprints."""
+    words = "".join(ch if ch.isascii() and ch.isalnum() else " " for ch in tidy(value or "")).split()
     return "_".join(words).upper() or "RELATED_TO"
 
 
-def entity_type_literal(value: str) -> str:
-    s = " ".join(unicodedata.normalize("NFKC", value or "").translate(dict.fromkeys(map(ord, DASHES), "-")).split()) or "Other"
-    key = s.replace("-", " ").casefold()
-    key = "_".join(key.split()) if key.strip() else "_"
+@lru_cache(1 << 14)
+def entity_type_literal(value: str | None) -> str:
+    """normalize_entity_type for one text."""
+    s = tidy(value or "") or "Other"
+    key = re.sub("[ -]+", "_", s).casefold()
     return ENTITY_TYPES.get(key, ENTITY_TYPES.get(key.replace("_", ""), s))
 
 
+@lru_cache(1 << 15)
+def _identity(text: str | None, entity_type: str | None, external: str | None) -> tuple[str | None, ...]:
+    kind, known_as, alias = entity_type_literal(entity_type), tidy(external or "") or None, alias_of(text)
+    part = f"name:{alias}" if known_as is None else f"id:{known_as.casefold()}"
+    return f"{kind.casefold()}|{part}", tidy(text or "") or "Unknown", kind, known_as, alias
+
+
+@F.arrow_udf(StructType([StructField(x, StringType()) for x in _IDENTITY]))
+def _identities(text: pa.Array, entity_type: pa.Array, external: pa.Array) -> pa.Array:
+    rows = map(_identity, text.to_pylist(), entity_type.to_pylist(), external.to_pylist())
+    columns = list(zip(*rows)) or [()] * len(_IDENTITY)
+    return pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], names=list(_IDENTITY))
+
+
 def entity_identity(text: Column, entity_type: Column, normalized_id: Column) -> Column:
     """struct(canonical_key, canonical_name, entity_type, normalized_id, normalized_alias)."""
-    name, kind, external = clean_text(text), normalize_entity_type(entity_type), normalize_external_id(normalized_id)
-    alias = normalize_alias(text)
-    part = F.coalesce(F.concat(F.lit("id:"), casefold(external)), F.concat(F.lit("name:"), alias))
-    return F.struct(
-        F.concat(casefold(kind), F.lit("|"), part).alias("canonical_key"), name.alias("canonical_name"), kind.alias("entity_type"),
-        external.alias("normalized_id"), alias.alias("normalized_alias"),
-    )
+    return _identities(text, entity_type, normalized_id)

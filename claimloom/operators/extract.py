@@ -37,10 +37,13 @@ _SENTENCE = re.compile(r"[^.!?\n]+[.!?]?")
 _FACT = re.compile(r"\b([A-Z][\w-]+) (?:(does not|may) )?(activates?|inhibits?|binds to|bind to) ([A-Z][\w-]+)")
 
 
+def question(section: Column, text: Column) -> Column:
+    return F.concat(F.lit("Section: "), F.coalesce(section, F.lit("")), F.lit("\nPassage:\n"), F.coalesce(text, F.lit("")))
+
+
 def messages(section: Column, text: Column) -> Column:
     """[(role, content)]: the rules and the schema, then section and passage."""
-    asked = F.concat(F.lit("Section: "), F.coalesce(section, F.lit("")), F.lit("\nPassage:\n"), F.coalesce(text, F.lit("")))
-    return F.array(F.struct(F.lit("system").alias("role"), F.lit(SYSTEM).alias("content")), F.struct(F.lit("user").alias("role"), asked.alias("content")))
+    return F.array(F.struct(F.lit("system").alias("role"), F.lit(SYSTEM).alias("content")), F.struct(F.lit("user").alias("role"), question(section, text).alias("content")))
 
 
 def prompt(section: Column, text: Column) -> Column:
@@ -61,11 +64,12 @@ def rule_extractor(asked: str) -> str:
 
 
 def answers(chunks: DataFrame, extractor: Extractor = rule_extractor, repair: Extractor | None = None) -> DataFrame:
-    """chunk_id, document_id, answer (the JSON in it), valid: one row for a chunk. An invalid answer goes to repair once, with what was wrong about it."""
+    """chunk_id, document_id, answer (the JSON in it), valid: one row for a chunk. An invalid answer goes to repair once, with what was wrong about it.
+    The rules, which are the same for all, join the question in the worker."""
 
     def asked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            part["answer"] = part["prompt"].map(extractor)
+            part["answer"] = [extractor(f"{SYSTEM}\n{q}") for q in part["question"]]
             yield part[["chunk_id", "document_id", "answer"]]
 
     def repaired(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,7 +78,7 @@ def answers(chunks: DataFrame, extractor: Extractor = rule_extractor, repair: Ex
             yield part
 
     schema = "chunk_id long, document_id long, answer string"
-    rows = chunks.select(F.col("id").alias("chunk_id"), "document_id", prompt(F.col("section_title"), F.col("text")).alias("prompt")).mapInPandas(asked, schema)
+    rows = chunks.select(F.col("id").alias("chunk_id"), "document_id", question(F.col("section_title"), F.col("text")).alias("question")).mapInPandas(asked, schema)
     rows = rows.withColumn("answer", claimjson.first_json_object(F.col("answer")))
     if repair is not None:
         rows = rows.mapInPandas(repaired, schema).withColumn("answer", claimjson.first_json_object(F.col("answer")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import claimjson, textnorm
+from claimloom.plans.lineage import cut
 
 RELATION = ["subject_entity_id", "predicate", "object_entity_id", "qualifiers_hash", "negated", "speculative"]
 
@@ -67,8 +68,9 @@ def readable(claim_json):
 
 
 def rebuild(claims: DataFrame, knowledge_base_claims: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(projected, failed sample, counts) of a knowledge base's stored claims (id, claim_json): all pages at once, 20 failures to look at."""
-    rows = claims.join(knowledge_base_claims.select("id"), "id", "left_semi").withColumn("parsed", _parsed(F.col("claim_json")))
+    """(projected, failed sample, counts) of a knowledge base's stored claims (id, claim_json): all pages at once, 20 failures to look at.
+    The parsed claims are used three times and written."""
+    rows = cut(claims.join(knowledge_base_claims.select("id"), "id", "left_semi").withColumn("parsed", _parsed(F.col("claim_json"))))
     good = F.coalesce(F.size("parsed") == 1, F.lit(False))
     projected = keep_first_claims(project_claims(rows.where(good).withColumn("claim", F.element_at("parsed", 1)).drop("parsed", "predicate", "confidence", "negated", "speculative", "evidence_text", "claim_fingerprint")))
     counts = rows.agg(F.count_if(good).alias("projected"), F.count_if(~good).alias("failed"))
