@@ -44,6 +44,8 @@ LEAST_SHARED = 100  # bytes from which on equal payloads are written once
 FILE_BYTES, SHARD_BYTES = 64 << 20, 32 << 20
 #: Sampled rows to a shard; bytes of a record beside its payload; bytes that the reader unpacks at a time.
 PER_SHARD, RECORD_BYTES, STEP = 64, 600, 8 << 10
+#: Shards of an archive: beyond 256 GB of payload they grow, so that the sample (about PER_SHARD keys to each) and the bounds stay within the driver.
+MOST_SHARDS = 8192
 #: Stands for a null id in the order of records.
 NO_ID = -(1 << 63)
 _EMPTY_MEMBER = bytes.fromhex("1f8b08000000000002ff0300") + bytes(8)
@@ -95,15 +97,18 @@ def records_of(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def shard_bounds(small: DataFrame, shard_bytes: int) -> list[tuple[int, str]]:
     """The least key (id, digest) of every shard but the first, from a sample that the rows' hashes choose."""
     total = small.agg(F.count("*").alias("rows"), F.sum(F.col("size") + RECORD_BYTES).alias("bytes")).first()
+    shard_bytes = max(shard_bytes, -(-(total.bytes or 0) // MOST_SHARDS))
     shards = (total.bytes or 0) // shard_bytes + 1
     share = max(1, total.rows // (shards * PER_SHARD))
     sample = small.where(F.pmod(F.xxhash64("page_id", "digest"), F.lit(share)) == 0)  # about PER_SHARD rows to a shard
+    # rows of one key have one hash: a key with a third of all rows is one row here
+    keys = sample.groupBy("page_id", "digest").agg(F.sum(F.col("size") + RECORD_BYTES).alias("bytes"))
     bounds, held = [], 0
-    for r in sorted((r.page_id, r.digest, r.size) for r in sample.select("page_id", "digest", "size").collect()):
+    for r in sorted((r.page_id, r.digest, r.bytes) for r in keys.collect()):
         if held * share >= shard_bytes and (not bounds or bounds[-1] < r[:2]):
             bounds.append(r[:2])
             held = 0
-        held += r[2] + RECORD_BYTES
+        held += r[2]
     return bounds
 
 

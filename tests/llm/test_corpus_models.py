@@ -278,3 +278,12 @@ def test_pipeline_stages_at_the_edges(spark, small):
     assert not {1, 2, 3, 4, 15} & set(kept["quality_rules"])  # null, empty, blank and short texts fail the base rule
     assert {1, 2, 3, 4, 6} <= set(kept["near_duplicates"]) and not {5, 7, None} & set(kept["near_duplicates"])  # 5 twice says what 4 says
     assert {1, 2, 3} <= set(kept["decontamination"])
+
+
+def test_bounds_of_shards_come_from_distinct_keys_and_have_a_limit(spark, tmp_path, monkeypatch):
+    rows = [(None, "u", "all the same " * 20)] * 500 + [(k, "u", f"{k} " * 60) for k in range(1000)]
+    small = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr(f"coalesce(page_id, {warc.NO_ID}) as page_id", "sha2(html, 256) as digest", "cast(length(html) as long) as size")
+    bounds = warc.shard_bounds(small, 20_000)
+    assert 20 < len(bounds) < 100 and bounds == sorted(set(bounds))
+    monkeypatch.setattr(warc, "MOST_SHARDS", 5)
+    assert 2 <= len(warc.shard_bounds(small, 20_000)) <= 8
