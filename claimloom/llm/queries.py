@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import bpe, decontaminate, language_model, near_dedup, repetition, resample, token_counts, toxicity, url_filter, warc
+from claimloom.llm import bpe, decontaminate, language_model, near_dedup, repetition, resample, spelling, token_counts, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_levenshtein_lexicon": toxicity.op8_levenshtein_lexicon,
         "op9_bpe_rank_queue": bpe.op9_bpe_rank_queue,
         "op10_suffix_automaton": decontaminate.op10_suffix_automaton,
+        "op11_symmetric_delete": spelling.op11_symmetric_delete,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_host_reputation": url_filter.ORACLE_SQL, "op7_warc_shards": warc.ORACLE_SQL}
+    return {"op3_host_reputation": url_filter.ORACLE_SQL, "op7_warc_shards": warc.ORACLE_SQL, "op11_symmetric_delete": spelling.ORACLE_SQL}
