@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import bpe, conversations, decontaminate, language_model, near_dedup, repetition, resample, spelling, token_counts, toxicity, url_filter, warc
+from claimloom.llm import bpe, conversations, decontaminate, language_model, near_dedup, phrases, repetition, resample, spelling, token_counts, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe_rank_queue": bpe.op9_bpe_rank_queue,
         "op10_suffix_automaton": decontaminate.op10_suffix_automaton,
         "op11_symmetric_delete": spelling.op11_symmetric_delete,
+        "op12_prefix_free_parsing": phrases.op12_prefix_free_parsing,
         "op13_recursive_repair": conversations.op13_recursive_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_host_reputation": url_filter.ORACLE_SQL, "op7_warc_shards": warc.ORACLE_SQL, "op11_symmetric_delete": spelling.ORACLE_SQL, "op13_recursive_repair": conversations.ORACLE_SQL}
+    return {"op3_host_reputation": url_filter.ORACLE_SQL, "op7_warc_shards": warc.ORACLE_SQL, "op11_symmetric_delete": spelling.ORACLE_SQL, "op12_prefix_free_parsing": phrases.ORACLE_SQL, "op13_recursive_repair": conversations.ORACLE_SQL}
