@@ -1,4 +1,4 @@
-"""Sections of documents: TEI from a parsing service, plain pages, or text columns; parsers are interchangeable."""
+"""Sections of documents: TEI from a parsing service, pages of PDF files or of plain text; parsers are interchangeable."""
 
 from __future__ import annotations
 
@@ -9,8 +9,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from claimloom.sources import pdf
+
 _TEI = "{http://www.tei-c.org/ns/1.0}"
 LEAST_BODY_CHARS = 80
+NO_SECTIONS = "No text sections extracted from PDF"
 Sections = list[tuple[str, str]]
 #: bytes -> (title, sections); raises where it cannot read the document
 Parser = Callable[[bytes], tuple[str | None, Sections]]
@@ -36,28 +39,36 @@ def tei_sections(content: bytes) -> tuple[str | None, Sections]:
     return (_texts(titles) if titles else None), sections
 
 
+def pdf_sections(content: bytes) -> tuple[None, Sections]:
+    """The pages of a PDF file, blank ones left out; raises where it is none."""
+    return None, [(f"Page {i}", p) for i, p in enumerate(pdf.page_texts(content), 1) if p]
+
+
 def page_sections(content: bytes) -> tuple[None, Sections]:
-    """Pages divided by form feeds, blank ones left out."""
+    """Pages of plain text, divided by form feeds, blank ones left out."""
     pages = (re.sub(r"\s+", " ", p).strip() for p in content.decode("utf-8", "replace").split("\f"))
     return None, [(f"Page {i}", p) for i, p in enumerate(pages, 1) if p]
 
 
-def parse(documents: DataFrame, parser: Parser = tei_sections, fallback: Parser = page_sections) -> DataFrame:
+def parse(documents: DataFrame, parser: Parser = tei_sections, fallback: Parser = pdf_sections) -> DataFrame:
     """documents (document_id, content) -> document_id, title, section_index, section_title, text, error.
 
-    The fallback reads what the parser raises on; a document without sections is one row with an error.
+    The fallback reads what the parser raises on. A document without sections, or that the fallback cannot read either, is one row with an error.
     """
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for key, content in zip(part["document_id"], part["content"]):
-                data = bytes(content or b"")
+                data, error = bytes(content or b""), NO_SECTIONS
                 try:
                     title, sections = parser(data)
                 except Exception:
-                    title, sections = fallback(data)
-                out += [(key, title, i, t, x, None) for i, (t, x) in enumerate(sections)] or [(key, title, None, None, None, "No text sections extracted from PDF")]
+                    try:
+                        title, sections = fallback(data)
+                    except Exception as e:
+                        title, sections, error = None, [], str(e) or NO_SECTIONS
+                out += [(key, title, i, t, x, None) for i, (t, x) in enumerate(sections)] or [(key, title, None, None, None, error)]
             yield pd.DataFrame(out, columns=["document_id", "title", "section_index", "section_title", "text", "error"]).astype({"section_index": "Int64"})
 
     return documents.select("document_id", "content").mapInPandas(rows, "document_id long, title string, section_index int, section_title string, text string, error string")

@@ -176,7 +176,7 @@ def test_sections_fall_back(spark):
     tei = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div><p>{}</p><div><head>In</head><p>{}</p></div></div></body></text></TEI>'
     rows = [(1, tei.format("x" * 80, "y" * 81)), (2, "one\f\ftwo"), (3, tei.format("short", "short")), (4, None)]
     df = spark.createDataFrame([(a, None if b is None else bytearray(b.encode())) for a, b in rows], "document_id long, content binary")
-    got = sorted(((r.document_id, r.section_title, r.error is not None) for r in sections.parse(df).collect()), key=repr)
+    got = sorted(((r.document_id, r.section_title, r.error is not None) for r in sections.parse(df, fallback=sections.page_sections).collect()), key=repr)
     assert got == [(1, "In", False), (2, "Page 1", False), (2, "Page 3", False), (3, None, True), (4, None, True)]
 
 
