@@ -13,24 +13,41 @@ from claimloom.schemas import Tables
 _IDENTITY = ("canonical_key", "canonical_name", "entity_type", "normalized_id", "normalized_alias")
 
 
-def mentions_of(claims: DataFrame, order: list[str]) -> DataFrame:
-    """seq, claim_id, role and identity of both ends of every claim, the subject first; seq follows the order of claims, with gaps."""
+def numbered(df: DataFrame, order: list[str], first: int = 1) -> DataFrame:
+    """df with seq: first, first + 1, ... in the order, whatever the partitions: a sort by ranges, and the numbers of rows of the ranges before, of which the driver sees one each."""
+    rows = cut(df.orderBy(*order).withColumn("place", F.monotonically_increasing_id()))
+    part = F.shiftright("place", 33)
+    before, offsets = first, []
+    for k, n in sorted(rows.groupBy(part.alias("part")).count().collect()):
+        offsets.append((k, before))
+        before += n
+    starts = F.broadcast(df.sparkSession.createDataFrame(offsets, "part long, start long"))
+    return rows.join(starts, part == F.col("part")).withColumn("seq", F.col("start") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("part", "start", "place")
+
+
+def mentions_of(claims: DataFrame, order: list[str], first: int = 1) -> DataFrame:
+    """seq, claim_id, role and identity of both ends of every claim, the subject first; seq follows the order of claims, without gaps from first."""
     ends = F.explode(F.array(*[F.struct(F.lit(k).alias("role"), *[F.col(side)[c].alias(c) for c in _IDENTITY]) for k, side in enumerate(("subject", "object"))]))
     rows = claims.select(*order, F.col("id").alias("claim_id"), ends.alias("end")).select(*order, "claim_id", "end.*")
-    # a sort by ranges, and a number that rises along it; written, so that it is given once
-    return cut(rows.orderBy(*order, "role").withColumn("seq", F.monotonically_increasing_id() + 1).select("seq", "claim_id", "role", *_IDENTITY))
+    return numbered(rows, [*order, "role"], first).select("seq", "claim_id", "role", *_IDENTITY)
+
+
+def with_entities(claims: DataFrame, mentions: DataFrame, assigned: DataFrame) -> DataFrame:
+    """claims with the entity ids of both ends."""
+    resolved = cut(mentions.select("seq", "claim_id", "role").join(assigned, "seq"))
+    side = lambda role, name: resolved.where(F.col("role") == role).select(F.col("claim_id").alias("id"), F.col("entity_id").alias(f"{name}_entity_id"))
+    return claims.drop("subject_entity_id", "object_entity_id").join(side(0, "subject"), "id").join(side(1, "object"), "id")
 
 
 def claims_to_graph(claims: DataFrame, entities: DataFrame | None = None, aliases: DataFrame | None = None, order: list[str] | None = None) -> Tables:
     """Projected claims (project_claims) in their order of arrival (default: by id) -> entities, aliases, claims, relations and evidence.
 
     entities and aliases, if given, are the state to go on from. An alias keeps its last spelling."""
-    mentions = mentions_of(claims, order or ["id"])
+    mentions = cut(mentions_of(claims, order or ["id"]))
     assigned, found = resolve.resolve_entities(mentions, entities, aliases)
-    found, resolved = cut(found), cut(mentions.join(assigned, "seq").select("seq", "claim_id", "role", "entity_id", F.col("canonical_name").alias("alias"), "normalized_alias"))
-    side = lambda role, name: resolved.where(F.col("role") == role).select(F.col("claim_id").alias("id"), F.col("entity_id").alias(f"{name}_entity_id"))
-    facts = claims.drop("subject_entity_id", "object_entity_id").join(side(0, "subject"), "id").join(side(1, "object"), "id")
-    spelled = resolved.select("seq", "entity_id", "alias", "normalized_alias")
+    found, assigned = cut(found), cut(assigned)
+    facts = with_entities(claims, mentions, assigned)
+    spelled = mentions.join(assigned, "seq").select("seq", "entity_id", F.col("canonical_name").alias("alias"), "normalized_alias")
     if aliases is not None:
         spelled = spelled.unionByName(aliases.select(F.lit(0).cast("long").alias("seq"), "entity_id", "alias", "normalized_alias"))
     relations, evidence = project.relations_of(facts)

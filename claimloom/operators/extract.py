@@ -33,6 +33,7 @@ RULES = (
 )
 SYSTEM = "You read passages of papers and list relations between compounds, drugs, proteins, genes, pathways and diseases.\n" + "\n".join(f"{i}. {r}" for i, r in enumerate(RULES, 1)) + f"\nSchema: {SCHEMA}"
 REPAIR = "The last answer is not valid JSON of the schema. Answer again with JSON alone.\nLast answer:\n"
+INVALID = "The answer is not valid JSON of the schema"
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]?")
 _FACT = re.compile(r"\b([A-Z][\w-]+) (?:(does not|may) )?(activates?|inhibits?|binds to|bind to) ([A-Z][\w-]+)")
 
@@ -64,30 +65,37 @@ def rule_extractor(asked: str) -> str:
 
 
 def answers(chunks: DataFrame, extractor: Extractor = rule_extractor, repair: Extractor | None = None) -> DataFrame:
-    """chunk_id, document_id, answer (the JSON in it), valid: one row for a chunk. An invalid answer goes to repair once, with what was wrong about it.
-    The rules, which are the same for all, join the question in the worker."""
+    """chunk_id, document_id, answer (the JSON in it), error (of a call that failed), valid: one row for a chunk. An invalid answer goes to repair once, with
+    what was wrong about it. The rules, which are the same for all, join the question in the worker."""
+
+    def called(service: Extractor, text: str) -> tuple[str | None, str | None]:
+        try:
+            return service(text), None
+        except Exception as e:  # a call that fails is this chunk's failure, not the job's
+            return None, str(e) or type(e).__name__
 
     def asked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            part["answer"] = [extractor(f"{SYSTEM}\n{q}") for q in part["question"]]
-            yield part[["chunk_id", "document_id", "answer"]]
+            part["answer"], part["error"] = zip(*(called(extractor, f"{SYSTEM}\n{q}") for q in part["question"])) if len(part) else ([], [])
+            yield part[["chunk_id", "document_id", "answer", "error"]]
 
     def repaired(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            part["answer"] = [a if claimjson.validated_bundle(a) is not None else repair(REPAIR + (a or "")) for a in part["answer"]]
+            pairs = [(a, e) if e is not None or claimjson.validated_bundle(a) is not None else called(repair, REPAIR + (a or "")) for a, e in zip(part["answer"], part["error"])]
+            part["answer"], part["error"] = zip(*pairs) if pairs else ([], [])
             yield part
 
-    schema = "chunk_id long, document_id long, answer string"
+    schema = "chunk_id long, document_id long, answer string, error string"
     rows = chunks.select(F.col("id").alias("chunk_id"), "document_id", question(F.col("section_title"), F.col("text")).alias("question")).mapInPandas(asked, schema)
     rows = rows.withColumn("answer", claimjson.first_json_object(F.col("answer")))
     if repair is not None:
         rows = rows.mapInPandas(repaired, schema).withColumn("answer", claimjson.first_json_object(F.col("answer")))
-    return rows.withColumn("valid", claimjson.claims_of(F.col("answer")).isNotNull())
+    return rows.withColumn("valid", F.col("error").isNull() & claimjson.claims_of(F.col("answer")).isNotNull())
 
 
 def chunk_states(answered: DataFrame) -> DataFrame:
     """id, document_id, status, error of chunks that were asked about: done where the answer is valid, else failed."""
-    error = F.when(~F.col("valid"), F.lit("The answer is not valid JSON of the schema"))
+    error = F.when(~F.col("valid"), F.coalesce("error", F.lit(INVALID)))
     return answered.select(F.col("chunk_id").alias("id"), "document_id", F.when(F.col("valid"), "done").otherwise("failed").alias("status"), error.alias("error"))
 
 

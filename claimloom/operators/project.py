@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import claimjson, textnorm
@@ -53,6 +53,24 @@ def relations_of(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     return relations.select("id", "subject_entity_id", "predicate", "object_entity_id", "qualifiers", "qualifiers_hash", "negated", "speculative"), evidence.select("relation_id", "claim_id")
 
 
+def relation_hash(salt: int = 0) -> Column:
+    """A relation's id from its six columns."""
+    return F.xxhash64(F.lit(salt), *RELATION)
+
+
+def hashed_relations(claims: DataFrame, id_: Column | None = None, salt: int = 0) -> tuple[DataFrame, DataFrame]:
+    """As relations_of, with ids that every claim knows by itself: evidence is a projection, and a relation with many claims is pre-aggregated by each task.
+
+    Relations (with first_claim, the id of the earliest) are made by their id alone. Should two share one, a second hash of the columns differs within it, and
+    the job fails rather than mix them; another salt then parts them."""
+    key = (relation_hash(salt) if id_ is None else id_).alias("relation_id")
+    rows = claims.select(key, *RELATION, F.xxhash64(F.lit(salt), F.lit("again"), *RELATION).alias("again"), F.col("id").alias("claim_id"), "qualifiers")
+    one = rows.groupBy("relation_id").agg(*[F.first(c).alias(c) for c in RELATION], F.min("again").alias("low"), F.max("again").alias("high"), F.min("claim_id").alias("first_claim"), F.max_by("qualifiers", "claim_id").alias("qualifiers"))
+    checked = F.when(F.col("low") == F.col("high"), F.col("relation_id")).otherwise(F.raise_error(F.concat(F.lit("relations share the hash "), F.col("relation_id").cast("string"), F.lit("; take another salt"))).cast("long"))
+    relations = one.select(checked.alias("id"), "subject_entity_id", "predicate", "object_entity_id", "qualifiers", "qualifiers_hash", "negated", "speculative", "first_claim")
+    return relations, rows.select("relation_id", "claim_id")
+
+
 def latest_aliases(mentions: DataFrame) -> DataFrame:
     """entity_id, alias, normalized_alias: the last spelling of each, from mentions (entity_id, alias, normalized_alias, seq)."""
     return mentions.groupBy("entity_id", "normalized_alias").agg(F.max_by("alias", "seq").alias("alias")).select("entity_id", "alias", "normalized_alias")

@@ -8,9 +8,14 @@ depends on order, but only within a component of the graph that links (type, ali
 Components without identifiers, or with one alias, one type and one identifier, are solved by an aggregate: there the
 rule makes one entity of each key or component. Those are nearly all, and all that are hot by one name. The mentions of
 the others go, sorted by component and arrival, through mapInPandas that streams: it holds one component's entities
-and aliases, not its mentions.
+and aliases, not its mentions. Of a run of equal mentions of a component only the first is walked, since the others hit the same
+entity and change nothing; so a component with many mentions of few identities walks as many rows as it has runs.
 
 Ids: a new entity's id is the highest old id plus the sequence number of its first mention.
+
+resolve_into() goes on from a state that is kept between batches and reads of it what a batch touches: an index of nodes, (type, alias) and
+(type, identifier), to components, and the entities of these components. A component is called by its least node, so that
+components which a batch links merge into the one of least name.
 """
 
 from __future__ import annotations
@@ -18,13 +23,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.textnorm import casefold
 from claimloom.plans.lineage import cut
+from claimloom.sources.slots import SLOTS, SlotTable
 
-_OUT = "seq long, entity_id long, canonical_key string, canonical_name string, entity_type string, normalized_id string"
+_COLUMNS = ["kind", "seq", "canonical_key", "canonical_name", "entity_type", "normalized_id", "normalized_alias"]
+ENTITY = ["entity_id", "canonical_key", "canonical_name", "entity_type", "normalized_id"]
+_OUT = "seq long, entity_id long, canonical_key string, canonical_name string, entity_type string, normalized_id string, component string"
 
 
 class Arrivals:
@@ -82,25 +90,35 @@ def components_of(links: DataFrame) -> DataFrame:
         before = now
 
 
+def with_nodes(rows: DataFrame) -> DataFrame:
+    """rows with of_alias and of_id, the nodes of the graph that a mention or an entity's alias links."""
+    kind = casefold(F.col("entity_type"))
+    return rows.withColumns({"of_alias": F.concat(kind, F.lit("|a|"), F.coalesce("normalized_alias", F.lit(""))), "of_id": F.concat(kind, F.lit("|i|"), casefold(F.col("normalized_id")))})
+
+
 def resolve_entities(mentions: DataFrame, entities: DataFrame | None = None, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(assignments (seq, entity_id), entities) of mentions (seq >= 1, canonical_key, canonical_name, entity_type, normalized_id, normalized_alias).
 
     entities and aliases, if given, are the state to start from; of these, only touched components are looked at.
     """
-    none = F.lit(None)
-    columns = ["kind", "seq", "canonical_key", "canonical_name", "entity_type", "normalized_id", "normalized_alias"]
-    rows = mentions.withColumn("kind", F.lit(1)).select(*columns)
+    rows = mentions.withColumn("kind", F.lit(1)).select(*_COLUMNS)
     highest = 0
     if entities is not None:
         highest = entities.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        old = entities.join(aliases.select(F.col("entity_id").alias("id"), "normalized_alias"), "id", "left").select(F.lit(0).alias("kind"), F.col("id").alias("seq"), *columns[2:])
+        old = entities.join(aliases.select(F.col("entity_id").alias("id"), "normalized_alias"), "id", "left").select(F.lit(0).alias("kind"), F.col("id").alias("seq"), *_COLUMNS[2:])
         rows = rows.unionByName(old)
-    kind = casefold(F.col("entity_type"))
-    rows = rows.withColumns({"of_alias": F.concat(kind, F.lit("|a|"), F.coalesce("normalized_alias", F.lit(""))), "of_id": F.concat(kind, F.lit("|i|"), casefold(F.col("normalized_id")))})
-    rows = cut(rows)
+    rows = cut(with_nodes(rows))
     links = rows.where("of_id is not null").select(F.col("of_alias").alias("a"), F.col("of_id").alias("b")).distinct()
     linked = components_of(links).select(F.col("node").alias("of_alias"), "component")
-    rows = rows.join(linked, "of_alias", "left").withColumn("component", F.coalesce("component", "of_alias"))
+    assigned, found = walked(rows.join(linked, "of_alias", "left").withColumn("component", F.coalesce("component", "of_alias")), highest)
+    found = found.drop("component")
+    if entities is not None:
+        found = found.unionByName(entities.select(*found.columns).join(found.select("id"), "id", "left_anti"))
+    return assigned, found
+
+
+def walked(rows: DataFrame, highest: int) -> tuple[DataFrame, DataFrame]:
+    """(assignments (seq, entity_id), entities with their component) of rows (component, nodes, kind 1 for a mention or 0 for an alias of an old entity, whose id is seq)."""
     shape = rows.groupBy("component").agg(
         F.count_distinct("of_alias").alias("aliases"), F.count_distinct("of_id").alias("ids"), F.count_distinct("entity_type").alias("types"), F.min("kind").alias("old"), F.max("kind").alias("new")
     ).where("new = 1")
@@ -110,6 +128,7 @@ def resolve_entities(mentions: DataFrame, entities: DataFrame | None = None, ali
     made = fast.groupBy("group").agg(
         (F.min("seq") + highest).alias("entity_id"), F.max_by("canonical_key", F.struct(F.col("normalized_id").isNotNull(), -F.col("seq"))).alias("canonical_key"),
         F.min_by("canonical_name", "seq").alias("canonical_name"), F.min_by("entity_type", "seq").alias("entity_type"), F.min_by("normalized_id", F.when(F.col("normalized_id").isNotNull(), F.col("seq"))).alias("normalized_id"),
+        F.first("component").alias("component"),
     )
     assigned = fast.select("seq", "group").join(made.select("group", "entity_id"), "group").select("seq", "entity_id")
 
@@ -118,9 +137,9 @@ def resolve_entities(mentions: DataFrame, entities: DataFrame | None = None, ali
         empty = lambda v: None if v is None or v != v else v
 
         def entity_rows() -> list[tuple]:
-            return [(None, i, *e.values()) for i, e in state.entities.items()]
+            return [(None, i, *e.values(), at) for i, e in state.entities.items()]
 
-        frame = lambda rows: pd.DataFrame(rows, columns=["seq", "entity_id", "canonical_key", "canonical_name", "entity_type", "normalized_id"]).astype({"seq": "Int64", "entity_id": "Int64"})
+        frame = lambda rows: pd.DataFrame(rows, columns=["seq", "entity_id", "canonical_key", "canonical_name", "entity_type", "normalized_id", "component"]).astype({"seq": "Int64", "entity_id": "Int64"})
         for part in parts:
             out = []
             for r in part.itertuples(index=False):
@@ -134,17 +153,56 @@ def resolve_entities(mentions: DataFrame, entities: DataFrame | None = None, ali
                     if empty(r.normalized_alias) is not None:
                         state.own(r.seq, r.normalized_alias)
                 else:
-                    out.append((r.seq, state.resolve(highest + r.seq, r.canonical_key, r.canonical_name, r.entity_type, external, r.normalized_alias), None, None, None, None))
+                    out.append((r.seq, state.resolve(highest + r.seq, r.canonical_key, r.canonical_name, r.entity_type, external, r.normalized_alias), None, None, None, None, None))
             if out:
                 yield frame(out)
         if state.entities:
             yield frame(entity_rows())
 
-    slow = rows.where(~plain).select("component", *columns).repartition("component").sortWithinPartitions("component", "kind", "seq")
-    walked = cut(slow.mapInPandas(run, _OUT))
-    assigned = assigned.unionByName(walked.where("seq is not null").select("seq", "entity_id"))
-    found = made.select("entity_id", "canonical_key", "canonical_name", "entity_type", "normalized_id").unionByName(walked.where("seq is null").drop("seq"))
-    found = found.withColumnRenamed("entity_id", "id")
-    if entities is not None:
-        found = found.unionByName(entities.select(*found.columns).join(found.select("id"), "id", "left_anti"))
-    return assigned, found
+    arrival = Window.partitionBy("component").orderBy("kind", "seq")
+    same = F.struct("kind", "canonical_key", "entity_type", "normalized_id", "normalized_alias")
+    slow = rows.where(~plain).withColumn("begins", (F.col("kind") == 0) | ~F.lag(same).over(arrival).eqNullSafe(same))
+    slow = cut(slow.withColumn("run", F.last(F.when(F.col("begins"), F.col("seq")), ignorenulls=True).over(arrival)).select("component", *_COLUMNS, "begins", "run"))
+    done = cut(slow.where("begins").select("component", *_COLUMNS).repartition("component").sortWithinPartitions("component", "kind", "seq").mapInPandas(run, _OUT))
+    others = slow.where("kind = 1").select("seq", "run").join(done.where("seq is not null").select(F.col("seq").alias("run"), "entity_id"), "run").select("seq", "entity_id")
+    found = made.select(*ENTITY, "component").unionByName(done.where("seq is null").select(*ENTITY, "component"))
+    return assigned.unionByName(others), found.withColumnRenamed("entity_id", "id")
+
+
+def empty_state(spark: SparkSession, folder: str, slots: int = SLOTS) -> tuple[SlotTable, SlotTable]:
+    """(index of nodes, entities by component) under a folder; made where there is none."""
+    index = SlotTable(spark, f"{folder}/nodes", "node string, component string", "node", slots)
+    return index, SlotTable(spark, f"{folder}/components", "component string, id long, canonical_key string, canonical_name string, entity_type string, normalized_id string, aliases array<struct<normalized_alias: string, alias: string>>", "component", slots)
+
+
+def resolve_into(state: tuple[SlotTable, SlotTable], version: int, mentions: DataFrame) -> DataFrame:
+    """assignments (seq, entity_id) of a batch's mentions, after which version of the state holds their entities.
+
+    Mentions (seq, identity) have numbers above those of all batches before; an entity's id is the number of its first mention. Any number of batches
+    give what one gives. The state of the version below is left as it is, so that a batch that is delivered again replaces what it did."""
+    index, components = state
+    last = index.latest(version)
+    rows = cut(with_nodes(mentions.withColumn("kind", F.lit(1)).select(*_COLUMNS, F.col("canonical_name").alias("alias"))))
+    links = rows.where("of_id is not null").select(F.col("of_alias").alias("a"), F.col("of_id").alias("b")).distinct()
+    nodes = rows.select(F.explode(F.array("of_alias", "of_id")).alias("node")).where("node is not null").distinct()
+    known = cut(index.read_keys(last, nodes))  # node, component: what the state has of them
+    joined = components_of(links.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    named = joined.select(F.col("node").alias("of_alias"), "component")
+    new = rows.join(named, "of_alias", "left").withColumn("component", F.coalesce("component", "of_alias"))
+    labels = known.select("component").distinct()
+    moved = joined.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    before = cut(components.read_keys(last, labels).join(moved, "component", "left").withColumn("into", F.coalesce("into", "component")))
+    old = before.select(F.explode_outer("aliases").alias("a"), F.lit(0).alias("kind"), F.col("id").alias("seq"), *_COLUMNS[2:6], F.col("into").alias("component"))
+    old = with_nodes(old.select("kind", "seq", *_COLUMNS[2:6], F.col("a")["normalized_alias"].alias("normalized_alias"), "component"))
+    assigned, found = walked(new.drop("alias").unionByName(old), 0)
+    assigned, found = cut(assigned), cut(found)
+    spelled = rows.select("seq", "normalized_alias", "alias").join(assigned, "seq").select(F.col("entity_id").alias("id"), "normalized_alias", "alias", "seq")
+    kept = before.select("id", F.explode("aliases").alias("a")).select("id", F.col("a")["normalized_alias"].alias("normalized_alias"), F.col("a")["alias"].alias("alias"), F.lit(0).cast("long").alias("seq"))
+    last = spelled.unionByName(kept).groupBy("id", "normalized_alias").agg(F.max_by("alias", "seq").alias("alias"))
+    lists = last.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("normalized_alias", "alias"))).alias("aliases"))
+    after = cut(found.join(lists, "id").select(*components.columns))
+    ends = with_nodes(after.select("component", "entity_type", "normalized_id", F.explode("aliases").alias("a")).withColumn("normalized_alias", F.col("a")["normalized_alias"]))
+    owned = ends.select("component", F.explode(F.array("of_alias", "of_id")).alias("node")).where("node is not null").distinct().select("node", "component")
+    components.replace(version, after, labels.unionByName(after.select("component")))
+    index.replace(version, owned, owned.select("node"))
+    return assigned

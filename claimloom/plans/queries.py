@@ -357,6 +357,45 @@ def pdf_sections(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("document_id", "section_index", "section_title", F.sha2("text", 256).alias("sha256"), "error")
 
 
+def _answer(asked: str) -> str:
+    """An extractor that fails on passages with a given syllable."""
+    return "no answer" if "ung" in asked.rpartition("\nPassage:\n")[2] else '{"claims": []}'
+
+
+_PROCESSED = SQL["pdf_sections"].partition("    select doc_id as document_id")[0].rstrip() + f""",
+    w as (select doc_id, text, unnest(case when length(text) <= 12000 then [0] else range(0, greatest(length(text) - 800, 1), 11200) end) as start from q where text <> ''),
+    g as (select doc_id, count(*) as n, count(*) filter (contains(substring(text, start + 1, 12000), 'ung')) as bad from w group by doc_id),
+    states as (
+      select d.doc_id, coalesce(n, 0) as chunk_count, case when n is null or bad = n then 'failed' when bad = 0 then 'done' else 'partial' end as status,
+        case when d.doc_id % 4 = 3 then 'the file has no catalog' when n is null then '{sections.NO_SECTIONS}' when bad > 0 then left(repeat('{extract.INVALID}; ', bad), (length('{extract.INVALID}') + 2) * bad - 2) end as error
+      from documents d left join g on g.doc_id = d.doc_id)"""
+
+
+def _processed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    made = incremental.process(_pdfs(spark, folder), _answer)
+    return made.documents.withColumnRenamed("document_id", "id"), made.chunks
+
+
+@query(f"{_PROCESSED} select doc_id as document_id, status, error, chunk_count from states")
+def processing_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Files parsed and asked about: what fails is failed with its error, chunks make up the states of documents."""
+    documents, chunks = _processed(spark, folder)
+    counts = chunks.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("n"))
+    return documents.join(counts, "id", "left").select(F.col("id").alias("document_id"), "status", "error", F.coalesce("n", F.lit(0)).cast("long").alias("chunk_count"))
+
+
+@query(_PROCESSED + """
+    , m_items as (select doc_id // 10 as batch_id, case when doc_id % 9 <> 0 then doc_id end as document_id, case when doc_id % 9 = 0 then 'rejected' else status end as own_status from states)
+    """ + _ROLLED.format("select *, own_status as s from m_items"))
+def processing_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of ten such files, one in nine of them rejected before; a batch's state follows its documents'."""
+    documents, _ = _processed(spark, folder)
+    batch, rejected = F.floor(F.col("id") / 10).cast("long").alias("batch_id"), F.col("id") % 9 == 0
+    items = documents.select("id", batch, (F.col("id") % 10).cast("int").alias("position"), F.lit("a.pdf").alias("filename"), F.when(~rejected, F.col("id")).alias("document_id"), F.when(rejected, "rejected").otherwise("queued").alias("status"), F.lit(None).cast("string").alias("error"))
+    items = cut(status.item_status(items, documents.select("id", "status", "error")))
+    return status.batch_status(items.select(F.col("batch_id").alias("id")).distinct(), items)
+
+
 _MESSY = "'  ' || p_name || ' – ' || p_brand || chr(9) || '\"' || p_type || '\".  '"
 
 
@@ -419,8 +458,10 @@ def claim_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(FINE + "select r.id, subject_entity_id, predicate, object_entity_id, qualifiers, sha256(qualifiers) as qualifiers_hash, negated, speculative, n from m_relations r join (select relation_id, count(*) as n from m_evidence group by relation_id) e on e.relation_id = r.id")
 def relation_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    relations, evidence = project.relations_of(starschema.tables(spark, folder, with_brand=True).claims)
-    return relations.join(evidence.groupBy(F.col("relation_id").alias("id")).agg(F.count("*").alias("n")), "id")
+    """Relations by the hash of their columns; here they are called by their first claim, which SQL can say."""
+    relations, evidence = project.hashed_relations(starschema.tables(spark, folder, with_brand=True).claims)
+    named = relations.join(evidence.groupBy(F.col("relation_id").alias("id")).agg(F.count("*").alias("n")), "id")
+    return named.drop("id").withColumnRenamed("first_claim", "id")
 
 
 @query(MODEL + "select subject_entity_id as entity_id, lower(subject_text) as normalized_alias, arg_max(case when id % 3 = 0 then upper(subject_text) when id % 3 = 1 then lower(subject_text) else subject_text end, id) as alias from m_claims group by subject_entity_id, lower(subject_text)")
@@ -490,6 +531,20 @@ def entity_resolution(spark: SparkSession, folder: str) -> DataFrame:
     return assigned.join(entities.select(F.col("id").alias("entity_id"), "canonical_key", "canonical_name", "normalized_id"), "entity_id")
 
 
+@query()
+def entity_resolution_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """As entity_resolution, in three batches that go on from the state of the one before."""
+    part = table(spark, folder, "part")
+    identity = textnorm.entity_identity(F.col("p_name"), F.lit("Protein"), F.when(F.col("p_partkey") % 10 == 0, F.concat(F.lit("BRAND:"), F.col("p_brand"))))
+    mentions = cut(part.select(F.col("p_partkey").alias("seq"), identity.alias("i")).select("seq", "i.*"))
+    state = resolve.empty_state(spark, f"{shared_folder(spark)}/state-{uuid.uuid4().hex}", slots=16)
+    third = mentions.agg(F.max("seq")).first()[0] // 3
+    batch = F.least(F.floor(F.col("seq") / third), F.lit(2))
+    assigned = [resolve.resolve_into(state, k, mentions.where(batch == k)) for k in range(3)]
+    entities = state[1].read(state[1].latest()).select(F.col("id").alias("entity_id"), "canonical_key", "canonical_name", "normalized_id")
+    return assigned[0].unionByName(assigned[1]).unionByName(assigned[2]).join(entities, "entity_id")
+
+
 @query("""select event_id, '{"a":"}\\"","b":' || props || '}' as object from events""")
 def first_json_object(spark: SparkSession, folder: str) -> DataFrame:
     answer = F.concat(F.lit('<think>{"no":1}</think>Here: ```json {"a":"}\\"","b":'), F.col("props"), F.lit("} and {more} ```"))
@@ -523,7 +578,7 @@ def incremental_ingest(spark: SparkSession, folder: str) -> DataFrame:
     top = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = _passages(spark, folder).select(F.col("id").alias("document_id"), "text")
     rows.repartition(6, "document_id").write.parquet(f"{top}/in")
-    incremental.ingest_stream(spark, f"{top}/in", "document_id long, text string", f"{top}/out", f"{top}/checkpoint", files_per_batch=3).awaitTermination()
+    incremental.ingest_stream(spark, f"{top}/in", "document_id long, text string", f"{top}/out", f"{top}/checkpoint", files_per_batch=3, slots=8).awaitTermination()
     return incremental.stored_claims(spark, f"{top}/out").select("document_id", "predicate", "subject_key", "evidence_text", "negated", "speculative")
 
 

@@ -1,67 +1,159 @@
-"""Arriving documents, batch by batch, through the same functions as a batch run, up to relations and evidence.
+"""Arriving documents, batch by batch, through the same functions as a batch run, up to states, entities, relations and evidence.
 
-A micro-batch is written as one version of its documents and claims, named by its number: when a batch is delivered again it
-replaces itself, so at-least-once delivery gives each claim once. Documents are written beside claims, so that one that comes
-again counts as in its last batch, even where that has no claims.
+A micro-batch is written as one version of its documents, chunks and claims, named by its number: when a batch is delivered again it
+replaces itself, so at-least-once delivery gives each claim once. Its claims' entities are resolved against the state that the batch before left
+(resolve.resolve_into), of which it reads and rewrites what its mentions touch; nothing is resolved twice.
+
+Of a document that comes again the last version that could be parsed counts; one that cannot be parsed is `failed` with its error, and keeps the claims
+that it had. A document whose text is null is an empty one, and loses them. If one batch has several versions of a document, the
+greatest text counts, or that of the greatest `arrived` if there is such a column.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from claimloom.operators.assemble import claims_to_graph
+from claimloom.functions import claimjson
+from claimloom.operators import extract, status
+from claimloom.operators.assemble import mentions_of, with_entities
 from claimloom.operators.chunking import number_chunks, split_into_chunks
-from claimloom.operators.extract import Extractor, extract, rule_extractor
-from claimloom.operators.project import dedup_claims, project_claims
+from claimloom.operators.extract import Extractor, rule_extractor
+from claimloom.operators.project import dedup_claims, hashed_relations, project_claims
+from claimloom.operators.resolve import empty_state, resolve_into
 from claimloom.plans.lineage import cut
 from claimloom.schemas import Tables
 from claimloom.sources import sections
+from claimloom.sources.slots import SLOTS
 
-ORDER = ["batch", "document_id", "chunk_index", "position"]
+ORDER = ["document_id", "chunk_index", "position"]
 
 
-def sections_of(documents: DataFrame) -> DataFrame:
-    """Sections of documents (document_id, text), or of (document_id, content) through the parsers."""
-    if "content" in documents.columns:
-        return sections.parse(documents).where("error is null").select("document_id", "section_index", "section_title", "text")
-    return documents.select("document_id", F.lit(0).alias("section_index"), F.lit("Body").alias("section_title"), "text").where("text is not null")
+class Processed(NamedTuple):
+    """What became of documents: their states (document_id, title, status, error, parsed), their chunks with states, and projected claims."""
 
+    documents: DataFrame
+    chunks: DataFrame
+    claims: DataFrame
 
-def claims_of_documents(documents: DataFrame, extractor: Extractor = rule_extractor) -> DataFrame:
-    """documents (document_id, text or content) -> projected claims, one for a chunk and fingerprint. Ids are 64-bit hashes of (document, chunk, place)."""
-    chunks = number_chunks(split_into_chunks(sections_of(documents))).withColumn("id", F.xxhash64("document_id", "chunk_index"))
-    places = chunks.select(F.col("id").alias("chunk_id"), "chunk_index")
-    found = extract(chunks, extractor).join(places, "chunk_id").withColumn("id", F.xxhash64("document_id", "chunk_index", "position"))
-    rows = project_claims(found)
-    return dedup_claims(rows.select(
+
+def one_version(documents: DataFrame) -> DataFrame:
+    """documents with one row for a document_id; only ids are counted where none comes twice."""
+    twice = documents.groupBy("document_id").count().where("count > 1").select("document_id")
+    if twice.isEmpty():
+        return documents
+    payload = "content" if "content" in documents.columns else "text"
+    last = F.max_by(payload, "arrived") if "arrived" in documents.columns else F.max(payload)
+    several = documents.join(twice, "document_id", "left_semi").groupBy("document_id").agg(last.alias(payload))
+    return documents.join(twice, "document_id", "left_anti").select("document_id", payload).unionByName(several)
+
+
+def sections_of(documents: DataFrame) -> DataFrame:
+    """document_id, title, section_index, section_title, text, error of documents (document_id, text), or (document_id, content) through the parsers; a row with an error for what cannot be parsed."""
+    if "content" in documents.columns:
+        return sections.parse(documents)
+    none = F.lit(None).cast("string")
+    return documents.select("document_id", none.alias("title"), F.lit(0).alias("section_index"), F.lit("Body").alias("section_title"), "text", none.alias("error"))
+
+
+def process(documents: DataFrame, extractor: Extractor = rule_extractor, repair: Extractor | None = None, keep: Callable[[DataFrame], DataFrame] = cut) -> Processed:
+    """Parse, chunk and ask once, and take states and claims from what was written on the way (keep). Ids are 64-bit hashes of (document, chunk, place)."""
+    parsed = keep(sections_of(documents))
+    parts = number_chunks(split_into_chunks(parsed.where("error is null and text is not null"))).withColumn("id", F.xxhash64("document_id", "chunk_index"))
+    parts = keep(parts.select("id", "document_id", "chunk_index", "section_title", "text", "token_estimate"))
+    answered = keep(extract.answers(parts, extractor, repair))
+    chunks = parts.join(extract.chunk_states(answered).select("id", "status", "error"), "id")
+    failed = parsed.where("error is not null").select("document_id", "title", F.lit("failed").alias("status"), "error", F.lit(False).alias("parsed"))
+    good = parsed.where("error is null").groupBy(F.col("document_id").alias("id")).agg(F.first("title", ignorenulls=True).alias("title"))
+    states = status.document_status(good, chunks.select("id", "document_id", "status", "error"))
+    done = good.join(states, "id").select(F.col("id").alias("document_id"), "title", "status", "error", F.lit(True).alias("parsed"))
+    places = parts.select(F.col("id").alias("chunk_id"), "chunk_index")
+    found = answered.select("chunk_id", "document_id", F.posexplode(claimjson.claims_of(F.when(F.col("valid"), F.col("answer")))).alias("position", "claim"))
+    rows = project_claims(found.join(places, "chunk_id").withColumn("id", F.xxhash64("document_id", "chunk_index", "position")))
+    claims = dedup_claims(rows.select(
         "id", "document_id", "chunk_id", "chunk_index", "position", "subject", "object", F.col("subject.canonical_key").alias("subject_key"), "predicate", F.col("object.canonical_key").alias("object_key"), "qualifiers",
         "qualifiers_hash", "evidence_text", "confidence", "negated", "speculative", "claim_fingerprint",
     ), "position")
+    return Processed(done.unionByName(failed), chunks, claims)
+
 
+def claims_of_documents(documents: DataFrame, extractor: Extractor = rule_extractor) -> DataFrame:
+    """documents (document_id, text or content) -> projected claims, one for a chunk and fingerprint."""
+    return process(documents, extractor).claims
 
-def ingest_stream(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, extractor: Extractor = rule_extractor, files_per_batch: int = 100) -> StreamingQuery:
-    """Read Parquet files of documents as they appear under source; those of batch n go to sink/documents/batch=n, their claims to sink/claims/batch=n."""
+
+def _schemas(spark: SparkSession) -> dict[str, str]:
+    """Of each written table, its columns."""
+    made = process(spark.createDataFrame([], "document_id long, text string"), keep=lambda df: df)
+    ends = made.claims.select("*", F.lit(None).cast("long").alias("subject_entity_id"), F.lit(None).cast("long").alias("object_entity_id"))
+    return {"documents": made.documents.schema, "chunks": made.chunks.schema, "claims": ends.schema, "numbers": spark.createDataFrame([], "next long").schema}
+
+
+def _read(spark: SparkSession, sink: str, name: str) -> DataFrame:
+    """All versions of a written table, with their batch; nothing before the first batch."""
+    schema = _schemas(spark)[name].add("batch", "long")
+    empty = spark.createDataFrame([], schema)
+    empty.drop("batch").coalesce(1).write.mode("ignore").parquet(f"{sink}/{name}/batch=-1")
+    return spark.read.schema(schema).parquet(f"{sink}/{name}")
+
+
+def ingest_stream(
+    spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, extractor: Extractor = rule_extractor, files_per_batch: int = 100, repair: Extractor | None = None, slots: int = SLOTS
+) -> StreamingQuery:
+    """Read Parquet files of documents as they appear under source; batch n writes documents, chunks and claims with their entities as batch=n under the sink, and version n of the state of entities."""
+    state = empty_state(spark, f"{sink}/state", slots)
 
     def write(batch: DataFrame, number: int) -> None:
-        claims_of_documents(batch, extractor).write.mode("overwrite").parquet(f"{sink}/claims/batch={number}")
-        batch.select("document_id").distinct().write.mode("overwrite").parquet(f"{sink}/documents/batch={number}")
+        made = process(one_version(batch), extractor, repair)
+        claims = cut(made.claims)
+        first = _read(spark, sink, "numbers").where(F.col("batch") < number).agg(F.coalesce(F.max("next"), F.lit(1))).first()[0]
+        mentions = cut(mentions_of(claims, ORDER, first))
+        assigned = resolve_into(state, number, mentions)
+        with_entities(claims, mentions, assigned).select(*claims.columns, "subject_entity_id", "object_entity_id").write.mode("overwrite").parquet(f"{sink}/claims/batch={number}")
+        made.chunks.write.mode("overwrite").parquet(f"{sink}/chunks/batch={number}")
+        made.documents.write.mode("overwrite").parquet(f"{sink}/documents/batch={number}")
+        mentions.agg((F.count("*") + first).alias("next")).write.mode("overwrite").parquet(f"{sink}/numbers/batch={number}")
 
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     return arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _current(spark: SparkSession, sink: str, name: str) -> DataFrame:
+    """The rows of documents' last parsed versions, with their batch."""
+    last = _read(spark, sink, "documents").where("parsed").groupBy("document_id").agg(F.max("batch").alias("batch"))
+    return _read(spark, sink, name).join(last, ["document_id", "batch"])
+
+
 def current_claims(spark: SparkSession, sink: str) -> DataFrame:
-    """All claims with their batch; a document that came again counts as in its last batch."""
-    last = spark.read.parquet(f"{sink}/documents").groupBy("document_id").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{sink}/claims").join(last, ["document_id", "batch"])
+    """All claims that count, with their batch."""
+    return _current(spark, sink, "claims")
 
 
 def stored_claims(spark: SparkSession, sink: str) -> DataFrame:
     return current_claims(spark, sink).drop("batch", "subject", "object", "chunk_index", "position")
 
 
-def stored_graph(spark: SparkSession, sink: str) -> Tables:
-    """Entities, aliases, claims, relations and evidence of all claims, resolved in order of arrival."""
-    return claims_to_graph(cut(current_claims(spark, sink)), order=ORDER)
+def stored_chunks(spark: SparkSession, sink: str) -> DataFrame:
+    """id, document_id, chunk_index, section_title, text, token_estimate, status, error of the chunks that count."""
+    return _current(spark, sink, "chunks").drop("batch")
+
+
+def stored_documents(spark: SparkSession, sink: str) -> DataFrame:
+    """id, title, status, error of every document, as its last batch left it."""
+    row = F.max_by(F.struct("title", "status", "error"), "batch")
+    return _read(spark, sink, "documents").groupBy(F.col("document_id").alias("id")).agg(row.alias("r")).select("id", "r.*")
+
+
+def stored_graph(spark: SparkSession, sink: str, slots: int = SLOTS) -> Tables:
+    """The claims that count, their relations and evidence, and of the state the entities and aliases that they refer to; no mention is resolved again."""
+    claims = current_claims(spark, sink).drop("batch")
+    components = empty_state(spark, f"{sink}/state", slots)[1]
+    ends = claims.select(F.explode(F.array("subject_entity_id", "object_entity_id")).alias("id")).distinct()
+    entities = components.read(components.latest()).join(ends, "id", "left_semi")
+    relations, evidence = hashed_relations(claims)
+    aliases = entities.select(F.col("id").alias("entity_id"), F.explode("aliases").alias("a")).select("entity_id", F.col("a")["alias"].alias("alias"), F.col("a")["normalized_alias"].alias("normalized_alias"))
+    return Tables(entities=entities.drop("component", "aliases"), aliases=aliases, claims=claims, relations=relations.drop("first_claim"), relation_evidence=evidence)
