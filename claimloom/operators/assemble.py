@@ -6,25 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.operators import browse, project, resolve
-from claimloom.operators.graph import scoped_claims
+from claimloom.operators.graph import one, scoped_claims
+from claimloom.operators.numbering import numbered
 from claimloom.plans.lineage import cut
 from claimloom.schemas import Tables
 
 _IDENTITY = ("canonical_key", "canonical_name", "entity_type", "normalized_id", "normalized_alias")
 
 
-def numbered(df: DataFrame, order: list[str], first: int = 1) -> DataFrame:
-    """df with seq: first, first + 1, ... in the order, whatever the partitions: a sort by ranges, and the numbers of rows of the ranges before, of which the driver sees one each."""
-    rows = cut(df.orderBy(*order).withColumn("place", F.monotonically_increasing_id()))
-    part = F.shiftright("place", 33)
-    before, offsets = first, []
-    for k, n in sorted(rows.groupBy(part.alias("part")).count().collect()):
-        offsets.append((k, before))
-        before += n
-    starts = F.broadcast(df.sparkSession.createDataFrame(offsets, "part long, start long"))
-    return rows.join(starts, part == F.col("part")).withColumn("seq", F.col("start") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("part", "start", "place")
-
-
 def mentions_of(claims: DataFrame, order: list[str], first: int = 1) -> DataFrame:
     """seq, claim_id, role and identity of both ends of every claim, the subject first; seq follows the order of claims, without gaps from first."""
     ends = F.explode(F.array(*[F.struct(F.lit(k).alias("role"), *[F.col(side)[c].alias(c) for c in _IDENTITY]) for k, side in enumerate(("subject", "object"))]))
@@ -67,7 +56,7 @@ def rebuild_graph(t: Tables, knowledge_base_id: int) -> tuple[Tables, DataFrame,
 
     A claim that cannot be read keeps the evidence it had; of claims of a chunk that now say the same the first stays. Relations
     and entities that nothing supports any more are pruned."""
-    browse.one(t.knowledge_bases.where(F.col("id") == knowledge_base_id), "knowledge base")
+    one(t.knowledge_bases.where(F.col("id") == knowledge_base_id), "knowledge base")
     scope = cut(scoped_claims(t, knowledge_base_id).select("id"))
     projected, failed, counts = project.rebuild(t.claims, scope)
     good, counts = cut(projected), cut(counts)

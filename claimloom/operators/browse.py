@@ -10,25 +10,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.textnorm import entity_type_literal, predicate_literal
-from claimloom.operators.graph import all_of, scoped_claims
+from claimloom.operators.graph import all_of, graph, one, scoped_claims
+from claimloom.operators.numbering import numbered
 from claimloom.schemas import Tables, bounded
 
 
-def one(df: DataFrame, what: str) -> DataFrame:
-    """df, or KeyError if it has no row."""
-    if df.limit(1).isEmpty():
-        raise KeyError(f"{what} not found")
-    return df
-
-
 def of_knowledge_base(t: Tables, knowledge_base_id: int) -> DataFrame:
     """Claims of a knowledge base that exists."""
     one(t.knowledge_bases.where(F.col("id") == knowledge_base_id), "knowledge base")
     return scoped_claims(t, knowledge_base_id)
 
 
+#: Rows up to the end of a page that a task may hold; pages further on are found by numbers.
+NEAR = 10_000
+
+
 def _page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
-    return df.orderBy(*order).offset(bounded("offset", offset)).limit(limit)
+    """A page in the order. One near the start is a top-k of the rows up to its end; for others the rows are sorted by ranges and numbered by the sizes of the ranges before, so no task holds more than its range on disk and the page."""
+    if bounded("offset", offset) + limit <= NEAR:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    rows = numbered(df, order, name="_n")
+    return rows.where((F.col("_n") > offset) & (F.col("_n") <= offset + limit)).orderBy("_n").drop("_n")
 
 
 def entity_search(t: Tables, knowledge_base_id: int, query: str | None = None, entity_type: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -70,6 +72,18 @@ def knowledge_base_claims(t: Tables, knowledge_base_id: int, limit: int = 100, o
     return page.join(files, "document_id").join(sections, "chunk_id", "left").orderBy("id")
 
 
+def knowledge_base_graph(t: Tables, knowledge_base_id: int, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """graph.graph of a knowledge base; KeyError for an unknown one."""
+    one(t.knowledge_bases.where(F.col("id") == knowledge_base_id), "knowledge base")
+    return graph(t, knowledge_base_id, **options)
+
+
+def document_graph(t: Tables, document_id: int, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """graph.graph of a document; KeyError for an unknown one."""
+    one(t.documents.where(F.col("id") == document_id), "document")
+    return graph(t, document_id=document_id, **options)
+
+
 def document_claims(t: Tables, document_id: int, limit: int = 100, offset: int = 0) -> DataFrame:
     """Claims of one document by id; none for an unknown document."""
     bounded("limit", limit, "page")

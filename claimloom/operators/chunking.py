@@ -14,10 +14,10 @@ def split_into_chunks(sections: DataFrame, key: str = "document_id", most_chars:
     """sections (key, section_index, section_title, text) -> key, section_index, start, section_title, text, token_estimate.
 
     A stripped text of at most most_chars is one chunk; a longer one gives windows that advance by most_chars - overlap
-    until one reaches the end; windows are stripped and blank ones dropped.
+    until one reaches the end; windows are stripped and blank ones dropped. A null text is no section and gives none.
     """
     strip = lambda c: F.btrim(c, F.lit(BLANK_CHARS))
-    rows = sections.withColumn("text", strip(F.col("text")))
+    rows = sections.withColumn("text", strip(F.col("text"))).where("text is not null")
     n = F.length("text")
     last = F.greatest(n - overlap - 1, F.lit(0))
     starts = F.when(n <= most_chars, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), last, F.lit(most_chars - overlap)))

@@ -18,6 +18,13 @@ from claimloom.plans.lineage import cut
 from claimloom.schemas import Tables, bounded
 
 
+def one(df: DataFrame, what: str) -> DataFrame:
+    """df, or KeyError if it has no row."""
+    if df.limit(1).isEmpty():
+        raise KeyError(f"{what} not found")
+    return df
+
+
 def scoped_claims(t: Tables, knowledge_base_id: int | None = None, document_id: int | None = None) -> DataFrame:
     """Claims of one knowledge base or of one document; exactly one must be given."""
     if (knowledge_base_id is None) == (document_id is None):
@@ -45,7 +52,7 @@ def edges(
     t: Tables, knowledge_base_id: int | None = None, document_id: int | None = None, *, limit: int = 300, min_document_count: int = 1, predicate: str | None = None,
     entity_type: str | None = None, include_negated: bool = True, include_speculative: bool = True, evidence: DataFrame | None = None,
 ) -> DataFrame:
-    """The top relations by documents, evidence and confidence, with both entities."""
+    """The top relations by documents, evidence and confidence, with both entities; none for an unknown knowledge base or document."""
     bounded("limit", limit)
     bounded("min_document_count", min_document_count)
     evidence = distinct_evidence(t, knowledge_base_id, document_id) if evidence is None else evidence

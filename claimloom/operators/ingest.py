@@ -29,20 +29,30 @@ def reject_reason(filename: Column, size: Column, header: Column, most_bytes: in
     )
 
 
+def _judged(files: DataFrame, most_bytes: int) -> DataFrame:
+    """files with safe filename, size_bytes and error; a content that was not sent is empty. A file that could not be read says so in read_error, if there is such a column."""
+    files = files.withColumn("content", F.coalesce("content", F.lit(b""))).withColumns({"filename": safe_filename(F.col("filename")), "size_bytes": F.length("content").cast("long")})
+    reason = reject_reason(F.col("filename"), F.col("size_bytes"), F.substring("content", 1, 1024), most_bytes)
+    return files.withColumn("error", F.coalesce("read_error", reason) if "read_error" in files.columns else reason)
+
+
 def validate_uploads(files: DataFrame, most_bytes: int = MOST_BYTES, folder: str = "uploads") -> DataFrame:
-    """files (position, filename, content; null counts as empty) with their safe name, size, reject reason, and for accepted ones hash and path."""
-    files = files.withColumn("content", F.coalesce("content", F.lit(b"")))  # what was not sent is empty
-    name, size = safe_filename(F.col("filename")), F.length("content").cast("long")
-    reason = reject_reason(name, size, F.substring("content", 1, 1024), most_bytes)
-    sha = F.when(reason.isNull(), F.sha2("content", 256))
-    return files.select("position", name.alias("filename"), size.alias("size_bytes"), reason.alias("error"), sha.alias("sha256"), F.concat(F.lit(f"{folder}/"), sha, F.lit(".pdf")).alias("source_path"))
+    """files (position, filename, content; null counts as empty) with their safe name, size, reject reason, and for accepted ones hash and path; and read_error, if files have it."""
+    rows = _judged(files, most_bytes)
+    sha = F.when(F.col("error").isNull(), F.sha2("content", 256))
+    more = ["read_error"] if "read_error" in files.columns else []
+    return rows.select("position", "filename", "size_bytes", "error", sha.alias("sha256"), F.concat(F.lit(f"{folder}/"), sha, F.lit(".pdf")).alias("source_path"), *more)
 
 
 def stored_contents(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """sha256 and content of accepted files, one row for a content."""
-    name = safe_filename(F.col("filename"))
-    ok = files.where(reject_reason(name, F.length("content").cast("long"), F.substring("content", 1, 1024), most_bytes).isNull())
-    return ok.select(F.sha2("content", 256).alias("sha256"), "content").dropDuplicates(["sha256"])
+    return _judged(files, most_bytes).where("error is null").select(F.sha2("content", 256).alias("sha256"), "content").dropDuplicates(["sha256"])
+
+
+def upload_bytes(uploads: DataFrame) -> DataFrame:
+    """One row: submitted_bytes and accepted_bytes of uploads (size_bytes, error), 0 for none."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return uploads.agg(total(F.col("size_bytes")).alias("submitted_bytes"), total(F.when(F.col("error").isNull(), F.col("size_bytes"))).alias("accepted_bytes"))
 
 
 def register_documents(documents: DataFrame, uploads: DataFrame, force: bool = False) -> DataFrame:
@@ -79,10 +89,11 @@ def enrol_all(memberships: DataFrame, documents: DataFrame, knowledge_base_id: i
 
 
 def batch_items(uploads: DataFrame, documents: DataFrame, batch_id: int) -> DataFrame:
-    """One item for each upload; a bad file is rejected and stops nothing."""
+    """One item for each upload; a bad file is rejected, one that could not be read has failed, and neither stops anything."""
+    bad = F.when(F.col("read_error").isNotNull(), "failed").otherwise("rejected") if "read_error" in uploads.columns else F.lit("rejected")
     docs = documents.select("sha256", F.col("id").alias("document_id"), F.col("status").alias("s"))
     rows = uploads.join(docs, "sha256", "left")
-    return rows.select(F.lit(batch_id).cast("long").alias("batch_id"), "position", "filename", "document_id", "sha256", F.when(F.col("error").isNotNull(), "rejected").otherwise(F.col("s")).alias("status"), "error")
+    return rows.select(F.lit(batch_id).cast("long").alias("batch_id"), "position", "filename", "document_id", "sha256", F.when(F.col("error").isNotNull(), bad).otherwise(F.col("s")).alias("status"), "error")
 
 
 def create_knowledge_base(bases: DataFrame, name: str, description: str | None = None) -> DataFrame:

@@ -249,11 +249,6 @@ def upload_validation(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.validate_uploads(_files(spark, folder), 3000)
 
 
-@query(_FILES + "select distinct sha256(content) as sha256, octet_length(encode(content)) as n_bytes from v where error is null")
-def document_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return ingest.stored_contents(_files(spark, folder), 3000).select("sha256", F.length("content").cast("long").alias("n_bytes"))
-
-
 def _registered(validated: DataFrame) -> DataFrame:
     ok = validated.where("error is null")
     known = ok.where("position % 4 = 0").groupBy("sha256").agg(F.min("position").alias("id"))
@@ -262,15 +257,13 @@ def _registered(validated: DataFrame) -> DataFrame:
     return ingest.register_documents(known, ok.where("position % 4 <> 0")).drop("source_path", "error")
 
 
-@query(_FILES + """
+_REGISTERED = """
     , ok as (select *, sha256(content) as sha256 from v where error is null),
     known as (select sha256, min(position) as id, case when min(position) % 3 = 0 then 'done' when min(position) % 3 = 1 then 'failed' else 'extracting' end as status from ok where position % 4 = 0 group by sha256),
     incoming as (select sha256, arg_max(filename, position) as filename, min(position) as first from ok where position % 4 <> 0 group by sha256)
     select coalesce(k.id, i.first + 1 + (select max(id) from known)) as id, sha256, coalesce(i.filename, 'old.pdf') as filename,
       case when i.sha256 is not null and (k.sha256 is null or k.status = 'failed') then 'queued' else k.status end as status, k.sha256 is null as inserted, i.sha256 is not null and (k.sha256 is null or k.status = 'failed') as queued
-    from known k full join incoming i using (sha256)""")
-def register_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return _registered(ingest.validate_uploads(_files(spark, folder), 3000))
+    from known k full join incoming i using (sha256)"""
 
 
 def _all_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -285,15 +278,15 @@ _ALL_FILES = """
     v as (select *, case when octet_length(encode(content)) > 104857600 then 'File exceeds the 104857600 byte limit' end as error from f)"""
 
 
-@query(_ALL_FILES + SQL["document_dedup"].removeprefix(_FILES))
+@query(_ALL_FILES + "select distinct sha256(content) as sha256, octet_length(encode(content)) as n_bytes from v where error is null")
 def document_dedup_all(spark: SparkSession, folder: str) -> DataFrame:
-    """As document_dedup, over every document and with the default limit."""
+    """The distinct contents of every document, with the default limit."""
     return ingest.stored_contents(_all_files(spark, folder)).select("sha256", F.length("content").cast("long").alias("n_bytes"))
 
 
-@query(_ALL_FILES + SQL["register_documents"].removeprefix(_FILES))
+@query(_ALL_FILES + _REGISTERED)
 def register_documents_all(spark: SparkSession, folder: str) -> DataFrame:
-    """As register_documents, over every document and with the default limit."""
+    """Every document registered beside those that are known, with the default limit."""
     return _registered(ingest.validate_uploads(_all_files(spark, folder)))
 
 
@@ -304,11 +297,21 @@ def register_documents_all(spark: SparkSession, folder: str) -> DataFrame:
     from (select doc_id, start, regexp_replace(substring(text, start + 1, 2000), '^\s+|\s+$', '', 'g') as c from w) where c <> '' or start = 0""")
 def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Windows of 2,000 characters, so that most documents give several."""
-    rows = _texts(spark, folder).where("text is not null").withColumns({"section_index": F.lit(0), "section_title": F.lit("Body")})
-    parts = chunking.number_chunks(chunking.split_into_chunks(rows, most_chars=2000, overlap=200))
+    return _chunked(spark, folder, most_chars=2000, overlap=200)
+
+
+def _chunked(spark: SparkSession, folder: str, **windows: int) -> DataFrame:
+    rows = _texts(spark, folder).withColumns({"section_index": F.lit(0), "section_title": F.lit("Body")})
+    parts = chunking.number_chunks(chunking.split_into_chunks(rows, **windows))
     return parts.select("document_id", "chunk_index", F.sha2("text", 256).alias("sha256"), "token_estimate")
 
 
+@query(SQL["chunk_documents"].replace("1800)", "11200)").replace("2000", "12000").replace("- 200", "- 800"))
+def chunk_documents_default(spark: SparkSession, folder: str) -> DataFrame:
+    """The windows of an ingest: 12,000 characters that overlap by 800."""
+    return _chunked(spark, folder)
+
+
 def _tei(spark: SparkSession, folder: str) -> DataFrame:
     head = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>'
     content = F.concat(
@@ -600,21 +603,35 @@ def batches_of_document(spark: SparkSession, folder: str) -> DataFrame:
     return status.batches_of_document(t.batches, t.batch_items, DOC + 1)
 
 
-@query(_FILES + """
-    , h as (select *, case when error is null then sha256(content) end as sha256 from v),
+_INGESTED = """
+    , h as (select *, case when error is null then sha256(content) end as sha256, octet_length(encode(content)) as n from v),
     d as (select sha256, arg_max(filename, position) as filename, min(position) as first from h where sha256 is not null group by sha256)
-    select h.position, h.filename, h.size_bytes, h.error, case when h.error is not null then 'rejected' else 'queued' end as status, d.first + 1 as document_id, d.sha256 is not null as was_new_document, d.sha256 is not null as queued_for_processing
-    from h left join d on d.sha256 = h.sha256""")
-def ingest_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents as one batch of uploads into an empty model."""
+    select h.position, h.filename, h.n as size_bytes, h.error, case when h.error is not null then 'rejected' else 'queued' end as status, d.first + 1 as document_id, d.sha256 is not null as was_new_document, d.sha256 is not null as queued_for_processing
+    from h left join d on d.sha256 = h.sha256"""
+
+
+def _ingested(spark: SparkSession, folder: str, files: DataFrame, most_bytes: int) -> DataFrame:
+    """files as one batch of uploads into an empty model."""
     empty = lambda name: spark.createDataFrame([], TABLES[name])
     bases = starschema.tables(spark, folder).knowledge_bases
     t = Tables(documents=empty("documents"), batches=empty("batches"), memberships=empty("memberships"), batch_items=empty("batch_items"), knowledge_bases=bases)
-    now, batch, metadata = ingest.ingest_batch(t, _files(spark, folder), KB, " uploads ", most_bytes=3000, most_files=1 << 62)
+    now, batch, metadata = ingest.ingest_batch(t, files, KB, " uploads ", most_bytes=most_bytes, most_files=1 << 62)
     items = now.batch_items.where(F.col("batch_id") == batch).withColumn("position", F.col("position").cast("long"))
     return items.join(metadata, "position").select("position", "filename", "size_bytes", "error", "status", "document_id", "was_new_document", "queued_for_processing")
 
 
+@query(_FILES + _INGESTED)
+def ingest_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, good and bad names and sizes among them: every one has an item, and a rejected one says why."""
+    return _ingested(spark, folder, _files(spark, folder), 3000)
+
+
+@query(_ALL_FILES + _INGESTED)
+def ingest_batch_all(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents under accepted names and with the default limit."""
+    return _ingested(spark, folder, _all_files(spark, folder), ingest.MOST_BYTES)
+
+
 @query(f"""
     with e as ({_EXTRACTED})
     select 'other|name:' || lower(subject) as subject_key, upper(replace(predicate, ' ', '_')) as predicate, 'other|name:' || lower(object) as object_key, negated, speculative, count(*) as evidence_count, count(distinct document_id) as document_count

@@ -6,7 +6,7 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from claimloom.operators import assemble, project, resolve
+from claimloom.operators import browse, ingest, numbering, project, resolve
 from claimloom.plans import queries
 from claimloom.sources import pdfwriter, sections
 from claimloom.sources.slots import SlotTable
@@ -74,9 +74,9 @@ def test_a_version_rewrites_the_slots_of_its_keys(spark, tmp_path):
 
 def test_numbers_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame([(k * 7919 % 1000, k) for k in range(1000)], "a long, b long")
-    one, many = (assemble.numbered(df.repartition(n), ["a"], 5).select("seq", "a").collect() for n in (1, 13))
+    one, many = (numbering.numbered(df.repartition(n), ["a"], 5).select("seq", "a").collect() for n in (1, 13))
     assert sorted(one) == sorted(many) == [(k + 5, k) for k in range(1000)]
-    assert assemble.numbered(df.limit(0), ["a"]).count() == 0
+    assert numbering.numbered(df.limit(0), ["a"]).count() == 0
 
 
 def stream(spark, top, rows, schema, extractor=None, **more):
@@ -139,3 +139,31 @@ def test_resolution_in_batches_is_that_of_one(spark, small):
     columns = ["seq", "entity_id", "canonical_key", "canonical_name", "normalized_id"]
     one, many = (sorted(map(tuple, queries.QUERIES[n](spark, small).select(columns).collect()), key=repr) for n in ("entity_resolution", "entity_resolution_batches"))
     assert one == many
+
+
+def test_deep_pages_are_those_of_a_sort(spark, monkeypatch):
+    df = spark.createDataFrame([(k * 37 % 500, k % 7) for k in range(500)], "id long, v long").repartition(7)
+    order = [F.desc("v"), "id"]
+    near = browse._page(df, order, 40, 230).collect()
+    monkeypatch.setattr(browse, "NEAR", 100)
+    page = browse._page(df, order, 40, 230)
+    assert page.collect() == near and page.columns == ["id", "v"] and browse._page(df, order, 40, 490).count() == 10 and browse._page(df, order, 5, 1 << 40).count() == 0
+
+
+def test_uploads_that_are_null_or_could_not_be_read(spark):
+    files = spark.createDataFrame([(0, "a.pdf", None, None), (1, "b.pdf", bytearray(b"%PDF-1"), None), (2, "c.pdf", None, "disk error"), (3, "d.txt", bytearray(b"%PDF-1"), None)], "position long, filename string, content binary, read_error string")
+    assert [bytes(r.content) for r in ingest.stored_contents(files).collect()] == [b"%PDF-1"] and ingest.stored_contents(files.drop("read_error")).count() == 1
+    uploads = ingest.validate_uploads(files)
+    documents = ingest.register_documents(spark.createDataFrame([], "id long, sha256 string, filename string, source_path string, status string, error string"), uploads)
+    got = {r.position: (r.status, r.error) for r in ingest.batch_items(uploads, documents, 1).collect()}
+    assert got == {0: ("rejected", "File is empty"), 1: ("queued", None), 2: ("failed", "disk error"), 3: ("rejected", "Only PDF files are supported")}
+    assert tuple(ingest.upload_bytes(uploads).first()) == (12, 6) and tuple(ingest.upload_bytes(uploads.limit(0)).first()) == (0, 0)
+
+
+def test_graphs_of_what_is_not_there_are_refused(spark, small):
+    t = queries.starschema.tables(spark, small)
+    for asked in (lambda: browse.knowledge_base_graph(t, 99), lambda: browse.document_graph(t, -5)):
+        with pytest.raises(KeyError):
+            asked()
+    nodes, _, _ = browse.document_graph(t, queries.DOC, limit=3)
+    assert nodes.count() <= 6
