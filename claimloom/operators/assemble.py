@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.operators import browse, project, resolve
+from claimloom.functions import claimjson
+from claimloom.operators import browse, extract, project, resolve
+from claimloom.operators.chunking import number_chunks, split_into_chunks
+from claimloom.operators.extract import Extractor, rule_extractor
 from claimloom.operators.graph import one, scoped_claims
 from claimloom.operators.numbering import numbered
 from claimloom.plans.lineage import cut
 from claimloom.schemas import Tables
+from claimloom.sources import sections
+from claimloom.sources.slots import SlotTable
 
 _IDENTITY = ("canonical_key", "canonical_name", "entity_type", "normalized_id", "normalized_alias")
 
@@ -82,3 +87,26 @@ def _beside(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two tables of one row as one row."""
     k = F.lit(1).alias("k")
     return a.select(k, *a.columns).join(b.select(k, *b.columns), "k").drop("k")
+
+
+def extract_again(chunks: DataFrame, stored: SlotTable, version: int, extractor: Extractor = rule_extractor, repair: Extractor | None = None) -> tuple[DataFrame, int]:
+    """(states of these chunks, slots rewritten): chunks (id, document_id, section_title, text) are asked about again, and stored claims (chunk_id, position, document_id, claim as JSON) of just these chunks are replaced.
+
+    A chunk whose answer fails keeps the claims that it had. Delivering it again with the same version changes nothing."""
+    answered = cut(extract.answers(chunks, extractor, repair))
+    good = answered.where("valid")
+    found = good.select("chunk_id", "document_id", F.posexplode(claimjson.claims_of(F.col("answer"))).alias("position", "claim"))
+    rows = found.select("chunk_id", "document_id", "position", F.to_json("claim").alias("claim_json"))
+    return extract.chunk_states(answered), stored.replace(version, rows, good.select("chunk_id"))
+
+
+def parse_again(documents: DataFrame, chunks: SlotTable, claims: SlotTable, version: int, **parsers) -> tuple[DataFrame, int]:
+    """(document_id, error of what cannot be parsed, slots rewritten): documents (document_id, content) are parsed again; those that can be have only their new chunks, and none of their old claims.
+
+    chunks are kept by document_id, claims by document_id too; documents that cannot be parsed keep what they had."""
+    parsed = cut(sections.parse(documents, **parsers))
+    good = parsed.where("error is null").select("document_id").distinct()
+    fresh = number_chunks(split_into_chunks(parsed.where("error is null")))
+    fresh = fresh.select(F.xxhash64("document_id", "chunk_index").alias("id"), "document_id", "chunk_index", "section_title", "text", "token_estimate", F.lit("queued").alias("status"))
+    touched = chunks.replace(version, fresh.select(*chunks.columns), good)
+    return parsed.where("error is not null").select("document_id", "error"), touched + claims.replace(version, claims.empty, good)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from claimloom.functions.textnorm import entity_type_literal, predicate_literal
 from claimloom.operators.graph import all_of, graph, one, scoped_claims
 from claimloom.operators.numbering import numbered
+from claimloom.operators.search import TrigramIndex
 from claimloom.schemas import Tables, bounded
 
 
@@ -33,12 +34,16 @@ def _page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
     return rows.where((F.col("_n") > offset) & (F.col("_n") <= offset + limit)).orderBy("_n").drop("_n")
 
 
-def entity_search(t: Tables, knowledge_base_id: int, query: str | None = None, entity_type: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
-    """Entities of a knowledge base by name, identifier or any alias, with all aliases and counts in scope."""
+def entity_search(t: Tables, knowledge_base_id: int, query: str | None = None, entity_type: str | None = None, limit: int = 100, offset: int = 0, index: TrigramIndex | None = None) -> DataFrame:
+    """Entities of a knowledge base by name, identifier or any alias, with all aliases and counts in scope. With an index, only the entities that it names are looked at and counted; patterns without three characters in a row are scanned for."""
     bounded("limit", limit, "page")
     bounded("query", len(query or ""))
+    among = index.candidates(query.strip()) if index is not None and query else None
+    if among is not None:
+        t = t.with_(entities=t.entities.join(among.withColumnRenamed("entity_id", "id"), "id", "left_semi"), aliases=t.aliases.join(among, "entity_id", "left_semi"))
     claims = of_knowledge_base(t, knowledge_base_id).select("id", "document_id", "subject_entity_id", "object_entity_id")
     roles = claims.select("id", "document_id", F.explode(F.array_distinct(F.array("subject_entity_id", "object_entity_id"))).alias("entity_id")).where("entity_id is not null")
+    roles = roles if among is None else roles.join(among, "entity_id", "left_semi")
     counts = roles.groupBy("entity_id").agg(F.countDistinct("document_id").cast("int").alias("document_count"), F.count("*").cast("int").alias("evidence_count"))
     aliases = t.aliases.groupBy("entity_id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
     if query:
@@ -95,7 +100,7 @@ def knowledge_bases(t: Tables, limit: int = 100) -> DataFrame:
     bounded("limit", limit, "base_page")
     documents = t.memberships.groupBy("knowledge_base_id").agg(F.count("*").alias("document_count"))
     batches = t.batches.groupBy("knowledge_base_id").agg(F.count("*").alias("batch_count"))
-    pairs = t.relation_evidence.join(t.claims.select(F.col("id").alias("claim_id"), "document_id"), "claim_id").select("relation_id", "document_id").distinct()
+    pairs = t.relation_evidence.join(t.claims.select(F.col("id").alias("claim_id"), "document_id"), "claim_id").select("relation_id", "document_id")
     relations = pairs.join(t.memberships, "document_id").groupBy("knowledge_base_id").agg(F.countDistinct("relation_id").alias("relation_count"))
     out = t.knowledge_bases
     for counts, name in ((documents, "document_count"), (batches, "batch_count"), (relations, "relation_count")):
@@ -108,7 +113,8 @@ def knowledge_base_stats(t: Tables, knowledge_base_id: int) -> DataFrame:
     base = one(t.knowledge_bases.where(F.col("id") == knowledge_base_id), "knowledge base")
     members = t.memberships.where(F.col("knowledge_base_id") == knowledge_base_id).agg(F.countDistinct("document_id").cast("int").alias("document_count"))
     claims = scoped_claims(t, knowledge_base_id).select(F.col("id").alias("claim_id"))
-    of_claims = claims.join(t.relation_evidence, "claim_id", "left").agg(F.countDistinct("claim_id").cast("int").alias("claim_count"), F.countDistinct("relation_id").cast("int").alias("relation_count"))
+    # a claim supports one relation at most, so that its row is one: a single distinct count, which needs no copies of rows
+    of_claims = claims.join(t.relation_evidence, "claim_id", "left").agg(F.count("*").cast("int").alias("claim_count"), F.countDistinct("relation_id").cast("int").alias("relation_count"))
     k = F.lit(knowledge_base_id).cast("long").alias("id")
     return base.join(members.select(k, "document_count"), "id").join(of_claims.select(k, "claim_count", "relation_count"), "id")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions import claimjson, textnorm
-from claimloom.operators import assemble, browse, chunking, extract, graph, ingest, project, resolve, status
+from claimloom.operators import assemble, browse, chunking, extract, graph, ingest, project, resolve, search, status
 from claimloom.plans.lineage import cut, shared_folder
 from claimloom.schemas import TABLES, Tables
 from claimloom.sources import pdfwriter, sections, starschema
@@ -125,6 +125,14 @@ def entity_search(spark: SparkSession, folder: str) -> DataFrame:
     return browse.entity_search(starschema.tables(spark, folder), KB, " the %a").withColumn("aliases", F.array_join("aliases", "|"))
 
 
+@query(SQL["entity_search"])
+def entity_search_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """As entity_search, through the trigrams of names, identifiers and aliases."""
+    t = starschema.tables(spark, folder)
+    index = search.TrigramIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", slots=16).add(t.entities, t.aliases)
+    return browse.entity_search(t, KB, " the %a", index=index).withColumn("aliases", F.array_join("aliases", "|"))
+
+
 _CLAIM_COLUMNS = ", ".join(f"c.{x}" for x in browse._CLAIM if x != "confidence") + ", round(cast(c.confidence as double), 6) as confidence"
 
 

@@ -62,7 +62,7 @@ class SlotTable:
         kept = self.read(last, slots).join(keys.select(self.key).distinct(), self.key, "left_anti")
         now = kept.unionByName(rows.select(*self.columns)).withColumn("slot", self._slot())
         if slots:
-            now.repartition("slot").write.mode("overwrite").partitionBy("slot").parquet(f"{self.folder}/rows/of={version}")
+            now.repartition("slot").sortWithinPartitions("slot", self.key).write.mode("overwrite").partitionBy("slot").parquet(f"{self.folder}/rows/of={version}")
         there = [r[0] for r in self.spark.read.schema(f"{self.schema}, slot int").parquet(f"{self.folder}/rows/of={version}").select("slot").distinct().collect()] if slots else []
         after = [(k, v) for k, v in before.items() if k not in slots] + [(k, version) for k in there]
         self.spark.createDataFrame(after, "slot int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/of={version}")
