@@ -11,12 +11,15 @@ greatest text counts, or that of the greatest `arrived` if there is such a colum
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from claimloom.functions import claimjson
 from claimloom.operators import extract, status
@@ -86,16 +89,18 @@ def claims_of_documents(documents: DataFrame, extractor: Extractor = rule_extrac
     return process(documents, extractor).claims
 
 
-def _schemas(spark: SparkSession) -> dict[str, str]:
-    """Of each written table, its columns."""
+@functools.cache
+def _schemas() -> dict[str, str]:
+    """Of each written table, its columns as JSON, as the functions above give them for no documents."""
+    spark = SparkSession.active()
     made = process(spark.createDataFrame([], "document_id long, text string"), keep=lambda df: df)
     ends = made.claims.select("*", F.lit(None).cast("long").alias("subject_entity_id"), F.lit(None).cast("long").alias("object_entity_id"))
-    return {"documents": made.documents.schema, "chunks": made.chunks.schema, "claims": ends.schema, "numbers": spark.createDataFrame([], "next long").schema}
+    return {name: df.schema.json() for name, df in (("documents", made.documents), ("chunks", made.chunks), ("claims", ends), ("numbers", spark.createDataFrame([], "next long")))}
 
 
 def _read(spark: SparkSession, sink: str, name: str) -> DataFrame:
     """All versions of a written table, with their batch; nothing before the first batch."""
-    schema = _schemas(spark)[name].add("batch", "long")
+    schema = StructType.fromJson(json.loads(_schemas()[name])).add("batch", "long")
     empty = spark.createDataFrame([], schema)
     empty.drop("batch").coalesce(1).write.mode("ignore").parquet(f"{sink}/{name}/batch=-1")
     return spark.read.schema(schema).parquet(f"{sink}/{name}")
