@@ -47,7 +47,7 @@ class Sizes(NamedTuple):
 
     part: int = 8 << 20  # bytes of text in a part
     step: int = 1 << 20  # bytes hashed at a time, at most 2 << 20
-    bucket: int = 32 << 20  # bytes of text for each bucket of triggers
+    bucket: int = 16 << 20  # bytes of text for each bucket of triggers
     gather: int = 64 << 20  # bytes of text of which a task sends the phrases together
     contents: int = 16  # contents of one trigger in one part beyond which it is hot
 
@@ -248,6 +248,28 @@ def dictionary(parts: DataFrame, buckets: int, sizes: Sizes) -> DataFrame:
 _FOUND = [("part", pa.int64()), ("kind", pa.int32()), ("content", pa.binary()), ("mask", pa.binary())]
 
 
+def _grouped(work):
+    """work on a group, with memory handed back to the system after it, since workers live on for other stages."""
+
+    def run(group: pa.Table) -> pa.Table:
+        out = work(group)
+        common.release()
+        return out
+
+    return run
+
+
+def _cogrouped(work):
+    """As _grouped, for a part and what it has been told."""
+
+    def run(row: pa.Table, told: pa.Table) -> pa.Table:
+        out = work(row, told)
+        common.release()
+        return out
+
+    return run
+
+
 def first_documents(buckets: int):
     """One bucket of the dictionary -> what parts have to know: contents that an earlier document has (FULL), contents to send (SEND), contents of triggers that are hot elsewhere (HOT)."""
 
@@ -397,11 +419,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = spark.table(name)
     size = parts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = max(1, -(-size // sizes.bucket))
-    told = common.cut(dictionary(parts, buckets, sizes).groupBy("bucket").applyInArrow(first_documents(buckets), FOUND))
-    sent = parts.groupBy("part").cogroup(told.where(F.col("kind").isin(SEND, HOT)).groupBy("part")).applyInArrow(sent_phrases(buckets, sizes), SENT)
-    mask = common.cut(sent.groupBy("bucket").applyInArrow(masks, FOUND))
+    told = common.cut(dictionary(parts, buckets, sizes).groupBy("bucket").applyInArrow(_grouped(first_documents(buckets)), FOUND))
+    sent = parts.groupBy("part").cogroup(told.where(F.col("kind").isin(SEND, HOT)).groupBy("part")).applyInArrow(_cogrouped(sent_phrases(buckets, sizes)), SENT)
+    mask = common.cut(sent.groupBy("bucket").applyInArrow(_grouped(masks), FOUND))
     last = told.where(F.col("kind") != SEND).unionByName(mask)
-    out = parts.groupBy("part").cogroup(last.groupBy("part")).applyInArrow(kept_bytes(sizes), KEPT)
+    out = parts.groupBy("part").cogroup(last.groupBy("part")).applyInArrow(_cogrouped(kept_bytes(sizes)), KEPT)
     parts.cut_path = folder
     out.working = (name, (parts, told, mask))
     return out
