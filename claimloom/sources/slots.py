@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLOTS = 64
+SLOTS = 16
 
 
 class SlotTable:

