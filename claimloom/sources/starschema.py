@@ -1,17 +1,25 @@
 """The model's tables, derived from an order-and-supply star schema.
 
 Regions are knowledge bases, customers documents, orders chunks, and order lines claims: a supplier's nation acts on
-a part's type. MODEL_SQL says the same in SQL, as common table expressions whose names begin with m_.
+a part's type. model_sql says the same in SQL, as common table expressions whose names begin with m_.
+
+tables() derives them in the query's own plan; stored_tables() writes what takes windows, joins and aggregates once for each
+state of the star schema, so that queries scan it with pushed filters.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.operators import project, status
+from claimloom.plans.lineage import shared_folder
 from claimloom.schemas import Tables
-from claimloom.sources.tables import table
+from claimloom.sources.tables import file_state, once, table
+
+SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 PREDICATES = {"A": "ACTIVATES", "N": "BINDS_TO", "R": "INHIBITS"}
 _LINE = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -76,8 +84,28 @@ def claims(spark: SparkSession, folder: str, found: DataFrame, with_brand: bool
 
 def tables(spark: SparkSession, folder: str, with_brand: bool = False) -> Tables:
     parts, found = chunks(spark, folder), entities(spark, folder)
-    docs, facts = documents(spark, folder, parts), claims(spark, folder, found, with_brand)
+    facts = claims(spark, folder, found, with_brand)
+    return _tables(spark, folder, documents(spark, folder, parts), parts, found, facts, *project.relations_of(facts))
+
+
+def stored_tables(spark: SparkSession, folder: str, with_brand: bool = False) -> Tables:
+    """As tables(), with documents, chunks, claims, relations and evidence as tables in the shared folder, written when first asked for.
+
+    Their place is named by the state of the source files and by model_sql, so changed sources or rules give another one. Claims lie by document
+    and id: a document's are a few row groups, and a document with a third of all claims is split over files."""
+    state = [file_state(spark, f"{folder}/{name}.parquet") for name in SOURCES]
+    place = lambda brand: f"{shared_folder(spark)}/model-{hashlib.sha256(repr((state, model_sql(brand))).encode()).hexdigest()[:32]}"
+    base, own = place(False), place(with_brand)  # documents and chunks have no brands
+    parts = once(f"{base}/chunks", chunks(spark, folder))
+    docs = once(f"{base}/documents", documents(spark, folder, parts))
+    found = entities(spark, folder)
+    facts = once(f"{own}/claims", claims(spark, folder, found, with_brand), "document_id", "id")
     relations, evidence = project.relations_of(facts)
+    relations = once(f"{own}/relations", relations)
+    return _tables(spark, folder, docs, parts, found, facts, relations, once(f"{own}/relation_evidence", evidence))
+
+
+def _tables(spark: SparkSession, folder: str, docs: DataFrame, parts: DataFrame, found: DataFrame, facts: DataFrame, relations: DataFrame, evidence: DataFrame) -> Tables:
     customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("document_id"), F.col("c_nationkey").alias("n_nationkey"))
     regions = table(spark, folder, "nation").select("n_nationkey", F.col("n_regionkey").cast("long").alias("r"))
     batch = F.floor(F.col("document_id") / 2).cast("long")
