@@ -16,7 +16,11 @@ depend on what came before; so a chunk's state map is its head up to that point,
 there on, and the state at its end. Two maps compose by running the second's head from the first's
 end; composition is associative, and a prefix scan over the chunks gives each chunk's state and count.
 
-Defined results: null and empty texts have no tokens; the special token's string inside a text
+What a worker has compiled is bounded within a text too: after every piece of a stretch without blanks, and before every chunk, a
+worker with too many transitions starts afresh from the present state, which a few byte strings and counts describe.
+
+Defined results: null and empty texts have no tokens; very long texts are counted whole, with or without blanks; repeated rows and equal
+texts are counted alike, each row by itself; no rows give no rows; other columns are not read. The special token's string inside a text
 counts as that one token and separates what stands beside it, which is the library's default.
 """
 
@@ -143,8 +147,8 @@ class WordCounts(dict):
 
 
 class Transducer:
-    #: Compiled transitions a worker keeps; beyond them it starts afresh, between two texts.
-    MOST = 900_000
+    #: Compiled transitions a worker keeps; beyond them it starts afresh, after the piece of so many characters that it reads.
+    MOST, PIECE = 900_000, 1 << 14
     #: Characters of a chunk; words whose counts a worker remembers in each of two generations, and the longest of them.
     CHUNK, WORDS, WORD_CHARS = 1 << 16, 600_000, 40
 
@@ -242,7 +246,32 @@ class Transducer:
             return self.state(kind, (at,)), more
         return self.fresh(ch)
 
+    @staticmethod
+    def described(state: State) -> tuple:
+        """The state without what was compiled from it."""
+        return state.kind, *((x.suffix, x.last) if isinstance(x, Inner) else x for x in state.data)
+
+    def revived(self, described: tuple) -> State:
+        return self.state(described[0], tuple(self.inner_state(*x) if isinstance(x, tuple) else x for x in described[1:]))
+
+    def bounded(self) -> bool:
+        """Start afresh if there is too much; True if so."""
+        if self.transitions <= self.MOST:
+            return False
+        self.reset()
+        gc.collect()
+        return True
+
     def steps(self, state: State, text: str, total: int = 0) -> tuple[State, int]:
+        if len(text) > self.PIECE:
+            for i in range(0, len(text), self.PIECE):
+                state, total = self.steps(state, text[i : i + self.PIECE], total)
+                if self.transitions > self.MOST:
+                    now = self.described(state)
+                    del state  # it holds all that was compiled from it
+                    self.bounded()
+                    state = self.revived(now)
+            return state, total
         for ch in text:
             state, n = state[ch]
             total += n
@@ -263,18 +292,21 @@ class Transducer:
             total += n
         return state, total
 
-    def chunk_map(self, text: str) -> tuple[str, State | None, int]:
-        """(head, end state, count after the head); without an end state all of the text is head."""
+    def chunk_map(self, text: str) -> tuple[str, tuple | None, int]:
+        """(head, end state as described, count after the head); without an end state all of the text is head."""
+        self.bounded()
         for i in range(1, len(text)):
             if text[i] in BLANKS and text[i - 1] not in BLANKS:
-                return (text[: i + 1], *self.run(self.start[text[i]][0], text[i + 1 :]))
+                state, n = self.run(self.start[text[i]][0], text[i + 1 :])
+                return text[: i + 1], self.described(state), n
         return text, None, 0
 
     def compose(self, one: tuple, two: tuple) -> tuple:
         if one[1] is None:
             return one[0] + two[0], two[1], two[2]
-        state, n = self.run(one[1], two[0])
-        return one[0], state if two[1] is None else two[1], one[2] + n + two[2]
+        self.bounded()
+        state, n = self.run(self.revived(one[1]), two[0])
+        return one[0], self.described(state) if two[1] is None else two[1], one[2] + n + two[2]
 
     def scan(self, maps: list[tuple]) -> list[tuple]:
         """Inclusive prefix scan: pairs are composed, the half as many are scanned, and each odd place gets one more step."""
@@ -284,9 +316,7 @@ class Transducer:
         return [maps[0] if i == 0 else half[i // 2] if i % 2 else self.compose(half[i // 2 - 1], maps[i]) for i in range(len(maps))]
 
     def count(self, text: str) -> int:
-        if self.transitions > self.MOST:
-            self.reset()
-            gc.collect()
+        self.bounded()
         total, parts = 0, [text]
         for special in self.merges.special:
             parts = [q for p in parts for q in p.split(special)] if special in text else parts

@@ -242,3 +242,20 @@ def test_a_pre_token_of_a_megabyte(monkeypatch):
 
 if __name__ == "__main__":
     pytest.main([__file__])
+
+
+def test_token_counts_start_afresh_within_a_text():
+    """A worker with few transitions allowed starts afresh many times in one text, with and without blanks, and counts the same."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path, rnd = public_tokenizers.path("byte_bpe_50k.json"), random.Random(5)
+    library, machine = Tokenizer.from_file(path), token_counts.Transducer(path)
+    machine.MOST, machine.PIECE, machine.CHUNK = 300, 7, 50
+    most = 0
+    for _ in range(150):
+        text = "".join(rnd.choice(rnd.choice(["ab cde\n\t'sltvre12  .,<|éß漢", "AbCdEf0123+/"])) for _ in range(rnd.choice([5, 40, 200, 900])))
+        assert machine.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+        most = max(most, machine.transitions)
+    assert 300 < most < 500
