@@ -7,8 +7,9 @@ ends there; a shorter item is one window as a whole, and is found on the state's
 The spans of all windows are united; a document whose hit words reach the coverage limit is contaminated.
 
 The automata are built from blocks of items of about BLOCK_WORDS words, dealt by the hash of the item's id, and each block is
-broadcast by itself: the driver and a worker hold one block at a time, and documents are
-read once however many blocks there are. With several blocks a worker builds each automaton once for every 64 MB of text. No shuffle.
+broadcast by itself: the driver collects one block at a time, a worker holds one automaton at a time but keeps the words of every block that it has
+read, so the benchmark's words, not its automata, must fit a worker. Documents are read once however many blocks there are. With several blocks
+a worker builds each automaton once for every slice (64 MB of text, or an Arrow batch if that is smaller). No shuffle.
 
 Defined results: null texts have no words; items with a null id, a null text or no words are left out;
 repeated items count once by id; a document without words is not contaminated; ties are kept apart by nothing, as every
