@@ -49,7 +49,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("tokenization", tokenization),
 ]
 
-#: The suffix array, the sampled models and the merges have no SQL form; tests/llm holds run() against brute force.
+#: The suffix array, the sampled models and the merges have no SQL form; tests/llm holds each operator against brute force, and each stage against its operator's own scores.
 ORACLE_SQL = None
 
 
