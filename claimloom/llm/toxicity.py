@@ -3,7 +3,8 @@
 The lexicon is learned. Over a bounded sample of labelled training documents, words and prefixes are
 counted by documents and by the variety of their contexts in toxic ones (a 64-bit map of hashed
 neighbours, so that copies of one document count once); those that vary and are far more frequent in
-toxic documents are terms, prefixes as stems of any ending. A word is run through the determinised product of the lexicon's trie and the
+toxic documents are terms, of any length, prefixes as stems of any ending. How many contexts are asked for follows the number of toxic documents
+in the sample: ten from 60 on, a sixth of them below, four at least. A word is run through the determinised product of the lexicon's trie and the
 Levenshtein automata of all its terms at once (one edit from 5 letters on, two from 8): a state is the
 set of trie places reachable with the fewest edits, and transitions are made when first needed.
 
@@ -36,7 +37,9 @@ from claimloom.llm import common
 #: Bound of what is learned from: labelled training rows. All their terms that pass the limits below are kept.
 SAMPLE = 20_000
 STEMS = (3, 4, 5, 6, 7, 8)  # lengths of prefixes that may be terms
-LEAST_VARIETY, LEAST_LIFT = 10, 6.0  # of contexts; of the share of toxic documents over that of others
+LEAST_LIFT = 6.0  # of the share of toxic documents over that of others
+#: A term is in at least so many toxic documents and contexts: one in SHARE of the sample's toxic documents, but from FLOOR to MOST_VARIETY.
+SHARE, FLOOR, MOST_VARIETY = 6, 4, 10
 EXACT_MOST, FUZZY_MOST, SUM_MOST = 7.0, 5.5, 20.0
 WINDOW = 4  # words before a hit that are its context
 _STRIP = " \t\r\n\x0b\x0c!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”„«»‘’¡¿…"
@@ -57,6 +60,10 @@ def most_edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
 
 
+def least_variety(n_toxic: int) -> int:
+    return min(MOST_VARIETY, max(FLOOR, -(-n_toxic // SHARE)))
+
+
 class Place:
     """A node of the trie; word, stem: the term that ends here; reach: the most edits of the terms below."""
 
@@ -250,7 +257,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     lift = (F.col("toxic") + 0.5) / (F.col("other") + 0.5) * ((n0 + 1) / (n1 + 1))
     found = common.map_text(rows, spread, "name string, other long, toxic long, contexts long", "y")
     found = found.groupBy("name").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"), F.bit_or("contexts").alias("contexts"))
-    found = found.where((F.bit_count("contexts") >= LEAST_VARIETY) & (F.col("toxic") >= LEAST_VARIETY) & (lift >= LEAST_LIFT) & (F.length("name") > 2))
+    least = least_variety(n1)
+    found = found.where((F.bit_count("contexts") >= least) & (F.col("toxic") >= least) & (lift >= LEAST_LIFT) & ~F.col("name").isin("", "*"))
     counted = {r.name: r.toxic for r in found.collect()}
     stems = {m: c for m, c in counted.items() if m.endswith("*")}
     # of nested stems with nearly the same documents, the longest

@@ -168,6 +168,52 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.score(cases.empty(spark), toxicity.learn(cases.empty(spark), labels)).count() == 0
 
 
+def _counted_terms(texts: list[tuple[str, int]]) -> tuple[list[str], dict[str, float]]:
+    """Terms by the rules and weights of exact hits, by plain counting; a star marks a stem."""
+    import math
+    import zlib
+
+    docs, n = {}, [sum(not y for _, y in texts), sum(bool(y) for _, y in texts)]
+    for i, (text, y) in enumerate(texts):
+        words = [w.strip(toxicity._STRIP).lower() for w in (text or "").split()]
+        for before, w in zip(["", *words], words):
+            for name, mark in [(w, before)] + [(w[:k] + "*", w) for k in range(3, 9) if len(w) > k]:
+                of = docs.setdefault(name, (set(), set(), set()))
+                of[bool(y)].add(i)
+                if y:
+                    of[2].add(zlib.crc32(mark.encode()) % 64)
+    least = min(10, max(4, math.ceil(n[1] / 6)))
+    found = {m: len(b) for m, (a, b, c) in docs.items() if min(len(b), len(c)) >= least and m.strip("*") and (len(b) + 0.5) / (len(a) + 0.5) * (n[0] + 1) / (n[1] + 1) >= 6}
+    kept = {m for m, c in found.items() if not (m[-1] == "*" and any(o[-1] == "*" and len(o) > len(m) and o.startswith(m[:-1]) and 10 * d >= 9 * c for o, d in found.items()))}
+    kept = sorted(m for m in kept if m[-1] == "*" or m + "*" not in kept)
+    log = lambda m: math.log((len(docs[m][1]) + 1) / (n[1] + 2)) - math.log((len(docs[m][0]) + 0.5) / (n[0] + 2))
+    return kept, {m: min(7.0, max(0.0, log(m))) for m in kept if m[-1] != "*"}
+
+
+def test_terms_of_small_tables_are_found_by_counting(spark):
+    import zlib
+
+    for sf in ("sf0.001", "sf0.01"):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        known = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 0}
+        terms, weights = _counted_terms([(r.text, known[r.doc_id]) for r in docs.collect() if r.doc_id in known])
+        model = toxicity.learn(docs, labels.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"))
+        assert sorted(t + "*" * stem for t, stem in model["terms"]) == terms and len(terms) >= 5
+        assert all(abs(model["weights"][t, True] - w) < 1e-9 for t, w in weights.items())
+        scored = toxicity.score(docs, model)
+        assert scored.select("score").distinct().count() > 2
+        # labels of these tables are noisy: of the documents with two terms or more nearly all are toxic and are found
+        clear = scored.where("size(terms) >= 2").join(labels, "doc_id").collect()
+        assert sum(r.predicted for r in clear if r.toxic) > 0.9 * sum(r.toxic for r in clear)
+    short = [(i, f"{'xy' if i < 30 else 'ab'} w{i} v{i * 7}") for i in range(200)]
+    docs = spark.createDataFrame(short, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 30)) for i, _ in short], "doc_id long, toxic int")
+    # the word before xy is none in these texts, so its one context is not enough; with others it is a term of two letters
+    assert ("xy", False) not in toxicity.learn(docs, labels)["terms"]
+    varied = docs.selectExpr("doc_id", "concat('u', doc_id * 3, ' ', text) as text")
+    assert toxicity.learn(varied, labels)["terms"] == [("xy", False)]
+
+
 def test_toxicity_is_the_sum_over_words_by_edit_distance():
     """The whole score of texts from a model, with every word held against every term."""
     terms = [("stupid", False), ("horrible", True), ("abc", False), ("slimy", True)]
