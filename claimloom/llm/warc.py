@@ -32,6 +32,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +42,15 @@ from pyspark.sql import functions as F
 from claimloom.llm import common
 
 LEAST_SHARED = 100  # bytes from which on equal payloads are written once
-FILE_BYTES, SHARD_BYTES = 64 << 20, 32 << 20
+#: Of a compressed file; of a shard's payload, which is several files for any text that compresses by less than four.
+FILE_BYTES, SHARD_BYTES = 32 << 20, 128 << 20
 #: Sampled rows to a shard; bytes of a record beside its payload; bytes that the reader unpacks at a time.
 PER_SHARD, RECORD_BYTES, STEP = 64, 600, 8 << 10
-#: Shards of an archive: beyond 256 GB of payload they grow, so that the sample (about PER_SHARD keys to each) and the bounds stay within the driver.
+#: Shards of an archive: beyond 1 TB of payload they grow, so that the sample (about PER_SHARD keys to each) and the bounds stay within the driver.
 MOST_SHARDS = 8192
 #: Stands for a null id in the order of records.
 NO_ID = -(1 << 63)
+RENAMES = 16  # at a time
 _EMPTY_MEMBER = bytes.fromhex("1f8b08000000000002ff0300") + bytes(8)
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -180,16 +183,18 @@ def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, shard_bytes
     (packed.sortWithinPartitions("file", "seq").select("file", F.col("row").cast("string").alias("value"))
         .write.partitionBy("file").option("lineSep", "\u0000").text(attempt))
     fs, at = _files(spark, path)
-    listed = []
-    for folder in fs.listStatus(at(attempt)):
-        name = folder.getPath().getName()
-        if name.startswith("file="):
-            parts = [p.getPath() for p in fs.listStatus(folder.getPath()) if p.getPath().getName().startswith("part-")]
-            assert len(parts) == 1, "a shard lies in one partition"
-            final = at(f"{path}/part-{name[5:]}.warc.gz")
-            fs.delete(final, False)
-            fs.rename(parts[0], final)
-            listed.append((final.getName(), fs.getFileStatus(final).getLen()))
+
+    def publish(folder) -> tuple[str, int]:
+        parts = [p for p in fs.listStatus(folder) if p.getPath().getName().startswith("part-")]
+        assert len(parts) == 1, "a shard lies in one partition"
+        final = at(f"{path}/part-{folder.getName()[5:]}.warc.gz")
+        fs.delete(final, False)
+        fs.rename(parts[0].getPath(), final)
+        return final.getName(), parts[0].getLen()
+
+    folders = [f.getPath() for f in fs.listStatus(at(attempt)) if f.getPath().getName().startswith("file=")]
+    with ThreadPoolExecutor(RENAMES) as pool:  # calls to the file system, which wait on it
+        listed = list(pool.map(publish, folders))
     manifest = spark.createDataFrame(sorted(listed), "file string, bytes long").coalesce(1)
     manifest.write.json(f"{attempt}/manifest")
     fs.delete(at(f"{path}/manifest"), True)

@@ -265,6 +265,24 @@ def test_shards_are_even_whatever_the_ids(spark, tmp_path):
     assert all(r.payload_digest == r.header_digest for r in read) and common is not None
 
 
+def test_shards_roll_by_compressed_size(spark, tmp_path):
+    """Files and shards in the proportion of the defaults, on text that compresses little."""
+    import random
+
+    rng, scale = random.Random(5), 1024
+    rows = [(k, "u", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=2000))) for k in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    assert warc.SHARD_BYTES >= 4 * warc.FILE_BYTES
+    warc.write(pages, f"file://{tmp_path}/a", file_bytes=warc.FILE_BYTES // scale, shard_bytes=warc.SHARD_BYTES // scale)
+    files = {p.name: p.stat().st_size for p in (tmp_path / "a").glob("*.gz")}
+    shards = Counter(name[:11] for name in files)
+    assert len(shards) > 2 and sorted(shards.values())[len(shards) // 2] >= 2 and max(files.values()) <= warc.FILE_BYTES // scale
+    # a file is closed only when the next record does not fit
+    assert all(size > warc.FILE_BYTES // scale - 4096 for name, size in files.items() if f"{name[:12]}{int(name[12:16]) + 1:04d}{name[16:]}" in files)
+    read = warc.read(spark, f"file://{tmp_path}/a").collect()
+    assert sorted((r.page_id, r.payload.decode()) for r in read) == sorted((a, c) for a, _, c in rows)
+
+
 def test_pipeline_stages_at_the_edges(spark, small):
     import corpus_pipeline as cp
 
