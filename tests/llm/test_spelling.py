@@ -8,7 +8,7 @@ import cases
 import oracle
 import pytest
 
-from claimloom.llm import queries, spelling
+from claimloom.llm import common, queries, spelling
 
 
 def distance(a: str, b: str) -> int:
@@ -76,3 +76,16 @@ def test_edges(spark, monkeypatch):
 def test_query_and_sql(spark, small):
     got = queries.queries()["op11_symmetric_delete"](spark, small)
     assert oracle.difference(got, oracle.connect(small), spelling.ORACLE_SQL) is None
+
+
+def test_words_are_never_broadcast(spark, monkeypatch):
+    plans, cut = [], common.cut
+
+    def seen(df, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, **options)
+
+    monkeypatch.setattr(common, "cut", seen)
+    out = spelling.variants(spark.createDataFrame([(1, CHAIN)], "doc_id long, text string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
