@@ -60,7 +60,7 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 @query(MODEL + _edges_sql(_IN_KB, columns=_ROUNDED))
 def graph_edges_kb(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(graph.edges(starschema.stored_tables(spark, folder), KB), "confidence", "max_confidence")
+    return rounded(graph.edges(starschema.stored_tables(spark, folder, needed=("claims", "relations", "relation_evidence")), KB), "confidence", "max_confidence")
 
 
 _STRICT = "where r.predicate = 'BINDS_TO' and (s.entity_type = 'Drug' or o.entity_type = 'Drug') and not r.negated and not r.speculative"
@@ -68,14 +68,14 @@ _STRICT = "where r.predicate = 'BINDS_TO' and (s.entity_type = 'Drug' or o.entit
 
 @query(FINE + _edges_sql(_IN_KB, "having count(distinct document_id) >= 2", _STRICT, _ROUNDED))
 def graph_edges_filtered(spark: SparkSession, folder: str) -> DataFrame:
-    t = starschema.stored_tables(spark, folder, with_brand=True)
+    t = starschema.stored_tables(spark, folder, with_brand=True, needed=("claims", "relations", "relation_evidence"))
     found = graph.edges(t, KB, min_document_count=2, predicate=" binds to", entity_type="drug", include_negated=False, include_speculative=False)
     return rounded(found, "confidence", "max_confidence")
 
 
 @query(MODEL + _edges_sql(f"where document_id = {DOC}", columns=_ROUNDED))
 def document_graph(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(graph.edges(starschema.stored_tables(spark, folder), document_id=DOC), "confidence", "max_confidence")
+    return rounded(graph.edges(starschema.stored_tables(spark, folder, needed=("claims", "relations", "relation_evidence")), document_id=DOC), "confidence", "max_confidence")
 
 
 _NODES = """
@@ -122,13 +122,13 @@ def graph_evidence_topk(spark: SparkSession, folder: str) -> DataFrame:
     where e.canonical_name ilike '%the %a%' or coalesce(e.normalized_id ilike '%the %a%', false) or a.hit = 1
     order by document_count desc, canonical_name, id limit 100""")
 def entity_search(spark: SparkSession, folder: str) -> DataFrame:
-    return browse.entity_search(starschema.stored_tables(spark, folder), KB, " the %a").withColumn("aliases", F.array_join("aliases", "|"))
+    return browse.entity_search(starschema.stored_tables(spark, folder, needed=("claims",)), KB, " the %a").withColumn("aliases", F.array_join("aliases", "|"))
 
 
 @query(SQL["entity_search"])
 def entity_search_indexed(spark: SparkSession, folder: str) -> DataFrame:
     """As entity_search, through the trigrams of names, identifiers and aliases."""
-    t = starschema.stored_tables(spark, folder)
+    t = starschema.stored_tables(spark, folder, needed=("claims",))
     index = search.TrigramIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", slots=16).add(t.entities, t.aliases)
     return browse.entity_search(t, KB, " the %a", index=index).withColumn("aliases", F.array_join("aliases", "|"))
 
@@ -140,12 +140,12 @@ _CLAIM_COLUMNS = ", ".join(f"c.{x}" for x in browse._CLAIM if x != "confidence")
     select {_CLAIM_COLUMNS}, d.filename, k.section_title from m_claims c join m_documents d on d.id = c.document_id left join m_chunks k on k.id = c.chunk_id
     where c.document_id in (select document_id from m_members where knowledge_base_id = {KB}) and c.predicate = 'INHIBITS' and (c.subject_type = 'Drug' or c.object_type = 'Drug') order by c.id limit 1000 offset 10""")
 def kb_claims(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(browse.knowledge_base_claims(starschema.stored_tables(spark, folder), KB, 1000, 10, "inhibits", "drug"), "confidence")
+    return rounded(browse.knowledge_base_claims(starschema.stored_tables(spark, folder, needed=("chunks", "documents", "claims")), KB, 1000, 10, "inhibits", "drug"), "confidence")
 
 
 @query(MODEL + f"select {_CLAIM_COLUMNS} from m_claims c where c.document_id = {DOC} order by c.id limit 100")
 def document_claims(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(browse.document_claims(starschema.stored_tables(spark, folder), DOC), "confidence")
+    return rounded(browse.document_claims(starschema.stored_tables(spark, folder, needed=("claims",)), DOC), "confidence")
 
 
 @query(MODEL + """
@@ -155,7 +155,7 @@ def document_claims(spark: SparkSession, folder: str) -> DataFrame:
       cast((select count(distinct relation_id) from m_evidence e join m_members m using (document_id) where m.knowledge_base_id = r_regionkey) as integer) as relation_count
     from region""")
 def kb_list(spark: SparkSession, folder: str) -> DataFrame:
-    return browse.knowledge_bases(starschema.stored_tables(spark, folder)).drop("created_at", "description")
+    return browse.knowledge_bases(starschema.stored_tables(spark, folder, needed=("claims", "relation_evidence"))).drop("created_at", "description")
 
 
 @query(MODEL + f"""
@@ -164,7 +164,7 @@ def kb_list(spark: SparkSession, folder: str) -> DataFrame:
       cast((select count(*) from m_claims {_IN_KB}) as integer) as claim_count, cast((select count(distinct relation_id) from m_evidence {_IN_KB}) as integer) as relation_count
     from region where r_regionkey = {KB}""")
 def kb_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return browse.knowledge_base_stats(starschema.stored_tables(spark, folder), KB).drop("created_at", "description")
+    return browse.knowledge_base_stats(starschema.stored_tables(spark, folder, needed=("claims", "relation_evidence")), KB).drop("created_at", "description")
 
 
 _COUNTED = """
@@ -176,12 +176,12 @@ _COUNTED = """
 
 @query(MODEL + _COUNTED.format(more="p.id // 2 as added_via_batch_id,", page=f"select * from m_documents where id in (select document_id from m_members where knowledge_base_id = {KB}) order by age desc, id desc limit 1000 offset 5"))
 def kb_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return browse.knowledge_base_documents(starschema.stored_tables(spark, folder), KB, 1000, 5).drop("created_at")
+    return browse.knowledge_base_documents(starschema.stored_tables(spark, folder, needed=("chunks", "documents", "claims")), KB, 1000, 5).drop("created_at")
 
 
 @query(MODEL + _COUNTED.format(more="", page="select * from m_documents order by age desc, id desc limit 500"))
 def documents_list(spark: SparkSession, folder: str) -> DataFrame:
-    return browse.documents(starschema.stored_tables(spark, folder), 500).drop("created_at")
+    return browse.documents(starschema.stored_tables(spark, folder, needed=("chunks", "documents", "claims")), 500).drop("created_at")
 
 
 @query(MODEL + f"""
@@ -190,7 +190,7 @@ def documents_list(spark: SparkSession, folder: str) -> DataFrame:
       (select string_agg('kb-' || lower(r_name), ',' order by r_regionkey) from region join m_members on knowledge_base_id = r_regionkey where document_id = {DOC}) as bases
     from m_documents d where d.id = {DOC}""")
 def document_detail(spark: SparkSession, folder: str) -> DataFrame:
-    doc, histogram, count, bases = browse.document_detail(starschema.stored_tables(spark, folder), DOC)
+    doc, histogram, count, bases = browse.document_detail(starschema.stored_tables(spark, folder, needed=("chunks", "documents", "claims")), DOC)
     joined = lambda rows, name: rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]), ",").alias(name)).withColumn("k", F.lit(1))
     chunks = joined(histogram.select(F.struct(F.col("status").alias("o"), F.concat_ws("=", "status", F.col("count").cast("string")).alias("v")).alias("x")), "chunks")
     slugs = joined(bases.select(F.struct(F.col("id").alias("o"), F.col("slug").alias("v")).alias("x")), "bases")
@@ -199,7 +199,7 @@ def document_detail(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(MODEL + f"select distinct batch_id as id, batch_id % 5 as knowledge_base_id, 'batch ' || batch_id as name from m_items where batch_id % 5 = {KB} qualify dense_rank() over (order by batch_id % 991 desc, batch_id desc) <= 500")
 def kb_batches(spark: SparkSession, folder: str) -> DataFrame:
-    return browse.knowledge_base_batches(starschema.stored_tables(spark, folder), KB, 500).drop("created_at")
+    return browse.knowledge_base_batches(starschema.stored_tables(spark, folder, needed=()), KB, 500).drop("created_at")
 
 
 _ITEMS = "select batch_id, position, filename, document_id, case when document_id is null then own_status else document_status end as status, case when document_id is not null then document_error end as error from m_items"
@@ -207,7 +207,7 @@ _ITEMS = "select batch_id, position, filename, document_id, case when document_i
 
 @query(MODEL + _ITEMS)
 def batch_items(spark: SparkSession, folder: str) -> DataFrame:
-    t = starschema.stored_tables(spark, folder)
+    t = starschema.stored_tables(spark, folder, needed=("chunks", "documents"))
     return status.item_status(t.batch_items, t.documents).drop("id", "sha256")
 
 
@@ -220,18 +220,18 @@ _ROLLED = """
 
 @query(MODEL + _ROLLED.format("select *, own_status as s from m_items"))
 def batch_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    t = starschema.stored_tables(spark, folder)
+    t = starschema.stored_tables(spark, folder, needed=("chunks", "documents"))
     return status.batch_status(t.batches, t.batch_items)
 
 
 @query(MODEL + "select batch_id, cast(count(*) filter (where own_status in ('done', 'partial', 'failed', 'rejected')) as double) / count(*) as finished from m_items group by batch_id")
 def batch_progress(spark: SparkSession, folder: str) -> DataFrame:
-    return browse.finished_share(starschema.stored_tables(spark, folder).batch_items)
+    return browse.finished_share(starschema.stored_tables(spark, folder, needed=("chunks", "documents")).batch_items)
 
 
 @query(MODEL + "select id, status, error from m_documents")
 def document_status(spark: SparkSession, folder: str) -> DataFrame:
-    return starschema.stored_tables(spark, folder).documents.select("id", "status", "error")
+    return starschema.stored_tables(spark, folder, needed=("chunks", "documents")).documents.select("id", "status", "error")
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -458,26 +458,26 @@ def _printed(claims: DataFrame) -> DataFrame:
 
 @query(FINE + f"select id, {_PRINT} as claim_fingerprint from m_claims")
 def claim_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    return _printed(starschema.stored_tables(spark, folder, with_brand=True).claims).select("id", "claim_fingerprint")
+    return _printed(starschema.stored_tables(spark, folder, with_brand=True, needed=("claims",)).claims).select("id", "claim_fingerprint")
 
 
 @query(MODEL + f", p as (select *, {_PRINT} as claim_fingerprint from m_claims) select min(id) as id, chunk_id, claim_fingerprint, round(cast(arg_max(confidence, id) as double), 6) as confidence from p group by chunk_id, claim_fingerprint")
 def claim_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _printed(starschema.stored_tables(spark, folder).claims).select("id", "chunk_id", "claim_fingerprint", "confidence")
+    rows = _printed(starschema.stored_tables(spark, folder, needed=("claims",)).claims).select("id", "chunk_id", "claim_fingerprint", "confidence")
     return rounded(project.dedup_claims(rows), "confidence")
 
 
 @query(FINE + "select r.id, subject_entity_id, predicate, object_entity_id, qualifiers, sha256(qualifiers) as qualifiers_hash, negated, speculative, n from m_relations r join (select relation_id, count(*) as n from m_evidence group by relation_id) e on e.relation_id = r.id")
 def relation_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """Relations by the hash of their columns; here they are called by their first claim, which SQL can say."""
-    relations, evidence = project.hashed_relations(starschema.stored_tables(spark, folder, with_brand=True).claims)
+    relations, evidence = project.hashed_relations(starschema.stored_tables(spark, folder, with_brand=True, needed=("claims",)).claims)
     named = relations.join(evidence.groupBy(F.col("relation_id").alias("id")).agg(F.count("*").alias("n")), "id")
     return named.drop("id").withColumnRenamed("first_claim", "id")
 
 
 @query(MODEL + "select subject_entity_id as entity_id, lower(subject_text) as normalized_alias, arg_max(case when id % 3 = 0 then upper(subject_text) when id % 3 = 1 then lower(subject_text) else subject_text end, id) as alias from m_claims group by subject_entity_id, lower(subject_text)")
 def alias_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    c = starschema.stored_tables(spark, folder).claims
+    c = starschema.stored_tables(spark, folder, needed=("claims",)).claims
     text = F.when(F.col("id") % 3 == 0, F.upper("subject_text")).when(F.col("id") % 3 == 1, F.lower("subject_text")).otherwise(F.col("subject_text"))
     return project.latest_aliases(c.select(F.col("subject_entity_id").alias("entity_id"), text.alias("alias"), textnorm.normalize_alias(text).alias("normalized_alias"), F.col("id").alias("seq")))
 
@@ -486,7 +486,7 @@ def alias_upsert(spark: SparkSession, folder: str) -> DataFrame:
     select knowledge_base_id, document_id, document_id // 2 as added_via_batch_id from m_members
     union all select 4, c_custkey, min(c_custkey % 10) from customer where (4, c_custkey) not in (select (knowledge_base_id, document_id) from m_members) group by c_custkey""")
 def membership_insert(spark: SparkSession, folder: str) -> DataFrame:
-    t = starschema.stored_tables(spark, folder)
+    t = starschema.stored_tables(spark, folder, needed=("chunks", "documents"))
     added = t.documents.select(F.lit(4).cast("long").alias("knowledge_base_id"), F.col("id").alias("document_id"), F.explode(F.array(F.col("id") % 10, F.lit(10).cast("long"))).alias("added_via_batch_id"))
     return ingest.add_memberships(t.memberships, added)
 
@@ -495,7 +495,7 @@ def membership_insert(spark: SparkSession, folder: str) -> DataFrame:
     select knowledge_base_id, document_id, document_id // 2 as added_via_batch_id from m_members
     union all select 0, c_custkey, null from customer where (0, c_custkey) not in (select (knowledge_base_id, document_id) from m_members)""")
 def default_enrol(spark: SparkSession, folder: str) -> DataFrame:
-    t = starschema.stored_tables(spark, folder)
+    t = starschema.stored_tables(spark, folder, needed=("chunks", "documents"))
     return ingest.enrol_all(t.memberships, t.documents, 0)
 
 
@@ -504,7 +504,7 @@ def default_enrol(spark: SparkSession, folder: str) -> DataFrame:
     select 'relation' as kind, id from m_relations where predicate = 'INHIBITS' or subject_entity_id <= 3
     union all select 'entity', id from m_entities where id not in (select subject_entity_id from alive) and id not in (select object_entity_id from alive)""")
 def orphan_prune(spark: SparkSession, folder: str) -> DataFrame:
-    t = starschema.stored_tables(spark, folder)
+    t = starschema.stored_tables(spark, folder, needed=("claims", "relations", "relation_evidence"))
     gone = t.relations.where("predicate = 'INHIBITS' or subject_entity_id <= 3").select(F.col("id").alias("relation_id"))
     relations, entities = browse.orphans(t.with_(relation_evidence=t.relation_evidence.join(gone, "relation_id", "left_anti")))
     return relations.select(F.lit("relation").alias("kind"), "id").unionByName(entities.select(F.lit("entity").alias("kind"), "id"))
@@ -516,7 +516,7 @@ def orphan_prune(spark: SparkSession, folder: str) -> DataFrame:
     union all select null, null, null, null, count(*) from kb where id % 13 = 0""")
 def rebuild_projection(spark: SparkSession, folder: str) -> DataFrame:
     """Claims stored as JSON, one in thirteen of them with a confidence out of range."""
-    t = starschema.stored_tables(spark, folder)
+    t = starschema.stored_tables(spark, folder, needed=("claims",))
     projected, _, counts = project.rebuild(t.claims.select("id", "chunk_id", _stored().alias("claim_json")), graph.scoped_claims(t, KB))
     none = lambda kind: F.lit(None).cast(kind)
     failed = counts.select(none("long").alias("id"), none("long").alias("chunk_id"), none("string").alias("claim_fingerprint"), none("string").alias("predicate"), "failed")
@@ -599,7 +599,7 @@ def incremental_ingest(spark: SparkSession, folder: str) -> DataFrame:
     from i join region b on b.r_regionkey = i.batch_id % 5 left join m_documents d on d.id = i.document_id where i.batch_id = {DOC}""")
 def batch_detail(spark: SparkSession, folder: str) -> DataFrame:
     """A batch with its items; whether a document is known comes as metadata by position."""
-    t = starschema.stored_tables(spark, folder)
+    t = starschema.stored_tables(spark, folder, needed=("chunks", "documents"))
     known = t.batch_items.where(F.col("batch_id") == DOC).select("position", F.col("document_id").isNotNull().alias("known"))
     header, items = browse.batch_detail(t, DOC, known)
     return header.select(F.col("id").alias("batch_id"), "knowledge_base_name").join(items, "batch_id").select("batch_id", "knowledge_base_name", "position", "filename", "document_id", "document_status", "known")
@@ -607,7 +607,7 @@ def batch_detail(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(MODEL + _ROLLED.format(f"select *, own_status as s from m_items where batch_id in (select batch_id from m_items where document_id = {DOC + 1})"))
 def batches_of_document(spark: SparkSession, folder: str) -> DataFrame:
-    t = starschema.stored_tables(spark, folder)
+    t = starschema.stored_tables(spark, folder, needed=("chunks", "documents"))
     return status.batches_of_document(t.batches, t.batch_items, DOC + 1)
 
 
@@ -660,7 +660,7 @@ def extract_to_graph(spark: SparkSession, folder: str) -> DataFrame:
     select relation_id, count(*) as evidence_count, sum(claim_id) as claims from m_evidence where claim_id not in (select id from gone) group by relation_id""")
 def rebuild_graph(spark: SparkSession, folder: str) -> DataFrame:
     """Relations and evidence after a knowledge base's stored claims are projected and resolved again; every entity and relation is found as it was."""
-    t = starschema.stored_tables(spark, folder)
+    t = starschema.stored_tables(spark, folder, needed=("claims", "relations", "relation_evidence"))
     t = t.with_(claims=t.claims.withColumn("claim_json", _stored()), entities=t.entities, aliases=t.aliases)
     now, _, _ = assemble.rebuild_graph(t, KB)
     rows = now.relation_evidence.join(now.relations.select(F.col("id").alias("relation_id")), "relation_id")

@@ -63,46 +63,58 @@ def aliases(found: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("entity_id"), spellings.alias("alias")).withColumn("normalized_alias", F.lower("alias"))
 
 
-def claims(spark: SparkSession, folder: str, found: DataFrame, with_brand: bool = False) -> DataFrame:
-    """Claims with entity ids and qualifiers. Ids: the order's key and the line's place among the order's lines."""
-    lines = table(spark, folder, "lineitem")
+def lines(spark: SparkSession, folder: str, found: DataFrame, with_brand: bool = False) -> DataFrame:
+    """What named() makes claims of, by keys alone. Ids: the order's key and the line's place among the order's lines, where orders are joined too, since lines lie by order there."""
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_LINE))
-    lines = lines.withColumn("id", F.col("l_orderkey") * 1000 + place)
-    side = lambda role: found.select(F.col("id").alias(f"{role}_entity_id"), F.col("canonical_name").alias(f"{role}_text"), F.col("entity_type").alias(f"{role}_type"))
+    rows = table(spark, folder, "lineitem").withColumn("id", F.col("l_orderkey") * 1000 + place)
     suppliers = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_nationkey").cast("long") + 1).alias("subject_entity_id"))
-    parts = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("object_text"), "p_size", "p_brand")
+    kinds = found.select(F.col("id").alias("object_entity_id"), F.col("canonical_name").alias("p_type"))
+    parts = table(spark, folder, "part").join(kinds, "p_type").select(F.col("p_partkey").alias("l_partkey"), "object_entity_id", (F.col("p_size") % 7 == 0).alias("negated"), *(["p_brand"] if with_brand else []))
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("document_id"))
-    rows = lines.join(suppliers, "l_suppkey").join(parts, "l_partkey").join(orders, "l_orderkey").join(side("subject"), "subject_entity_id").join(side("object"), "object_text")
-    predicate = F.element_at(F.create_map(*[F.lit(x) for p in PREDICATES.items() for x in p]), F.col("l_returnflag"))
-    qualifiers = F.concat(F.lit('{"brand":"'), F.col("p_brand"), F.lit('"}')) if with_brand else F.lit("{}")
+    rows = rows.join(orders, "l_orderkey").join(suppliers, "l_suppkey").join(parts, "l_partkey")
     return rows.select(
-        "id", "document_id", F.col("l_orderkey").alias("chunk_id"), "subject_text", "subject_type", "subject_entity_id", predicate.alias("predicate"), "object_text", "object_type", "object_entity_id",
-        F.concat_ws(" ", "subject_text", "l_returnflag", "object_text").alias("evidence_text"), (1 - F.col("l_discount")).cast("float").alias("confidence"), (F.col("p_size") % 7 == 0).alias("negated"),
-        (F.col("l_linestatus") == "F").alias("speculative"), qualifiers.alias("qualifiers"),
+        "id", "document_id", F.col("l_orderkey").alias("chunk_id"), "subject_entity_id", "object_entity_id", "l_returnflag", (1 - F.col("l_discount")).cast("float").alias("confidence"), "negated",
+        (F.col("l_linestatus") == "F").alias("speculative"), *(["p_brand"] if with_brand else []),
+    )
+
+
+def named(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Claims with entity ids and qualifiers of lines()."""
+    side = lambda role: found.select(F.col("id").alias(f"{role}_entity_id"), F.col("canonical_name").alias(f"{role}_text"), F.col("entity_type").alias(f"{role}_type"))
+    predicate = F.element_at(F.create_map(*[F.lit(x) for p in PREDICATES.items() for x in p]), F.col("l_returnflag"))
+    qualifiers = F.concat(F.lit('{"brand":"'), F.col("p_brand"), F.lit('"}')) if "p_brand" in rows.columns else F.lit("{}")
+    return rows.join(side("subject"), "subject_entity_id").join(side("object"), "object_entity_id").select(
+        "id", "document_id", "chunk_id", "subject_text", "subject_type", "subject_entity_id", predicate.alias("predicate"), "object_text", "object_type", "object_entity_id",
+        F.concat_ws(" ", "subject_text", "l_returnflag", "object_text").alias("evidence_text"), "confidence", "negated", "speculative", qualifiers.alias("qualifiers"),
     ).withColumn("qualifiers_hash", F.sha2("qualifiers", 256))
 
 
 def tables(spark: SparkSession, folder: str, with_brand: bool = False) -> Tables:
     parts, found = chunks(spark, folder), entities(spark, folder)
-    facts = claims(spark, folder, found, with_brand)
+    facts = named(lines(spark, folder, found, with_brand), found)
     return _tables(spark, folder, documents(spark, folder, parts), parts, found, facts, *project.relations_of(facts))
 
 
-def stored_tables(spark: SparkSession, folder: str, with_brand: bool = False) -> Tables:
-    """As tables(), with documents, chunks, claims, relations and evidence as tables in the shared folder, written when first asked for.
+STORED = ("chunks", "documents", "claims", "relations", "relation_evidence")
+
+
+def stored_tables(spark: SparkSession, folder: str, with_brand: bool = False, needed: tuple[str, ...] = STORED) -> Tables:
+    """As tables(), with documents, chunks, claims, relations and evidence as tables in the shared folder, written when first asked for; those that are not needed are derived, and cost nothing unless they are read.
 
     Their place is named by the state of the source files and by model_sql, so changed sources or rules give another one. Claims lie by document
-    and id: a document's are a few row groups, and a document with a third of all claims is split over files."""
+    and id: a document's are a few row groups, and a document with a third of all claims is split over files. Entities, which are few, are written
+    as well, so that their size is known."""
     state = [file_state(spark, f"{folder}/{name}.parquet") for name in SOURCES]
-    place = lambda brand: f"{shared_folder(spark)}/model-{hashlib.sha256(repr((state, model_sql(brand))).encode()).hexdigest()[:32]}"
-    base, own = place(False), place(with_brand)  # documents and chunks have no brands
-    parts = once(f"{base}/chunks", chunks(spark, folder))
-    docs = once(f"{base}/documents", documents(spark, folder, parts))
-    found = entities(spark, folder)
-    facts = once(f"{own}/claims", claims(spark, folder, found, with_brand), "document_id", "id")
+    place = lambda brand, kind: f"{shared_folder(spark)}/{kind}-{hashlib.sha256(repr((state, model_sql(brand))).encode()).hexdigest()[:32]}"
+    base, own = place(False, "model"), place(with_brand, "model")  # documents and chunks have no brands
+    keep = lambda name, at, rows, *order, **how: once(f"{at}/{name}", rows, *order, **how) if name in needed else how.get("finish", lambda x: x)(rows)
+    parts = keep("chunks", base, chunks(spark, folder))
+    docs = keep("documents", base, documents(spark, folder, parts))
+    found = once(place(False, "entities"), entities(spark, folder).coalesce(1))
+    facts = keep("claims", own, lines(spark, folder, found, with_brand), "document_id", "id", finish=lambda rows: named(rows, found))
     relations, evidence = project.relations_of(facts)
-    relations = once(f"{own}/relations", relations)
-    return _tables(spark, folder, docs, parts, found, facts, relations, once(f"{own}/relation_evidence", evidence))
+    relations = keep("relations", own, relations)
+    return _tables(spark, folder, docs, parts, found, facts, relations, keep("relation_evidence", own, evidence))
 
 
 def _tables(spark: SparkSession, folder: str, docs: DataFrame, parts: DataFrame, found: DataFrame, facts: DataFrame, relations: DataFrame, evidence: DataFrame) -> Tables:
@@ -115,7 +127,7 @@ def _tables(spark: SparkSession, folder: str, docs: DataFrame, parts: DataFrame,
         "id", F.floor(F.col("id") / 2).cast("long").alias("batch_id"), (F.col("id") % 2).cast("int").alias("position"), "filename", F.when(F.col("id") % 7 != 0, F.col("id")).alias("document_id"),
         F.when(F.col("id") % 7 == 0, "rejected").when((F.col("id") % 22).isin(0, 1), "queued").otherwise(F.col("status")).alias("status"), F.lit(None).cast("string").alias("error"),
     )
-    batches = items.select(F.col("batch_id").alias("id")).distinct().select(
+    batches = customers.select(batch.alias("id")).distinct().select(
         "id", (F.col("id") % 5).alias("knowledge_base_id"), F.concat(F.lit("batch "), F.col("id").cast("string")).alias("name"), F.timestamp_seconds(1_700_000_000 + F.col("id") % 991 * 60).alias("created_at")
     )
     r = table(spark, folder, "region")

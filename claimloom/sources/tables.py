@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,8 +38,9 @@ def file_state(spark: SparkSession, path: str) -> tuple[str, int, int, int]:
     return full, summary.getLength(), summary.getFileCount(), fs.getFileStatus(at).getModificationTime()
 
 
-def once(path: str, rows: DataFrame, *order: str) -> DataFrame:
-    """rows as a table under path: read where it is there, else written first, by ranges of the columns of order if any are given.
+def once(path: str, rows: DataFrame, *order: str, finish: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """finish(rows) as a table under path: read where it is there, else written first, by ranges of the columns of order if any are given. What finish adds, such as names
+    from small tables, is neither shuffled nor sorted.
 
     A version is a folder of its own and counts from the moment its job has ended, so a job that was lost leaves nothing that is read; of two that were written at the
     same time, which are equal, the first name is taken."""
@@ -48,6 +50,6 @@ def once(path: str, rows: DataFrame, *order: str) -> DataFrame:
     found = done()
     if not found:
         kept = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
-        kept.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{path}/{uuid.uuid4().hex}")
+        finish(kept).write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{path}/{uuid.uuid4().hex}")
         found = done()
-    return spark.read.schema(rows.schema).parquet(found[0])
+    return spark.read.schema(finish(rows).schema).parquet(found[0])
