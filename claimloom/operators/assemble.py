@@ -11,7 +11,7 @@ from claimloom.operators.chunking import number_chunks, split_into_chunks
 from claimloom.operators.extract import Extractor, rule_extractor
 from claimloom.operators.graph import one, scoped_claims
 from claimloom.operators.numbering import numbered
-from claimloom.plans.lineage import cut
+from claimloom.plans.lineage import by_merge, cut
 from claimloom.schemas import Tables
 from claimloom.sources import sections
 from claimloom.sources.slots import SlotTable
@@ -28,9 +28,9 @@ def mentions_of(claims: DataFrame, order: list[str], first: int = 1) -> DataFram
 
 def with_entities(claims: DataFrame, mentions: DataFrame, assigned: DataFrame) -> DataFrame:
     """claims with the entity ids of both ends."""
-    resolved = cut(mentions.select("seq", "claim_id", "role").join(assigned, "seq"))
+    resolved = cut(mentions.select("seq", "claim_id", "role").join(by_merge(assigned), "seq"))
     side = lambda role, name: resolved.where(F.col("role") == role).select(F.col("claim_id").alias("id"), F.col("entity_id").alias(f"{name}_entity_id"))
-    return claims.drop("subject_entity_id", "object_entity_id").join(side(0, "subject"), "id").join(side(1, "object"), "id")
+    return claims.drop("subject_entity_id", "object_entity_id").join(by_merge(side(0, "subject")), "id").join(by_merge(side(1, "object")), "id")
 
 
 def claims_to_graph(claims: DataFrame, entities: DataFrame | None = None, aliases: DataFrame | None = None, order: list[str] | None = None) -> Tables:
@@ -41,7 +41,7 @@ def claims_to_graph(claims: DataFrame, entities: DataFrame | None = None, aliase
     assigned, found = resolve.resolve_entities(mentions, entities, aliases)
     found, assigned = cut(found), cut(assigned)
     facts = with_entities(claims, mentions, assigned)
-    spelled = mentions.join(assigned, "seq").select("seq", "entity_id", F.col("canonical_name").alias("alias"), "normalized_alias")
+    spelled = mentions.join(by_merge(assigned), "seq").select("seq", "entity_id", F.col("canonical_name").alias("alias"), "normalized_alias")
     if aliases is not None:
         spelled = spelled.unionByName(aliases.select(F.lit(0).cast("long").alias("seq"), "entity_id", "alias", "normalized_alias"))
     relations, evidence = project.relations_of(facts)
@@ -68,11 +68,11 @@ def rebuild_graph(t: Tables, knowledge_base_id: int) -> tuple[Tables, DataFrame,
     made = claims_to_graph(good, t.entities, t.aliases)
     relations, names = merged_relations(t.relations, made.relations)
     # of the scope, unreadable claims keep what they had, and claims that repeat others go
-    gone = scope.join(good.select("id"), "id", "left_anti").join(failed_ids(t.claims, scope), "id", "left_anti")
+    gone = scope.join(by_merge(good.select("id")), "id", "left_anti").join(by_merge(failed_ids(t.claims, scope)), "id", "left_anti")
     replaced = good.select("id").unionByName(gone.select("id")).select(F.col("id").alias("claim_id"))
     fresh = made.relation_evidence.withColumnRenamed("relation_id", "id").join(names, "id").select("relation_id", "claim_id")
-    evidence = cut(t.relation_evidence.select("relation_id", "claim_id").join(replaced, "claim_id", "left_anti").unionByName(fresh).select("relation_id", "claim_id"))
-    now = t.with_(entities=made.entities, aliases=made.aliases, relations=cut(relations), relation_evidence=evidence, claims=t.claims.join(gone, "id", "left_anti"))
+    evidence = cut(t.relation_evidence.select("relation_id", "claim_id").join(by_merge(replaced), "claim_id", "left_anti").unionByName(fresh).select("relation_id", "claim_id"))
+    now = t.with_(entities=made.entities, aliases=made.aliases, relations=cut(relations), relation_evidence=evidence, claims=t.claims.join(by_merge(gone), "id", "left_anti"))
     lone, unused = browse.orphans(now)
     now = now.with_(relations=now.relations.join(lone.select("id"), "id", "left_anti"), entities=now.entities.join(unused.select("id"), "id", "left_anti"))
     return now, failed, _beside(counts, browse.removed_counts(lone, unused))
@@ -80,7 +80,7 @@ def rebuild_graph(t: Tables, knowledge_base_id: int) -> tuple[Tables, DataFrame,
 
 def failed_ids(claims: DataFrame, scope: DataFrame) -> DataFrame:
     """Ids of the scope's claims that cannot be read."""
-    return claims.join(scope, "id", "left_semi").where(~project.readable(F.col("claim_json"))).select("id")
+    return claims.join(by_merge(scope), "id", "left_semi").where(~project.readable(F.col("claim_json"))).select("id")
 
 
 def _beside(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -27,3 +27,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def by_merge(df: DataFrame) -> DataFrame:
+    """df as the right side of a join on ids of claims or mentions: sorted and merged, never broadcast. Spark judges a written table by its compressed bytes, and
+    ids in order compress to one or two each, so a broadcast by size would take many times that size in the driver."""
+    return df.hint("merge")

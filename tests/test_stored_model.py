@@ -59,3 +59,30 @@ def test_empty_sources(spark, small, tmp_path):
         spark.read.parquet(f"{small}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     t = starschema.stored_tables(spark, str(tmp_path))
     assert all(getattr(t, f.name).isEmpty() for f in fields(Tables))
+
+
+def test_a_query_writes_what_it_reads(spark, small, tmp_path):
+    from claimloom.plans import queries
+
+    for name in starschema.SOURCES:
+        shutil.copy(f"{small}/{name}.parquet", tmp_path / f"{name}.parquet")
+    before = written(spark)
+    assert not queries.QUERIES["kb_batches"](spark, str(tmp_path)).isEmpty() and written(spark) == before
+    assert not queries.QUERIES["alias_upsert"](spark, str(tmp_path)).isEmpty() and len(written(spark)) == len(before) + 1
+
+
+def test_claims_are_shuffled_by_keys_alone(spark, small):
+    found = starschema.entities(spark, small)
+    assert not {"subject_text", "object_text", "evidence_text", "qualifiers", "qualifiers_hash"} & set(starschema.lines(spark, small, found, True).columns)
+    claims = starschema.stored_tables(spark, small, True).claims
+    plan = starschema.project.relations_of(claims)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan  # claims are combined by hash; the few spellings are sorted
+
+
+def test_ids_of_claims_are_never_broadcast(spark):
+    from claimloom.operators import assemble
+
+    scope = lineage.cut(spark.range(5))
+    claims = lineage.cut(spark.range(9).selectExpr("id", "'{}' as claim_json"))
+    plan = assemble.failed_ids(claims, scope)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
