@@ -7,11 +7,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions import claimjson
 from claimloom.schemas import ENTITY_TYPES
+from claimloom.sources.pieces import pieces
 
 #: prompt -> answer; a call of a language model, or the rules below
 Extractor = Callable[[str], str]
@@ -74,10 +76,11 @@ def answers(chunks: DataFrame, extractor: Extractor = rule_extractor, repair: Ex
         except Exception as e:  # a call that fails is this chunk's failure, not the job's
             return None, str(e) or type(e).__name__
 
-    def asked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            part["answer"], part["error"] = zip(*(called(extractor, f"{SYSTEM}\n{q}") for q in part["question"])) if len(part) else ([], [])
-            yield part[["chunk_id", "document_id", "answer", "error"]]
+    def asked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(parts, "question"):
+            texts = part.column("question").to_pylist()
+            answer, error = zip(*(called(extractor, f"{SYSTEM}\n{q}") for q in texts)) if texts else ([], [])
+            yield pa.RecordBatch.from_arrays([part.column("chunk_id"), part.column("document_id"), pa.array(answer, pa.string()), pa.array(error, pa.string())], names=["chunk_id", "document_id", "answer", "error"])
 
     def repaired(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -86,7 +89,7 @@ def answers(chunks: DataFrame, extractor: Extractor = rule_extractor, repair: Ex
             yield part
 
     schema = "chunk_id long, document_id long, answer string, error string"
-    rows = chunks.select(F.col("id").alias("chunk_id"), "document_id", question(F.col("section_title"), F.col("text")).alias("question")).mapInPandas(asked, schema)
+    rows = chunks.select(F.col("id").alias("chunk_id"), "document_id", question(F.col("section_title"), F.col("text")).alias("question")).mapInArrow(asked, schema)
     rows = rows.withColumn("answer", claimjson.first_json_object(F.col("answer")))
     if repair is not None:
         rows = rows.mapInPandas(repaired, schema).withColumn("answer", claimjson.first_json_object(F.col("answer")))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +14,7 @@ from claimloom.operators import assemble, browse, chunking, extract, graph, inge
 from claimloom.plans.lineage import cut, shared_folder
 from claimloom.schemas import TABLES, Tables
 from claimloom.sources import pdfwriter, sections, starschema
+from claimloom.sources.pieces import pieces
 from claimloom.sources.tables import table
 from claimloom.streaming import incremental
 
@@ -346,13 +347,16 @@ PAGE_LINES = 20
 def _pdfs(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a PDF file of pages of 20 lines, written in three ways; every fourth is cut off after its header."""
 
-    @F.pandas_udf("binary")
-    def written(keys: pd.Series, texts: pd.Series) -> pd.Series:
-        lines = [(t or "").split("\n") for t in texts]
-        files = [pdfwriter.pdf_of([x[i : i + PAGE_LINES] for i in range(0, len(x), PAGE_LINES)], k % 4) if k % 4 < 3 else b"%PDF-1.7\n1 0 obj << /Type /Ca" for k, x in zip(keys, lines)]
-        return pd.Series(files)
+    def file_of(key: int, text: str | None) -> bytes:
+        lines = (text or "").split("\n")
+        return pdfwriter.pdf_of([lines[i : i + PAGE_LINES] for i in range(0, len(lines), PAGE_LINES)], key % 4) if key % 4 < 3 else b"%PDF-1.7\n1 0 obj << /Type /Ca"
 
-    return _texts(spark, folder).select("document_id", written("document_id", "text").alias("content"))
+    def written(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(parts, "text"):
+            files = [file_of(k, t) for k, t in zip(part.column("document_id").to_pylist(), part.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column("document_id"), pa.array(files, pa.binary())], names=["document_id", "content"])
+
+    return _texts(spark, folder).mapInArrow(written, "document_id long, content binary")
 
 
 @query(rf"""

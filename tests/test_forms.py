@@ -59,3 +59,16 @@ def test_bundles_that_no_column_can_hold_are_invalid(spark):
     got = {r.i: r.c for r in df.select("i", claimjson.claims_of(F.col("t")).alias("c")).collect()}
     assert got[0][0].evidence.page == 7 and got[0][0].qualifiers == "{}" and got[len(texts) - 1] == []
     assert [i for i, c in got.items() if c is None] == list(range(1, len(texts) - 1))
+
+
+def test_batches_are_cut_into_pieces():
+    import pyarrow as pa
+
+    from claimloom.sources.pieces import pieces
+
+    texts = ["x" * n for n in (0, 5, 700, 3, 3, 900)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["id", "text"])
+    cut = list(pieces([batch, batch.slice(0, 0)], "text", 10, 3))
+    assert [p.column("id").to_pylist() for p in cut] == [[0, 1], [2], [3, 4], [5], [6]]
+    assert [x for p in cut for x in p.column("text").to_pylist()] == texts
+    assert [p.num_rows for p in pieces([batch], "text", 1 << 20, 3)] == [3, 3, 1]
