@@ -27,6 +27,8 @@ from claimloom.llm import common
 _SPACE = r"\t-\r \x85\xa0"
 _LETTER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _NUMBER = r"0-9\xb2\xb3\xb9\xbc-\xbe"
+#: Pre-tokens in a generation where encoding is all that a worker does: new ones come for ever in a large corpus, and merging one costs as much as forty lookups.
+REMEMBERED_ALONE = 400_000
 BIT = [1 << i for i in range(4096)]
 _BEYOND = re.compile("[^\x00-ɏ]")
 #: The pre-token pattern with these classes spelled out, for texts that lie below U+0250.
@@ -43,7 +45,8 @@ class ByteBpe:
     #: generation becomes the old one; what is asked for again moves back, so frequent pre-tokens stay.
     REMEMBERED, REMEMBERED_CHARS = 150_000, 48
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED) -> None:
+        self.remembered = remembered
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.tokens: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
@@ -148,7 +151,7 @@ class ByteBpe:
                 if (ids := self.old.get(piece)) is None:
                     ids = self.merge(piece.encode())
                 if len(piece) <= self.REMEMBERED_CHARS:
-                    if len(seen) >= self.REMEMBERED:
+                    if len(seen) >= self.remembered:
                         self.old, self.seen = seen, {}
                         seen = self.seen
                     seen[piece] = ids
@@ -166,22 +169,22 @@ def common_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-_LOADED: dict[tuple[str, str], ByteBpe] = {}
+_LOADED: dict[tuple[str, str, int], ByteBpe] = {}
 
 
-def loaded(path: str, pattern: str) -> ByteBpe:
-    """One encoder per worker process."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = ByteBpe(path, pattern)
-    return _LOADED[path, pattern]
+def loaded(path: str, pattern: str, remembered: int = ByteBpe.REMEMBERED) -> ByteBpe:
+    """One encoder per worker process and number of pre-tokens that it remembers."""
+    if (path, pattern, remembered) not in _LOADED:
+        _LOADED[path, pattern, remembered] = ByteBpe(path, pattern, remembered)
+    return _LOADED[path, pattern, remembered]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids (only with_ids), ids_sha256, decoded_sha256, round_trip: one row per row of docs, no shuffle."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, remembered: int = ByteBpe.REMEMBERED) -> DataFrame:
+    """doc_id, n_tokens, ids (only with_ids), ids_sha256, decoded_sha256, round_trip: one row per row of docs, no shuffle. A worker remembers the ids of up to twice `remembered` pre-tokens."""
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
     def rows(parts: Iterator) -> Iterator[dict[str, list]]:
-        bpe = loaded(ranks_path, pattern)
+        bpe = loaded(ranks_path, pattern, remembered)
         for keys, texts in parts:
             out: dict[str, list] = {k: [] for k in (id_col, "n_tokens", "ids", "ids_sha256", "decoded_sha256", "round_trip")}
             for key, text in zip(keys, texts):
@@ -219,5 +222,5 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
 def op9_bpe_rank_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
-    out = encode(common.table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, with_ids=False)
+    out = encode(common.table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, with_ids=False, remembered=REMEMBERED_ALONE)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -305,3 +305,13 @@ def test_token_counts_start_afresh_within_a_text():
         assert machine.count(text) == len(library.encode(text, add_special_tokens=False).ids)
         most = max(most, machine.transitions)
     assert 300 < most < 500
+
+
+def test_bpe_remembers_as_many_pre_tokens_as_it_is_told_to():
+    path, words = public_tokenizers.path("byte_bpe_50k.tiktoken"), [f" zq{chr(97 + k)}xv" for k in range(15)]
+    for remembered, again in ((20, 0), (3, 15)):
+        encoder, merged = bpe.ByteBpe(path, public_tokenizers.PATTERN, remembered), []
+        merge, encoder.merge = encoder.merge, lambda piece: merged.append(piece) or merge(piece)
+        first = encoder.encode("".join(words))
+        assert len(merged) == 15 and encoder.encode("".join(words)) == first and len(merged) == 15 + again
+    assert bpe.REMEMBERED_ALONE > bpe.ByteBpe.REMEMBERED
