@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from claimloom.llm import common
 
 WIDTH, BINS, BANDS, ROWS, PERCENT = 5, 128, 25, 5, 85
+MARKS = 1 << 22  # hashes of ids that are told apart when texts are picked
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.arange(1, 2 * BINS + 1, dtype=np.uint64) * _MUL
@@ -123,6 +124,14 @@ def sets(docs: DataFrame) -> DataFrame:
     return common.map_text(docs, rows, f"id {docs.schema['id'].dataType.simpleString()}, s array<long>", "id", "text", 4 << 20)
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs (id, text) with an id of ids. Texts whose id's mark, one of MARKS, no id has are dropped where they lie, so no more than the
+    others are shuffled, whether the ids are few enough to be broadcast or not; the join by id is exact."""
+    mark = F.pmod(F.xxhash64("id"), F.lit(MARKS))
+    marks = ids.select(mark.alias("mark")).distinct()
+    return docs.join(F.broadcast(marks), mark == F.col("mark"), "left_semi").join(ids, "id", "left_semi")
+
+
 def similar(a: str, b: str, percent: int):
     """Can sets of these sizes reach the limit?"""
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -177,7 +186,7 @@ def components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     fame = rows.groupBy("id").agg(F.sum("m").alias("fame"))
     hubs = rows.join(fame, "id").groupBy("key").agg(F.min(F.struct((-F.col("fame")).alias("fame"), "id", "n")).alias("top"), F.min("n").alias("least_n"))
     hubs = common.cut(hubs.select("key", F.col("top.id").alias("hub"), F.col("top.n").alias("hub_n"), "least_n"))
-    members = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(rows.select("id").distinct(), "id", "left_semi")
+    members = texts_of(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), common.cut(rows.select("id").distinct()))
     full = common.cut(sets(members.groupBy("id").agg(F.min("text").alias("text"))))
     pairs = rows.join(hubs, "key").where((F.col("id") != F.col("hub")) & similar("n", "hub_n", percent)).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     with_hub = common.cut(compared(pairs, full))
