@@ -96,8 +96,9 @@ _BRACES = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.S)
 def _first_object(text: str | None) -> str:
     """From the first brace to the one that closes it; braces inside strings do not count. Without an end, the rest."""
     text = text or ""
-    for fence in (r"(?i)^```json\s*", r"^```\s*", r"\s*```$"):
-        text = re.sub(fence, "", text)
+    if "```" in text:
+        for fence in (r"(?i)^```json\s*", r"^```\s*", r"\s*```$"):
+            text = re.sub(fence, "", text)
     start, depth = text.find("{"), 0
     if start < 0:
         return text.strip()

@@ -77,7 +77,7 @@ def normalize_predicate(c: Column) -> Column:
 
 def tidy(text: str) -> str:
     """clean_text for one text, without a fallback."""
-    return " ".join(unicodedata.normalize("NFKC", text).translate(_TO_HYPHEN).split())
+    return " ".join((text if text.isascii() else unicodedata.normalize("NFKC", text).translate(_TO_HYPHEN)).split())
 
 
 def alias_of(text: str | None) -> str:

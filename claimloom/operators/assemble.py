@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions import claimjson
 from claimloom.operators import browse, extract, project, resolve
 from claimloom.operators.chunking import number_chunks, split_into_chunks
 from claimloom.operators.extract import Extractor, rule_extractor
@@ -95,7 +94,7 @@ def extract_again(chunks: DataFrame, stored: SlotTable, version: int, extractor:
     A chunk whose answer fails keeps the claims that it had. Delivering it again with the same version changes nothing."""
     answered = cut(extract.answers(chunks, extractor, repair))
     good = answered.where("valid")
-    found = good.select("chunk_id", "document_id", F.posexplode(claimjson.claims_of(F.col("answer"))).alias("position", "claim"))
+    found = good.select("chunk_id", "document_id", F.posexplode("claims").alias("position", "claim"))
     rows = found.select("chunk_id", "document_id", "position", F.to_json("claim").alias("claim_json"))
     return extract.chunk_states(answered), stored.replace(version, rows, good.select("chunk_id"))
 

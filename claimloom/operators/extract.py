@@ -67,7 +67,7 @@ def rule_extractor(asked: str) -> str:
 
 
 def answers(chunks: DataFrame, extractor: Extractor = rule_extractor, repair: Extractor | None = None) -> DataFrame:
-    """chunk_id, document_id, answer (the JSON in it), error (of a call that failed), valid: one row for a chunk. An invalid answer goes to repair once, with
+    """chunk_id, document_id, answer (the JSON in it), error (of a call that failed), claims (validated; null where any is invalid), valid: one row for a chunk. An invalid answer goes to repair once, with
     what was wrong about it. The rules, which are the same for all, join the question in the worker."""
 
     def called(service: Extractor, text: str) -> tuple[str | None, str | None]:
@@ -93,7 +93,7 @@ def answers(chunks: DataFrame, extractor: Extractor = rule_extractor, repair: Ex
     rows = rows.withColumn("answer", claimjson.first_json_object(F.col("answer")))
     if repair is not None:
         rows = rows.mapInPandas(repaired, schema).withColumn("answer", claimjson.first_json_object(F.col("answer")))
-    return rows.withColumn("valid", F.col("error").isNull() & claimjson.claims_of(F.col("answer")).isNotNull())
+    return rows.withColumn("claims", claimjson.claims_of(F.col("answer"))).withColumn("valid", F.col("error").isNull() & F.col("claims").isNotNull())
 
 
 def chunk_states(answered: DataFrame) -> DataFrame:
@@ -107,4 +107,4 @@ def extract(chunks: DataFrame, extractor: Extractor = rule_extractor, repair: Ex
     invalid after one repair has no claims. Repartition chunks first to bound the number of calls at a time."""
 
     rows = answers(chunks, extractor, repair)
-    return rows.select("chunk_id", "document_id", F.posexplode(F.coalesce(claimjson.claims_of(F.col("answer")), F.array())).alias("position", "claim"))
+    return rows.select("chunk_id", "document_id", F.posexplode(F.coalesce("claims", F.array())).alias("position", "claim"))

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from claimloom.functions import claimjson
 from claimloom.operators import extract, status
 from claimloom.operators.assemble import mentions_of, with_entities
 from claimloom.operators.chunking import number_chunks, split_into_chunks
@@ -68,14 +67,14 @@ def process(documents: DataFrame, extractor: Extractor = rule_extractor, repair:
     parsed = keep(sections_of(documents))
     parts = number_chunks(split_into_chunks(parsed.where("error is null and text is not null"))).withColumn("id", F.xxhash64("document_id", "chunk_index"))
     parts = keep(parts.select("id", "document_id", "chunk_index", "section_title", "text", "token_estimate"))
-    answered = keep(extract.answers(parts, extractor, repair))
+    answered = keep(extract.answers(parts, extractor, repair).drop("answer"))  # claims are parsed once
     chunks = parts.join(extract.chunk_states(answered).select("id", "status", "error"), "id")
     failed = parsed.where("error is not null").select("document_id", "title", F.lit("failed").alias("status"), "error", F.lit(False).alias("parsed"))
     good = parsed.where("error is null").groupBy(F.col("document_id").alias("id")).agg(F.first("title", ignorenulls=True).alias("title"))
     states = status.document_status(good, chunks.select("id", "document_id", "status", "error"))
     done = good.join(states, "id").select(F.col("id").alias("document_id"), "title", "status", "error", F.lit(True).alias("parsed"))
     places = parts.select(F.col("id").alias("chunk_id"), "chunk_index")
-    found = answered.select("chunk_id", "document_id", F.posexplode(claimjson.claims_of(F.when(F.col("valid"), F.col("answer")))).alias("position", "claim"))
+    found = answered.select("chunk_id", "document_id", F.posexplode(F.when(F.col("valid"), F.col("claims"))).alias("position", "claim"))
     rows = project_claims(found.join(places, "chunk_id").withColumn("id", F.xxhash64("document_id", "chunk_index", "position")))
     claims = dedup_claims(rows.select(
         "id", "document_id", "chunk_id", "chunk_index", "position", "subject", "object", F.col("subject.canonical_key").alias("subject_key"), "predicate", F.col("object.canonical_key").alias("object_key"), "qualifiers",
