@@ -10,6 +10,7 @@ from json.encoder import encode_basestring
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -30,8 +31,11 @@ def _walk(value: Any, on_text: Callable[[str], str], drop_null: bool) -> Any:
     return value
 
 
+_ENCODER = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
 def dumps(value: Any) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return _ENCODER.encode(value)
 
 
 def _parsed(text: str | None) -> dict:
@@ -64,19 +68,25 @@ def qualifiers_hash(c: Column) -> Column:
     return F.sha2(_folded(c), 256)
 
 
-def _claim_text(subject: str | None, predicate: str | None, object_: str | None, qualifiers: str | None, evidence: str | None, negated: bool, speculative: bool) -> str:
-    """A claim as JSON with sorted keys, as dumps would write it."""
+def _claim_text(subject: str | None, predicate: str | None, object_: str | None, qualifiers: str | None, alias: str, negated: bool, speculative: bool) -> str:
+    """A claim as JSON with sorted keys, as dumps would write it; alias: its evidence as an alias."""
     text = lambda x: "null" if x is None else encode_basestring(x)
-    members = {
-        "evidence": text(textnorm.alias_of(evidence)), "negated": str(negated).lower(), "object": text(object_), "predicate": text(textnorm.predicate_literal(predicate)),
-        "qualifiers": _canonical(qualifiers), "speculative": str(speculative).lower(), "subject": text(subject),
-    }
-    return "{" + ",".join(f'"{k}":{v}' for k, v in members.items()) + "}"
+    yes = lambda x: "true" if x else "false"
+    return (
+        f'{{"evidence":{text(alias)},"negated":{yes(negated)},"object":{text(object_)},"predicate":{_predicate(predicate)},'
+        f'"qualifiers":{_canonical(qualifiers)},"speculative":{yes(speculative)},"subject":{text(subject)}}}'
+    )
+
+
+@lru_cache(1 << 14)
+def _predicate(predicate: str | None) -> str:
+    return encode_basestring(textnorm.predicate_literal(predicate))
 
 
 @F.arrow_udf(StringType())
 def _payload(subject: pa.Array, predicate: pa.Array, object_: pa.Array, qualifiers: pa.Array, evidence: pa.Array, negated: pa.Array, speculative: pa.Array) -> pa.Array:
-    return pa.array(map(_claim_text, *[c.to_pylist() for c in (subject, predicate, object_, qualifiers, evidence, negated, speculative)]), pa.string())
+    aliases = map(textnorm.alias_of, values(evidence))
+    return pa.array(map(_claim_text, *map(values, (subject, predicate, object_, qualifiers)), aliases, *map(values, (negated, speculative))), pa.string())
 
 
 def claim_fingerprint(subject_key: Column, predicate: Column, object_key: Column, qualifiers: Column, evidence: Column, negated: Column, speculative: Column) -> Column:
@@ -85,6 +95,11 @@ def claim_fingerprint(subject_key: Column, predicate: Column, object_key: Column
     return F.sha2(_payload(subject_key, predicate, object_key, qualifiers, evidence, F.coalesce(negated, no), F.coalesce(speculative, no)), 256)
 
 
+def values(c: pa.Array) -> list:
+    """The values of an array, as to_pylist gives them, without an object between for each."""
+    return c.to_numpy(zero_copy_only=False).tolist() if pa.types.is_string(c.type) else c.to_pylist()
+
+
 def remove_thinking(c: Column) -> Column:
     s = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<think>.*?</think>", "")
     return F.regexp_replace(F.regexp_replace(s, r"(?is)<analysis>.*?</analysis>", ""), f"^{textnorm.BLANK}+|{textnorm.BLANK}+$", "")
@@ -120,7 +135,8 @@ def first_json_object(c: Column) -> Column:
 
 def _text(value: Any, needed: bool) -> str | None:
     if isinstance(value, str):
-        value.encode()  # raises for half of a surrogate pair, which no column can hold
+        if not value.isascii():
+            value.encode()  # raises for half of a surrogate pair, which no column can hold
         return value
     if value is None and not needed:
         return value
@@ -128,6 +144,8 @@ def _text(value: Any, needed: bool) -> str | None:
 
 
 def _boolean(value: Any) -> bool:
+    if value is True or value is False:
+        return value
     if isinstance(value, str):
         value = value.strip().lower()
     if value in (True, 1, "true", "1", "yes", "y", "on", "t"):
@@ -153,7 +171,7 @@ def validated_claim(value: dict) -> dict:
     if page is not None and not -(1 << 31) <= page < 1 << 31:
         raise ValueError("page out of range")
     return {
-        "subject": _entity(value["subject"]), "predicate": _text(value["predicate"], True), "object": _entity(value["object"]), "qualifiers": _text(dumps(qualifiers), True),
+        "subject": _entity(value["subject"]), "predicate": _text(value["predicate"], True), "object": _entity(value["object"]), "qualifiers": _text(dumps(qualifiers), True) if qualifiers else "{}",
         "evidence": {"section": _text(evidence.get("section"), False), "sentence": _text(evidence["sentence"], True), "page": page, "table_or_figure": _text(evidence.get("table_or_figure"), False)},
         "confidence": confidence, "negated": _boolean(value.get("negated", False)), "speculative": _boolean(value.get("speculative", False)),
     }
@@ -189,3 +207,65 @@ def _bundles(s: pa.Array) -> pa.Array:
 def claims_of(c: Column) -> Column:
     """The validated claims of a bundle's JSON; null where it is invalid."""
     return _bundles(c)
+
+
+_TEXTS = ("canonical_key", "canonical_name", "entity_type", "normalized_id", "normalized_alias")
+#: What a claim is stored as: identities of its ends, predicate, qualifiers, their caseless form, evidence, and the text of its fingerprint.
+_PROJECTION = _struct(subject=_struct(**dict.fromkeys(_TEXTS, _STRING)), object=_struct(**dict.fromkeys(_TEXTS, _STRING)), **dict.fromkeys(("predicate", "qualifiers", "folded", "evidence_text", "payload"), _STRING))
+_STORED_CLAIM = StructType([*_PROJECTION, StructField("confidence", DoubleType()), StructField("negated", BooleanType()), StructField("speculative", BooleanType()), StructField("readable", BooleanType())])
+
+
+def projected(subject: tuple, predicate: str | None, object_: tuple, qualifiers: str | None, sentence: str | None, negated: bool | None, speculative: bool | None) -> tuple:
+    """A claim's projection as one flat row of texts; ends are (text, type, normalized_id)."""
+    s, o = textnorm.identity_of(*subject), textnorm.identity_of(*object_)
+    evidence = textnorm.tidy(sentence or "")
+    payload = _claim_text(s[0], predicate, o[0], qualifiers, textnorm.alias_of_tidy(evidence), negated, speculative)
+    return (*s, *o, textnorm.predicate_literal(predicate), _canonical(qualifiers), _caseless(qualifiers), evidence, payload)
+
+
+def projected_claim(claim: dict) -> tuple:
+    """projected() of a validated claim."""
+    s, o = claim["subject"], claim["object"]
+    ends = (s["text"], s["type"], s["normalized_id"]), (o["text"], o["type"], o["normalized_id"])
+    return projected(ends[0], claim["predicate"], ends[1], claim["qualifiers"], claim["evidence"]["sentence"], claim["negated"], claim["speculative"])
+
+
+def projection_arrays(rows: list[tuple]) -> list[pa.Array]:
+    """The columns of _PROJECTION from rows of projected()."""
+    texts = [pa.array(c, pa.string()) for c in zip(*rows)] or [pa.array([], pa.string())] * 15
+    ends = [pa.StructArray.from_arrays(texts[k : k + 5], names=list(_TEXTS)) for k in (0, 5)]
+    return [*ends, *texts[10:]]
+
+
+@F.arrow_udf(_PROJECTION)
+def _projections(st: pa.Array, sk: pa.Array, si: pa.Array, predicate: pa.Array, ot: pa.Array, ok: pa.Array, oi: pa.Array, qualifiers: pa.Array, sentence: pa.Array, negated: pa.Array, speculative: pa.Array) -> pa.Array:
+    ends = zip(*map(values, (st, sk, si))), zip(*map(values, (ot, ok, oi)))
+    rows = list(map(projected, ends[0], values(predicate), ends[1], *map(values, (qualifiers, sentence, negated, speculative))))
+    return pa.StructArray.from_arrays(projection_arrays(rows), names=_PROJECTION.names)
+
+
+def projection(c: Column) -> Column:
+    """struct (subject, object, predicate, qualifiers, folded, evidence_text, payload) of a validated claim, in one pass; tests hold it to the single forms."""
+    end = lambda role: [c[role][x] for x in ("text", "type", "normalized_id")]
+    return _projections(*end("subject"), c["predicate"], *end("object"), c["qualifiers"], c["evidence"]["sentence"], c["negated"], c["speculative"])
+
+
+_NO_CLAIM = (None,) * 15
+
+
+@F.arrow_udf(_STORED_CLAIM)
+def _stored_claims(s: pa.Array) -> pa.Array:
+    rows, confidence, negated, speculative = [], [], [], []
+    for text in values(s):
+        bundle = validated_bundle(f'{{"claims":[{text or ""}]}}')
+        claim = bundle[0] if bundle is not None and len(bundle) == 1 else None
+        rows.append(_NO_CLAIM if claim is None else projected_claim(claim))
+        for column, name in ((confidence, "confidence"), (negated, "negated"), (speculative, "speculative")):
+            column.append(None if claim is None else claim[name])
+    readable = pc.is_valid(pa.array(negated, pa.bool_()))
+    return pa.StructArray.from_arrays([*projection_arrays(rows), pa.array(confidence, pa.float64()), pa.array(negated, pa.bool_()), pa.array(speculative, pa.bool_()), readable], names=_STORED_CLAIM.names)
+
+
+def stored_claim(claim_json: Column) -> Column:
+    """projection() of a stored claim's JSON with confidence, negated, speculative, and readable: is it the JSON of one valid claim?"""
+    return _stored_claims(claim_json)

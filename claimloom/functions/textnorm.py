@@ -82,7 +82,11 @@ def tidy(text: str) -> str:
 
 def alias_of(text: str | None) -> str:
     """normalize_alias for one text."""
-    return (tidy(text or "") or "Unknown").strip(" \t\r\n\"'`.,;:").casefold()
+    return alias_of_tidy(tidy(text or ""))
+
+
+def alias_of_tidy(text: str) -> str:
+    return (text or "Unknown").strip(" \t\r\n\"'`.,;:").casefold()
 
 
 @lru_cache(1 << 14)
@@ -101,15 +105,17 @@ def entity_type_literal(value: str | None) -> str:
 
 
 @lru_cache(1 << 15)
-def _identity(text: str | None, entity_type: str | None, external: str | None) -> tuple[str | None, ...]:
-    kind, known_as, alias = entity_type_literal(entity_type), tidy(external or "") or None, alias_of(text)
+def identity_of(text: str | None, entity_type: str | None, external: str | None) -> tuple[str | None, ...]:
+    """entity_identity for one text, as a tuple."""
+    kind, known_as, name = entity_type_literal(entity_type), tidy(external or "") or None, tidy(text or "")
+    alias = alias_of_tidy(name)
     part = f"name:{alias}" if known_as is None else f"id:{known_as.casefold()}"
-    return f"{kind.casefold()}|{part}", tidy(text or "") or "Unknown", kind, known_as, alias
+    return f"{kind.casefold()}|{part}", name or "Unknown", kind, known_as, alias
 
 
 @F.arrow_udf(StructType([StructField(x, StringType()) for x in _IDENTITY]))
 def _identities(text: pa.Array, entity_type: pa.Array, external: pa.Array) -> pa.Array:
-    rows = map(_identity, text.to_pylist(), entity_type.to_pylist(), external.to_pylist())
+    rows = map(identity_of, text.to_pylist(), entity_type.to_pylist(), external.to_pylist())
     columns = list(zip(*rows)) or [()] * len(_IDENTITY)
     return pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], names=list(_IDENTITY))
 

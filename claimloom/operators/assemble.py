@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,35 +19,39 @@ from claimloom.sources import sections
 from claimloom.sources.slots import SlotTable
 
 _IDENTITY = ("canonical_key", "canonical_name", "entity_type", "normalized_id", "normalized_alias")
+_FACTS = ("id", "subject", "object", "predicate", "qualifiers", "qualifiers_hash", "negated", "speculative")  # what relations are made of
 
 
-def mentions_of(claims: DataFrame, order: list[str], first: int = 1) -> DataFrame:
-    """seq, claim_id, role and identity of both ends of every claim, the subject first; seq follows the order of claims, without gaps from first."""
-    ends = F.explode(F.array(*[F.struct(F.lit(k).alias("role"), *[F.col(side)[c].alias(c) for c in _IDENTITY]) for k, side in enumerate(("subject", "object"))]))
-    rows = claims.select(*order, F.col("id").alias("claim_id"), ends.alias("end")).select(*order, "claim_id", "end.*")
-    return numbered(rows, [*order, "role"], first).select("seq", "claim_id", "role", *_IDENTITY)
+def mentions_of(claims: DataFrame, first: int = 1, place: str = "_n") -> DataFrame:
+    """seq and identity of both ends of every claim, the subject first: claims lie in places 0, 1, ... of their order, their mentions in seq from first."""
+    ends = F.explode(F.array(*[F.struct((F.col(place) * 2 + (first + k)).alias("seq"), *[F.col(side)[c].alias(c) for c in _IDENTITY]) for k, side in enumerate(("subject", "object"))]))
+    return claims.select(ends.alias("end")).select("end.*")
 
 
-def with_entities(claims: DataFrame, mentions: DataFrame, assigned: DataFrame) -> DataFrame:
-    """claims with the entity ids of both ends."""
-    resolved = cut(mentions.select("seq", "claim_id", "role").join(by_merge(assigned), "seq"))
-    side = lambda role, name: resolved.where(F.col("role") == role).select(F.col("claim_id").alias("id"), F.col("entity_id").alias(f"{name}_entity_id"))
-    return claims.drop("subject_entity_id", "object_entity_id").join(by_merge(side(0, "subject")), "id").join(by_merge(side(1, "object")), "id")
+def with_entities(claims: DataFrame, made: resolve.Resolved, first: int = 1, place: str = "_n") -> DataFrame:
+    """claims (place, subject, object) with the entity ids of both ends."""
+    for k, side in enumerate(("subject", "object")):
+        ids = made.groups.withColumnsRenamed({"entity_id": f"{side}_entity_id", **{c: f"_{c}" for c in resolve.IDENTITY}})
+        equal = reduce(and_, [F.col(side)[c].eqNullSafe(F.col(f"_{c}")) for c in resolve.IDENTITY])
+        claims = claims.drop(f"{side}_entity_id").join(ids, equal, "inner" if made.several is None else "left").drop(*[f"_{c}" for c in resolve.IDENTITY])
+        if made.several is not None:  # mentions that were walked have their entities one by one
+            one_by_one = made.several.where(F.pmod(F.col("seq") - first, F.lit(2)) == k).select(F.floor((F.col("seq") - first) / 2).cast("long").alias(place), F.col("entity_id").alias("_walked"))
+            claims = claims.join(by_merge(one_by_one), place, "left").withColumn(f"{side}_entity_id", F.coalesce(f"{side}_entity_id", "_walked")).drop("_walked")
+    return claims
 
 
 def claims_to_graph(claims: DataFrame, entities: DataFrame | None = None, aliases: DataFrame | None = None, order: list[str] | None = None) -> Tables:
     """Projected claims (project_claims) in their order of arrival (default: by id) -> entities, aliases, claims, relations and evidence.
 
     entities and aliases, if given, are the state to go on from. An alias keeps its last spelling."""
-    mentions = cut(mentions_of(claims, order or ["id"]))
-    assigned, found = resolve.resolve_entities(mentions, entities, aliases)
-    found, assigned = cut(found), cut(assigned)
-    facts = with_entities(claims, mentions, assigned)
-    spelled = mentions.join(by_merge(assigned), "seq").select("seq", "entity_id", F.col("canonical_name").alias("alias"), "normalized_alias")
+    placed = numbered(claims, order or ["id"], 0, "_n")
+    made = resolve.resolve_mentions(mentions_of(placed), entities, aliases)
+    facts = with_entities(placed, made).drop("_n")
+    spelled = made.spelled
     if aliases is not None:
         spelled = spelled.unionByName(aliases.select(F.lit(0).cast("long").alias("seq"), "entity_id", "alias", "normalized_alias"))
-    relations, evidence = project.relations_of(facts)
-    return Tables(entities=found, aliases=project.latest_aliases(spelled), claims=facts, relations=relations, relation_evidence=evidence)
+    relations, evidence = project.relations_of(facts, cut)
+    return Tables(entities=cut(made.found), aliases=project.latest_aliases(spelled), claims=facts, relations=relations, relation_evidence=evidence)
 
 
 def merged_relations(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,16 +68,17 @@ def rebuild_graph(t: Tables, knowledge_base_id: int) -> tuple[Tables, DataFrame,
     A claim that cannot be read keeps the evidence it had; of claims of a chunk that now say the same the first stays. Relations
     and entities that nothing supports any more are pruned."""
     one(t.knowledge_bases.where(F.col("id") == knowledge_base_id), "knowledge base")
-    scope = cut(scoped_claims(t, knowledge_base_id).select("id"))
-    projected, failed, counts = project.rebuild(t.claims, scope)
-    good, counts = cut(projected), cut(counts)
+    rows = project.read_stored(scoped_claims(t, knowledge_base_id).select("id", "chunk_id", "claim_json"))
+    projected, failed, counts = project.rebuilt(rows)
+    good, counts = projected.select(*_FACTS), cut(counts)
     made = claims_to_graph(good, t.entities, t.aliases)
     relations, names = merged_relations(t.relations, made.relations)
     # of the scope, unreadable claims keep what they had, and claims that repeat others go
-    gone = scope.join(by_merge(good.select("id")), "id", "left_anti").join(by_merge(failed_ids(t.claims, scope)), "id", "left_anti")
-    replaced = good.select("id").unionByName(gone.select("id")).select(F.col("id").alias("claim_id"))
+    replaced = rows.where("readable").select("id")
+    gone = replaced.join(by_merge(good.select("id")), "id", "left_anti")
     fresh = made.relation_evidence.withColumnRenamed("relation_id", "id").join(names, "id").select("relation_id", "claim_id")
-    evidence = cut(t.relation_evidence.select("relation_id", "claim_id").join(by_merge(replaced), "claim_id", "left_anti").unionByName(fresh).select("relation_id", "claim_id"))
+    stays = t.relation_evidence.select("relation_id", "claim_id").join(by_merge(replaced.withColumnRenamed("id", "claim_id")), "claim_id", "left_anti")
+    evidence = cut(stays.select("relation_id", "claim_id").unionByName(fresh))
     now = t.with_(entities=made.entities, aliases=made.aliases, relations=cut(relations), relation_evidence=evidence, claims=t.claims.join(by_merge(gone), "id", "left_anti"))
     lone, unused = browse.orphans(now)
     now = now.with_(relations=now.relations.join(lone.select("id"), "id", "left_anti"), entities=now.entities.join(unused.select("id"), "id", "left_anti"))

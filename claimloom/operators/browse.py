@@ -180,7 +180,8 @@ def removed_counts(relations: DataFrame, entities: DataFrame) -> DataFrame:
 
 def orphans(t: Tables) -> tuple[DataFrame, DataFrame]:
     """(relations without evidence, entities in none of the other relations): what pruning removes."""
-    lone = t.relations.join(t.relation_evidence.select(F.col("relation_id").alias("id")), "id", "left_anti")
+    supported = t.relation_evidence.select(F.col("relation_id").alias("id")).distinct()  # combined in each task: evidence is not shuffled
+    lone = t.relations.join(supported, "id", "left_anti")
     alive = t.relations.join(lone.select("id"), "id", "left_anti")
     used = alive.select(F.explode(F.array("subject_entity_id", "object_entity_id")).alias("id"))
     return lone, t.entities.join(used, "id", "left_anti")

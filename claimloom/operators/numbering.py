@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,11 @@ def numbered(df: DataFrame, order: list[str | Column], first: int = 1, name: str
     """df with a number: first, first + 1, ... in the order, whatever the partitions: a sort by ranges, which is written, and the numbers of rows of the ranges before, of which the driver sees one each."""
     rows = cut(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
     part = F.shiftright("_place", 33)
-    before, offsets = first, []
-    for k, n in sorted(rows.groupBy(part.alias("_part")).count().collect()):
-        offsets.append((k, before))
-        before += n
-    starts = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part long, _start long"))
-    return rows.join(starts, part == F.col("_part")).withColumn(name, F.col("_start") + F.col("_place").bitwiseAND((1 << 33) - 1)).drop("_part", "_start", "_place")
+    counts = dict(rows.groupBy(part.alias("_part")).count().collect())
+    starts = [*accumulate((counts.get(k, 0) for k in range(max(counts, default=0))), initial=first)]
+    return rows.withColumn(name, listed(starts)[part.cast("int")] + F.col("_place").bitwiseAND((1 << 33) - 1)).drop("_place")
+
+
+def listed(numbers: list[int]) -> Column:
+    """Numbers as one literal array of longs; the optimizer folds it."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<long>")

@@ -521,7 +521,7 @@ def orphan_prune(spark: SparkSession, folder: str) -> DataFrame:
 def rebuild_projection(spark: SparkSession, folder: str) -> DataFrame:
     """Claims stored as JSON, one in thirteen of them with a confidence out of range."""
     t = starschema.stored_tables(spark, folder, needed=("claims",))
-    projected, _, counts = project.rebuild(t.claims.select("id", "chunk_id", _stored().alias("claim_json")), graph.scoped_claims(t, KB))
+    projected, _, counts = project.rebuilt(project.read_stored(graph.scoped_claims(t, KB).select("id", "chunk_id", _stored().alias("claim_json"))))
     none = lambda kind: F.lit(None).cast(kind)
     failed = counts.select(none("long").alias("id"), none("long").alias("chunk_id"), none("string").alias("claim_fingerprint"), none("string").alias("predicate"), "failed")
     return projected.select("id", "chunk_id", "claim_fingerprint", "predicate", none("long").alias("failed")).unionByName(failed)

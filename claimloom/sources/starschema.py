@@ -112,8 +112,7 @@ def stored_tables(spark: SparkSession, folder: str, with_brand: bool = False, ne
     docs = keep("documents", base, documents(spark, folder, parts))
     found = once(place(False, "entities"), entities(spark, folder).coalesce(1))
     facts = keep("claims", own, lines(spark, folder, found, with_brand), "document_id", "id", finish=lambda rows: named(rows, found))
-    relations, evidence = project.relations_of(facts)
-    relations = keep("relations", own, relations)
+    relations, evidence = project.relations_of(facts, lambda rows: keep("relations", own, rows))
     return _tables(spark, folder, docs, parts, found, facts, relations, keep("relation_evidence", own, evidence))
 
 

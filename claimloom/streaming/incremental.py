@@ -25,8 +25,9 @@ from claimloom.operators import extract, status
 from claimloom.operators.assemble import mentions_of, with_entities
 from claimloom.operators.chunking import number_chunks, split_into_chunks
 from claimloom.operators.extract import Extractor, rule_extractor
+from claimloom.operators.numbering import numbered
 from claimloom.operators.project import dedup_claims, hashed_relations, project_claims
-from claimloom.operators.resolve import empty_state, resolve_into
+from claimloom.operators.resolve import empty_state, resolve_mentions_into
 from claimloom.plans.lineage import cut
 from claimloom.schemas import Tables
 from claimloom.sources import sections
@@ -115,12 +116,12 @@ def ingest_stream(
         made = process(one_version(batch), extractor, repair)
         claims = cut(made.claims)
         first = _read(spark, sink, "numbers").where(F.col("batch") < number).agg(F.coalesce(F.max("next"), F.lit(1))).first()[0]
-        mentions = cut(mentions_of(claims, ORDER, first))
-        assigned = resolve_into(state, number, mentions)
-        with_entities(claims, mentions, assigned).select(*claims.columns, "subject_entity_id", "object_entity_id").write.mode("overwrite").parquet(f"{sink}/claims/batch={number}")
+        placed = numbered(claims, ORDER, 0, "_n")
+        made_of = resolve_mentions_into(state, number, mentions_of(placed, first))
+        with_entities(placed, made_of, first).select(*claims.columns, "subject_entity_id", "object_entity_id").write.mode("overwrite").parquet(f"{sink}/claims/batch={number}")
         made.chunks.write.mode("overwrite").parquet(f"{sink}/chunks/batch={number}")
         made.documents.write.mode("overwrite").parquet(f"{sink}/documents/batch={number}")
-        mentions.agg((F.count("*") + first).alias("next")).write.mode("overwrite").parquet(f"{sink}/numbers/batch={number}")
+        placed.agg((F.count("*") * 2 + first).alias("next")).write.mode("overwrite").parquet(f"{sink}/numbers/batch={number}")
 
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     return arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
