@@ -105,6 +105,7 @@ def remove_thinking(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, r"(?is)<analysis>.*?</analysis>", ""), f"^{textnorm.BLANK}+|{textnorm.BLANK}+$", "")
 
 
+_THOUGHTS = re.compile(r"<think>.*?</think>", re.I | re.S | re.A), re.compile(r"<analysis>.*?</analysis>", re.I | re.S | re.A)
 _BRACES = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.S)
 
 
@@ -124,6 +125,28 @@ def _first_object(text: str | None) -> str:
     return text[start:].strip()
 
 
+_DECODER = json.JSONDecoder()
+
+
+def answered(answer: str | None) -> tuple[str, list[dict] | None]:
+    """(first_json_object, validated_bundle of it) for one text. Where JSON begins with the first brace, it is parsed once, and ends where that brace is closed."""
+    text = answer or ""
+    if "<" in text:
+        for thought in _THOUGHTS:
+            text = thought.sub("", text)
+    text = text.strip(textnorm.BLANK_CHARS)
+    start = text.find("{")
+    if start >= 0 and "```" not in text:
+        try:
+            data, end = _DECODER.raw_decode(text, start)
+        except (ValueError, RecursionError):
+            pass
+        else:
+            return text[start:end], _validated(data)
+    found = _first_object(text)
+    return found, validated_bundle(found)
+
+
 @F.arrow_udf(StringType())
 def _first_objects(s: pa.Array) -> pa.Array:
     return pa.array(map(_first_object, s.to_pylist()), pa.string())
@@ -181,6 +204,13 @@ def validated_bundle(text: str | None) -> list[dict] | None:
     """The claims of a bundle; None if it is no JSON or any claim is invalid (the bundle counts as a whole)."""
     try:
         data = json.loads(text or "")
+    except (ValueError, RecursionError):
+        return None
+    return _validated(data)
+
+
+def _validated(data: Any) -> list[dict] | None:
+    try:
         claims = data.get("claims", [])
         return [validated_claim(c) for c in claims] if isinstance(claims, list) else None
     except (ValueError, KeyError, TypeError, AttributeError, OverflowError, RecursionError):
@@ -237,6 +267,31 @@ def projection_arrays(rows: list[tuple]) -> list[pa.Array]:
     return [*ends, *texts[10:]]
 
 
+#: A claim of a chunk that is kept: the places in its answer that it comes from, first and last (position), its projection, and the last one's values.
+KEPT = StructType([StructField("position", IntegerType()), StructField("first", IntegerType()), *_PROJECTION, *[StructField(c, k) for c, k in (("confidence", DoubleType()), ("negated", BooleanType()), ("speculative", BooleanType()))]])
+
+
+def kept_claims(bundles: list[list[dict] | None]) -> pa.ListArray:
+    """The projected claims of answers, one list (of KEPT) for each; of claims of an answer with one fingerprint the last stays, in its place. Null is an empty list."""
+    rows, places, scores, ends = [], [], [], [0]
+    for bundle in bundles:
+        kept: dict[str, tuple[int, int, tuple]] = {}
+        for k, claim in enumerate(bundle or ()):
+            row = projected_claim(claim)
+            first = kept.pop(row[-1], (k,))[0]
+            kept[row[-1]] = first, k, row
+        for first, k, row in kept.values():  # by the last place
+            claim = bundle[k]
+            rows.append(row)
+            places.append((k, first))
+            scores.append((claim["confidence"], claim["negated"], claim["speculative"]))
+        ends.append(len(rows))
+    column = lambda rows, k, kind: pa.array([r[k] for r in rows], kind)
+    numbers = [column(places, k, pa.int32()) for k in (0, 1)]
+    claims = pa.StructArray.from_arrays([*numbers, *projection_arrays(rows), *[column(scores, k, t) for k, t in enumerate((pa.float64(), pa.bool_(), pa.bool_()))]], names=KEPT.names)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), claims)
+
+
 @F.arrow_udf(_PROJECTION)
 def _projections(st: pa.Array, sk: pa.Array, si: pa.Array, predicate: pa.Array, ot: pa.Array, ok: pa.Array, oi: pa.Array, qualifiers: pa.Array, sentence: pa.Array, negated: pa.Array, speculative: pa.Array) -> pa.Array:
     ends = zip(*map(values, (st, sk, si))), zip(*map(values, (ot, ok, oi)))

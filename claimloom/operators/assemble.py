@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +29,7 @@ def with_entities(claims: DataFrame, made: resolve.Resolved, first: int = 1, pla
     """claims (place, subject, object) with the entity ids of both ends."""
     for k, side in enumerate(("subject", "object")):
         ids = made.groups.withColumnsRenamed({"entity_id": f"{side}_entity_id", **{c: f"_{c}" for c in resolve.IDENTITY}})
-        equal = reduce(and_, [F.col(side)[c].eqNullSafe(F.col(f"_{c}")) for c in resolve.IDENTITY])
+        equal = resolve.equal([F.col(side)[c] for c in resolve.IDENTITY], [F.col(f"_{c}") for c in resolve.IDENTITY])
         claims = claims.drop(f"{side}_entity_id").join(ids, equal, "inner" if made.several is None else "left").drop(*[f"_{c}" for c in resolve.IDENTITY])
         if made.several is not None:  # mentions that were walked have their entities one by one
             one_by_one = made.several.where(F.pmod(F.col("seq") - first, F.lit(2)) == k).select(F.floor((F.col("seq") - first) / 2).cast("long").alias(place), F.col("entity_id").alias("_walked"))

@@ -6,10 +6,13 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StructType
 
 from claimloom.functions import claimjson
 from claimloom.schemas import ENTITY_TYPES
@@ -66,34 +69,56 @@ def rule_extractor(asked: str) -> str:
     return json.dumps({"claims": claims})
 
 
-def answers(chunks: DataFrame, extractor: Extractor = rule_extractor, repair: Extractor | None = None) -> DataFrame:
-    """chunk_id, document_id, answer (the JSON in it), error (of a call that failed), claims (validated; null where any is invalid), valid: one row for a chunk. An invalid answer goes to repair once, with
-    what was wrong about it. The rules, which are the same for all, join the question in the worker."""
+def answered(question: str, extractor: Extractor, repair: Extractor | None) -> tuple[str, str | None, list[dict] | None]:
+    """(the JSON in the answer, error of a call that failed, validated claims or None). An invalid answer goes to repair once, with what was wrong about it."""
 
-    def called(service: Extractor, text: str) -> tuple[str | None, str | None]:
+    def called(service: Extractor, text: str) -> tuple[str, str | None, list[dict] | None]:
         try:
-            return service(text), None
+            answer, error = service(text), None
         except Exception as e:  # a call that fails is this chunk's failure, not the job's
-            return None, str(e) or type(e).__name__
+            answer, error = None, str(e) or type(e).__name__
+        found, claims = claimjson.answered(answer)
+        return found, error, claims
+
+    got = called(extractor, f"{SYSTEM}\n{question}")
+    return called(repair, REPAIR + got[0]) if repair is not None and got[1] is None and got[2] is None else got
+
+
+def answers(chunks: DataFrame, extractor: Extractor = rule_extractor, repair: Extractor | None = None) -> DataFrame:
+    """chunk_id, document_id, answer (the JSON in it), error (of a call that failed), claims (validated; null where any is invalid), valid: one row for a chunk. An invalid answer goes to repair once, with
+    what was wrong about it. The rules, which are the same for all, join the question in the worker; call, parse and validation are one pass."""
+    kind = to_arrow_type(ArrayType(claimjson.CLAIM))
+
+    def asked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(parts, "question"):
+            answer, error, claims = zip(*[answered(q, extractor, repair) for q in part.column("question").to_pylist()]) if part.num_rows else ((), (), ())
+            valid = [e is None and c is not None for e, c in zip(error, claims)]
+            columns = [part.column("chunk_id"), part.column("document_id"), pa.array(answer, pa.string()), pa.array(error, pa.string()), pa.array(claims, kind), pa.array(valid, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    schema = StructType().add("chunk_id", "long").add("document_id", "long").add("answer", "string").add("error", "string").add("claims", ArrayType(claimjson.CLAIM)).add("valid", "boolean")
+    return chunks.select(F.col("id").alias("chunk_id"), "document_id", question(F.col("section_title"), F.col("text")).alias("question")).mapInArrow(asked, schema)
+
+
+def kept_claims(chunks: DataFrame, extractor: Extractor = rule_extractor, repair: Extractor | None = None) -> DataFrame:
+    """chunks with error and valid as answers gives them, and their projected claims (claimjson.KEPT), one for a fingerprint: call, parse, projection and the choice within a chunk are one pass.
+
+    task and before place them: the number of the task, and how many claims it gave before the chunk."""
+    columns = chunks.columns
 
     def asked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, before = TaskContext.get().partitionId(), 0
         for part in pieces(parts, "question"):
-            texts = part.column("question").to_pylist()
-            answer, error = zip(*(called(extractor, f"{SYSTEM}\n{q}") for q in texts)) if texts else ([], [])
-            yield pa.RecordBatch.from_arrays([part.column("chunk_id"), part.column("document_id"), pa.array(answer, pa.string()), pa.array(error, pa.string())], names=["chunk_id", "document_id", "answer", "error"])
-
-    def repaired(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            pairs = [(a, e) if e is not None or claimjson.validated_bundle(a) is not None else called(repair, REPAIR + (a or "")) for a, e in zip(part["answer"], part["error"])]
-            part["answer"], part["error"] = zip(*pairs) if pairs else ([], [])
-            yield part
-
-    schema = "chunk_id long, document_id long, answer string, error string"
-    rows = chunks.select(F.col("id").alias("chunk_id"), "document_id", question(F.col("section_title"), F.col("text")).alias("question")).mapInArrow(asked, schema)
-    rows = rows.withColumn("answer", claimjson.first_json_object(F.col("answer")))
-    if repair is not None:
-        rows = rows.mapInPandas(repaired, schema).withColumn("answer", claimjson.first_json_object(F.col("answer")))
-    return rows.withColumn("claims", claimjson.claims_of(F.col("answer"))).withColumn("valid", F.col("error").isNull() & F.col("claims").isNotNull())
+            got = [answered(q, extractor, repair) for q in part.column("question").to_pylist()]
+            error, valid = [e for _, e, _ in got], [e is None and c is not None for _, e, c in got]
+            claims = claimjson.kept_claims([c if v else None for (_, _, c), v in zip(got, valid)])
+            starts = pc.add(claims.offsets.slice(0, part.num_rows).cast(pa.int64()), before)
+            before += len(claims.values)
+            added = [pa.array(error, pa.string()), pa.array(valid, pa.bool_()), pa.array([task] * part.num_rows, pa.int32()), starts, claims]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], *added], names=schema.names)
+
+    schema = StructType(list(chunks.schema)).add("error", "string").add("valid", "boolean").add("task", "integer").add("before", "long").add("claims", ArrayType(claimjson.KEPT))
+    return chunks.withColumn("question", question(F.col("section_title"), F.col("text"))).mapInArrow(asked, schema)
 
 
 def chunk_states(answered: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from operator import and_
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.textnorm import casefold
@@ -57,10 +57,15 @@ class Resolved(NamedTuple):
         return by_identity if self.several is None else by_identity.unionByName(self.several)
 
 
+def equal(left: list[Column], right: list[Column]) -> Column:
+    """Columns are equal, nulls too. A hash stands first, for a merge sorts by it: keys begin alike."""
+    return reduce(and_, [a.eqNullSafe(b) for a, b in zip(left, right)], F.xxhash64(*left) == F.xxhash64(*right))
+
+
 def joined_on(rows: DataFrame, keyed: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
     """rows with the other columns of keyed where columns are equal; nulls are equal too."""
     right = keyed.withColumnsRenamed({c: f"_{c}" for c in columns})
-    return rows.join(right, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]), how).drop(*[f"_{c}" for c in columns])
+    return rows.join(right, equal([F.col(c) for c in columns], [F.col(f"_{c}") for c in columns]), how).drop(*[f"_{c}" for c in columns])
 
 
 class Arrivals:

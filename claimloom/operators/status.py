@@ -15,13 +15,11 @@ def _count(condition: Column) -> Column:
 def document_status(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """id, status, error of every document, from its chunks (document_id, id, status, error)."""
     status = F.col("status")
-    # errors of a document's failed chunks only; in the order of ids
-    errors = F.array_join(F.transform(F.array_sort(F.collect_list(F.when((status == "failed") & F.col("error").isNotNull(), F.struct("id", "error")))), lambda x: x["error"]), "; ")
-    counts = chunks.groupBy("document_id").agg(
-        F.count("*").alias("n"), _count(status.isin("queued", "extracting")).alias("open"), _count(status == "failed").alias("failed"), _count(status == "done").alias("done"),
-        F.nullif(errors, F.lit("")).alias("errors"),
-    )
-    rows = documents.select("id").join(counts.withColumnRenamed("document_id", "id"), "id", "left")
+    # errors of a document's failed chunks only, in the order of ids; the counts, which every document has, are combined by hash
+    wrong = chunks.where((status == "failed") & F.col("error").isNotNull()).groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("chunk"), "error"))).alias("wrong"))
+    counts = chunks.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("n"), _count(status.isin("queued", "extracting")).alias("open"), _count(status == "failed").alias("failed"), _count(status == "done").alias("done"))
+    errors = F.nullif(F.array_join(F.transform("wrong", lambda x: x["error"]), "; "), F.lit(""))
+    rows = documents.select("id").join(counts, "id", "left").join(wrong, "id", "left").withColumn("errors", errors)
     none = F.col("n").isNull()
     state = F.when(none, "failed").when(F.col("open") > 0, "extracting").when(F.col("failed") == 0, "done").when(F.col("done") == 0, "failed").otherwise("partial")
     error = F.when(none, "No chunks were generated").when(state.isin("failed", "partial"), F.col("errors"))

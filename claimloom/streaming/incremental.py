@@ -14,34 +14,34 @@ from __future__ import annotations
 import functools
 import json
 from collections.abc import Callable
+from itertools import accumulate
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from claimloom.operators import extract, status
 from claimloom.operators.assemble import mentions_of, with_entities
-from claimloom.operators.chunking import number_chunks, split_into_chunks
+from claimloom.operators.chunking import number_chunks, placed_chunks, split_into_chunks
 from claimloom.operators.extract import Extractor, rule_extractor
-from claimloom.operators.numbering import numbered
-from claimloom.operators.project import dedup_claims, hashed_relations, project_claims
+from claimloom.operators.numbering import listed
+from claimloom.operators.project import hashed_relations
 from claimloom.operators.resolve import empty_state, resolve_mentions_into
-from claimloom.plans.lineage import cut
+from claimloom.plans.lineage import by_merge, cut
 from claimloom.schemas import Tables
 from claimloom.sources import sections
 from claimloom.sources.slots import SLOTS
 
-ORDER = ["document_id", "chunk_index", "position"]
-
 
 class Processed(NamedTuple):
-    """What became of documents: their states (document_id, title, status, error, parsed), their chunks with states, and projected claims."""
+    """What became of documents: their states (document_id, title, status, error, parsed), their chunks with states, and projected claims; and the table that chunks and claims are read from."""
 
     documents: DataFrame
     chunks: DataFrame
     claims: DataFrame
+    answered: DataFrame
 
 
 def one_version(documents: DataFrame) -> DataFrame:
@@ -64,24 +64,44 @@ def sections_of(documents: DataFrame) -> DataFrame:
 
 
 def process(documents: DataFrame, extractor: Extractor = rule_extractor, repair: Extractor | None = None, keep: Callable[[DataFrame], DataFrame] = cut) -> Processed:
-    """Parse, chunk and ask once, and take states and claims from what was written on the way (keep). Ids are 64-bit hashes of (document, chunk, place)."""
-    parsed = keep(sections_of(documents))
-    parts = number_chunks(split_into_chunks(parsed.where("error is null and text is not null"))).withColumn("id", F.xxhash64("document_id", "chunk_index"))
-    parts = keep(parts.select("id", "document_id", "chunk_index", "section_title", "text", "token_estimate"))
-    answered = keep(extract.answers(parts, extractor, repair).drop("answer"))  # claims are parsed once
-    chunks = parts.join(extract.chunk_states(answered).select("id", "status", "error"), "id")
-    failed = parsed.where("error is not null").select("document_id", "title", F.lit("failed").alias("status"), "error", F.lit(False).alias("parsed"))
-    good = parsed.where("error is null").groupBy(F.col("document_id").alias("id")).agg(F.first("title", ignorenulls=True).alias("title"))
-    states = status.document_status(good, chunks.select("id", "document_id", "status", "error"))
-    done = good.join(states, "id").select(F.col("id").alias("document_id"), "title", "status", "error", F.lit(True).alias("parsed"))
-    places = parts.select(F.col("id").alias("chunk_id"), "chunk_index")
-    found = answered.select("chunk_id", "document_id", F.posexplode(F.when(F.col("valid"), F.col("claims"))).alias("position", "claim"))
-    rows = project_claims(found.join(places, "chunk_id").withColumn("id", F.xxhash64("document_id", "chunk_index", "position")))
-    claims = dedup_claims(rows.select(
-        "id", "document_id", "chunk_id", "chunk_index", "position", "subject", "object", F.col("subject.canonical_key").alias("subject_key"), "predicate", F.col("object.canonical_key").alias("object_key"), "qualifiers",
-        "qualifiers_hash", "evidence_text", "confidence", "negated", "speculative", "claim_fingerprint",
-    ), "position")
-    return Processed(done.unionByName(failed), chunks, claims)
+    """Parse, chunk and ask once, and take states and claims from what was written on the way (keep). Ids are 64-bit hashes of (document, chunk, place).
+
+    Chunks are asked about in the order of documents, so that claims are written in theirs. What comes as text is one section of one document: it is read again rather than written, and its chunks are numbered where they are."""
+    files = "content" in documents.columns
+    parsed = keep(sections_of(documents)) if files else sections_of(documents)
+    sections_ = parsed.where("error is null and text is not null")
+    parts = number_chunks(split_into_chunks(sections_)) if files else placed_chunks(sections_).withColumnRenamed("place", "chunk_index")
+    parts = parts.select(F.xxhash64("document_id", "chunk_index").alias("id"), "document_id", "chunk_index", "section_title", "text", "token_estimate")
+    answered = keep(extract.kept_claims(parts.orderBy("document_id", "chunk_index"), extractor, repair))
+    status_, error = F.when(F.col("valid"), "done").otherwise("failed"), F.when(~F.col("valid"), F.coalesce("error", F.lit(extract.INVALID)))
+    chunks = answered.select(*parts.columns, status_.alias("status"), error.alias("error"))
+    states = chunks.select("id", "document_id", "status", "error")
+    if files:
+        failed = parsed.where("error is not null").select("document_id", "title", F.lit("failed").alias("status"), "error", F.lit(False).alias("parsed"))
+        good = parsed.where("error is null").groupBy(F.col("document_id").alias("id")).agg(F.first("title", ignorenulls=True).alias("title"))
+        done = good.join(status.document_status(good, states), "id").select(F.col("id").alias("document_id"), "title", "status", "error", F.lit(True).alias("parsed")).unionByName(failed)
+    else:
+        done = status.document_status(parsed.select(F.col("document_id").alias("id")), states)
+        done = done.select(F.col("id").alias("document_id"), F.lit(None).cast("string").alias("title"), "status", "error", F.lit(True).alias("parsed"))
+    return Processed(done, chunks, _claims(answered), answered)
+
+
+def _claims(answered: DataFrame, *more: str | Column) -> DataFrame:
+    """The claims of kept_claims' rows; an id is that of the first place with the fingerprint, the values are the last one's."""
+    rows = answered.where("valid").select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", "task", "before", F.posexplode("claims").alias("k", "c"))
+    c = F.col("c")
+    return rows.select(
+        F.xxhash64("document_id", "chunk_index", c["first"]).alias("id"), "document_id", "chunk_id", "chunk_index", c["position"].alias("position"), c["subject"].alias("subject"), c["object"].alias("object"),
+        c["subject"]["canonical_key"].alias("subject_key"), c["predicate"].alias("predicate"), c["object"]["canonical_key"].alias("object_key"), c["qualifiers"].alias("qualifiers"), F.sha2(c["folded"], 256).alias("qualifiers_hash"),
+        c["evidence_text"].alias("evidence_text"), c["confidence"].cast("float").alias("confidence"), c["negated"].alias("negated"), c["speculative"].alias("speculative"), F.sha2(c["payload"], 256).alias("claim_fingerprint"), *more,
+    )
+
+
+def placed_claims(answered: DataFrame) -> tuple[DataFrame, int]:
+    """(claims with their place _n: 0, 1, ... in the order of document, chunk and position, their number) of written rows of kept_claims; the driver sees one row for a task."""
+    counts = dict(answered.groupBy("task").agg(F.max(F.col("before") + F.size("claims"))).collect())
+    starts = [*accumulate((counts.get(k, 0) for k in range(max(counts, default=-1) + 1)), initial=0)]
+    return _claims(answered, (listed(starts)[F.col("task")] + F.col("before") + F.col("k")).alias("_n")), starts[-1]
 
 
 def claims_of_documents(documents: DataFrame, extractor: Extractor = rule_extractor) -> DataFrame:
@@ -114,14 +134,14 @@ def ingest_stream(
 
     def write(batch: DataFrame, number: int) -> None:
         made = process(one_version(batch), extractor, repair)
-        claims = cut(made.claims)
         first = _read(spark, sink, "numbers").where(F.col("batch") < number).agg(F.coalesce(F.max("next"), F.lit(1))).first()[0]
-        placed = numbered(claims, ORDER, 0, "_n")
-        made_of = resolve_mentions_into(state, number, mentions_of(placed, first))
-        with_entities(placed, made_of, first).select(*claims.columns, "subject_entity_id", "object_entity_id").write.mode("overwrite").parquet(f"{sink}/claims/batch={number}")
+        placed, n = placed_claims(made.answered)
+        resolved = resolve_mentions_into(state, number, mentions_of(placed, first))
+        ends = with_entities(placed.select("_n", "subject", "object"), resolved, first).select("_n", "subject_entity_id", "object_entity_id")  # the wide columns are shuffled once
+        placed.join(by_merge(ends), "_n").drop("_n").write.mode("overwrite").parquet(f"{sink}/claims/batch={number}")
         made.chunks.write.mode("overwrite").parquet(f"{sink}/chunks/batch={number}")
         made.documents.write.mode("overwrite").parquet(f"{sink}/documents/batch={number}")
-        placed.agg((F.count("*") * 2 + first).alias("next")).write.mode("overwrite").parquet(f"{sink}/numbers/batch={number}")
+        spark.range(1).select(F.lit(first + 2 * n).cast("long").alias("next")).write.mode("overwrite").parquet(f"{sink}/numbers/batch={number}")
 
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     return arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
