@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from claimloom.plans.lineage import cut
 from claimloom.schemas import TABLES, Tables
 
 
@@ -49,7 +50,7 @@ def once(path: str, rows: DataFrame, *order: str, finish: Callable[[DataFrame],
     done = lambda: sorted(v.getPath().toString() for v in (fs.listStatus(at) if fs.exists(at) else ()) if fs.exists(_path(spark, f"{v.getPath().toString()}/_SUCCESS")[1]))
     found = done()
     if not found:
-        kept = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+        kept = cut(rows).repartitionByRange(*order).sortWithinPartitions(*order) if order else rows  # ranges are found by a look at all rows, which are made once
         finish(kept).write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{path}/{uuid.uuid4().hex}")
         found = done()
     return spark.read.schema(finish(rows).schema).parquet(found[0])
