@@ -22,3 +22,10 @@ def numbered(df: DataFrame, order: list[str | Column], first: int = 1, name: str
 def listed(numbers: list[int]) -> Column:
     """Numbers as one literal array of longs; the optimizer folds it."""
     return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<long>")
+
+
+def in_order(df: DataFrame, *order: str) -> DataFrame:
+    """df sorted by ranges for a step whose time is in its rows, not in their bytes: by bytes Spark would make about as many tasks as there are cores, so that some cores get two of them and the others wait."""
+    spark = df.sparkSession
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartitionByRange(tasks, *order).sortWithinPartitions(*order)

@@ -26,7 +26,7 @@ from claimloom.operators import extract, status
 from claimloom.operators.assemble import mentions_of, with_entities
 from claimloom.operators.chunking import number_chunks, placed_chunks, split_into_chunks
 from claimloom.operators.extract import Extractor, rule_extractor
-from claimloom.operators.numbering import listed
+from claimloom.operators.numbering import in_order, listed
 from claimloom.operators.project import hashed_relations
 from claimloom.operators.resolve import empty_state, resolve_mentions_into
 from claimloom.plans.lineage import by_merge, cut
@@ -72,7 +72,7 @@ def process(documents: DataFrame, extractor: Extractor = rule_extractor, repair:
     sections_ = parsed.where("error is null and text is not null")
     parts = number_chunks(split_into_chunks(sections_)) if files else placed_chunks(sections_).withColumnRenamed("place", "chunk_index")
     parts = parts.select(F.xxhash64("document_id", "chunk_index").alias("id"), "document_id", "chunk_index", "section_title", "text", "token_estimate")
-    answered = keep(extract.kept_claims(parts.orderBy("document_id", "chunk_index"), extractor, repair))
+    answered = keep(extract.kept_claims(in_order(parts, "document_id", "chunk_index"), extractor, repair))
     status_, error = F.when(F.col("valid"), "done").otherwise("failed"), F.when(~F.col("valid"), F.coalesce("error", F.lit(extract.INVALID)))
     chunks = answered.select(*parts.columns, status_.alias("status"), error.alias("error"))
     states = chunks.select("id", "document_id", "status", "error")
